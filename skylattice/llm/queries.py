@@ -6,15 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.common import table
+from skylattice.llm.exact_dedup import exact_dedup
 from skylattice.llm.token_counts import token_counts
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op7_exact_dedup": op7_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+        FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+        WINDOW w AS (PARTITION BY norm)""",
+}
