@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.common import table
 from skylattice.llm.exact_dedup import exact_dedup
+from skylattice.llm.simhash_dedup import simhash_dedup
 from skylattice.llm.substring_dedup import substring_dedup
 from skylattice.llm.token_counts import token_counts
 
@@ -19,6 +20,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -26,6 +31,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
