@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.common import table
+from skylattice.llm.decontamination import decontamination
 from skylattice.llm.exact_dedup import exact_dedup
 from skylattice.llm.simhash_dedup import simhash_dedup
 from skylattice.llm.substring_dedup import substring_dedup
 from skylattice.llm.token_counts import token_counts
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -29,6 +34,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
@@ -36,6 +42,18 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        bw AS (SELECT item, ws, least(len(ws), 13) AS n, unnest(range(1, greatest(len(ws) - 11, 2))) AS i FROM b WHERE len(ws) > 0),
+        w AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM bw),
+        dw AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) p, (SELECT DISTINCT n FROM w) s WHERE i + n - 1 <= len(ws)),
+        m AS (SELECT r, i, n, item FROM dw JOIN w USING (n, phrase)),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
+        its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
     "op5_substring_dedup": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         p AS (SELECT doc_id, r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
