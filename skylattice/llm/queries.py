@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skylattice.llm.common import table
 from skylattice.llm.decontamination import decontamination
 from skylattice.llm.exact_dedup import exact_dedup
+from skylattice.llm.secret_scan import secret_scan
 from skylattice.llm.simhash_dedup import simhash_dedup
 from skylattice.llm.substring_dedup import substring_dedup
 from skylattice.llm.token_counts import token_counts
@@ -21,6 +22,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
@@ -36,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_token_counts": op10_token_counts,
