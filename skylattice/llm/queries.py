@@ -14,6 +14,11 @@ from skylattice.llm.secret_scan import secret_scan
 from skylattice.llm.simhash_dedup import simhash_dedup
 from skylattice.llm.substring_dedup import substring_dedup
 from skylattice.llm.token_counts import token_counts
+from skylattice.llm.url_filter import url_filter
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
