@@ -107,3 +107,10 @@ def _result(arrivals: DataFrame, state: DataFrame, kind) -> DataFrame:
     both = arrivals.join(state.select("digest", "first", "group_size"), "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator"))
     return both.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "locator")
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, a plain Parquet scan, that exact_dedup keeps, all columns."""
+    own = "locator of exact_dedup"
+    gone = exact_dedup(docs).filter("not kept")
+    return docs.withColumn(own, located(docs)).join(gone.select(F.col("locator").alias(own)), own, "left_anti").drop(own)

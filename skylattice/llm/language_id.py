@@ -179,8 +179,9 @@ def fit(docs: DataFrame) -> Model:
     return train([t for _, t in rows], [lang for lang, _ in rows])
 
 
-def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of every whole text.
+def language_id(docs: DataFrame, model: Model | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected of every whole text; with ``carry`` also
+    row, the document's columns as a struct.
 
     Without a model one is fitted on ``docs`` (see fit). lang_pred is a learned language, or
     ``und`` (score 0) for null and texts without a letter. rejected: ``und``, or a score under
@@ -195,7 +196,10 @@ def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, most=1 << 20):
                 names, scores = m.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores), pa.array([n == UNKNOWN or s < m.threshold for n, s in zip(names, scores)])], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores), pa.array([n == UNKNOWN or s < m.threshold for n, s in zip(names, scores)]), part.column("row")], ["doc_id", "held_out", "lang_pred", "score", "rejected", "row"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", whole(), F.coalesce(bucket() == 2, F.lit(False)).alias("held_out")), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    row = (F.struct("*") if carry else F.lit(None).cast("boolean")).alias("row")
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), docs.select(row).schema["row"].dataType.simpleString()]
+    asked = docs.select("doc_id", whole(), F.coalesce(bucket() == 2, F.lit(False)).alias("held_out"), row)
+    out = arrow_map(asked, run, "doc_id %s, held_out boolean, lang_pred string, score double, rejected boolean, row %s" % tuple(kinds))
+    return out if carry else out.drop("row")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +11,7 @@ from skylattice.llm.decontamination import decontamination
 from skylattice.llm.exact_dedup import exact_dedup
 from skylattice.llm.language_id import language_id
 from skylattice.llm.license_scan import license_scan, oracle as license_oracle
+from skylattice.llm.mixing import mixing
 from skylattice.llm.secret_scan import secret_scan
 from skylattice.llm.simhash_dedup import simhash_dedup
 from skylattice.llm.substring_dedup import substring_dedup
@@ -49,6 +51,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing(docs).select("row.doc_id", "source", "lang", "topic", "n_tokens", "probability", "weight", "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -62,7 +69,9 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
