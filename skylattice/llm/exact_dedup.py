@@ -18,8 +18,13 @@ from pyspark.sql.utils import AnalysisException
 from skylattice.llm.common import fresh_path, stash
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: The streaming query's settings: state on disk, one task per shuffle partition.
-STREAMING = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+#: The streaming query's settings: state on disk, one store per shuffle partition, without
+#: the 4 MB that each store would set aside before it holds a row.
+STREAMING = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str = "text") -> Column:
