@@ -1,0 +1,42 @@
+"""Driver contract: ``entry``, ``queries`` and ``oracle_sql``."""
+
+from __future__ import annotations
+
+import os
+import sys
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from skylattice import queries as own_queries  # noqa: E402
+
+# The subpackage llm and corpus_pipeline.py can be left out of an installation.
+try:
+    from skylattice.llm import queries as llm_queries
+except ImportError as e:
+    if (e.name or "").partition(".")[0] not in ("skylattice", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """Flagship query on /root/testdata/sf0.001."""
+    return own_queries.one_navaid_route(spark, "/root/testdata/sf0.001")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query by name; each takes (spark, sf_dir)."""
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(own_queries.QUERIES)
+    if llm_queries is not None:
+        found |= llm_queries.QUERIES
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for the queries that SQL can express."""
+    found: dict[str, str] = dict(own_queries.ORACLES)
+    if llm_queries is not None:
+        found |= llm_queries.ORACLES
+    return found

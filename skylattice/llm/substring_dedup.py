@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import NOT_SPACE, arrow_groups, arrow_map, gram_hashes, span_hashes, stash, text_buffer, whole, word_bounds
 
 #: Text bytes of a chunk (a longer text is a chunk of its own) and of a bucket's share.
-PACK_BYTES, BUCKET_BYTES = 2 << 20, 12 << 20
+PACK_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -81,17 +81,23 @@ def texts_of(batch: pa.RecordBatch, row: int) -> pa.Array:
     return batch.column("texts").slice(row, 1).flatten()
 
 
-def dealt(chunk: str, at: np.ndarray, hashes: np.ndarray, flags: np.ndarray, buckets: int) -> pa.RecordBatch | None:
-    """One row for each bucket: places, hashes and flags of the entries it gets."""
-    if not len(at):
-        return None
+def dealt(chunk: str, at: np.ndarray, hashes: np.ndarray, flags: np.ndarray, buckets: int, hash_type) -> pa.RecordBatch:
+    """One row for each bucket: the entries it gets, as steps between places (two bytes where
+    they fit), hashes cut to hash_type, and flags as bits."""
     bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    bucket, at, hashes, flags = bucket[order], at[order], hashes[order], flags[order]
+    bucket, at, hashes, flags = bucket[order], at[order], hashes[order].astype(hash_type), flags[order]
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     to = np.append(cut[1:], len(bucket))
+    steps = [np.diff(at[a:b], prepend=0) for a, b in zip(cut, to)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[cut].astype(np.int32)), pa.array([chunk] * len(cut)), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, to)], pa.binary()) for x in (at.astype(np.uint32), hashes, flags))],
+        [
+            pa.array(bucket[cut].astype(np.int32)),
+            pa.array([chunk] * len(cut)),
+            pa.array([s.astype(np.uint16 if s.max() < 1 << 16 else np.uint32).tobytes() for s in steps], pa.binary()),
+            pa.array([hashes[a:b].tobytes() for a, b in zip(cut, to)], pa.binary()),
+            pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cut, to)], pa.binary()),
+        ],
         ["bucket", "chunk", "places", "hashes", "flags"],
     )
 
@@ -102,10 +108,11 @@ REPLY = "chunk string, places binary"
 
 def gathered(rows: pa.Table, hash_type) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A bucket's chunks, and for each entry: the chunk's number, place, hash and flag."""
-    column = lambda name, kind: [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
-    places, hashes, flags = column("places", np.uint32), column("hashes", hash_type), column("flags", np.uint8)
-    owner = np.repeat(np.arange(len(places)), [len(x) for x in places])
-    return rows.column("chunk").to_pylist(), owner, np.concatenate(places), np.concatenate(hashes), np.concatenate(flags)
+    hashes = [np.frombuffer(x, hash_type) for x in rows.column("hashes").to_pylist()]
+    sizes = [len(h) for h in hashes]
+    places = [np.cumsum(np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32), dtype=np.uint32) for x, n in zip(rows.column("places").to_pylist(), sizes)]
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows.column("flags").to_pylist(), sizes)]
+    return rows.column("chunk").to_pylist(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate(places), np.concatenate(hashes), np.concatenate(flags)
 
 
 def replies(chunks: list[str], owner: np.ndarray, places: np.ndarray, hit: np.ndarray) -> pa.Table:
@@ -117,7 +124,7 @@ def replies(chunks: list[str], owner: np.ndarray, places: np.ndarray, hit: np.nd
 
 def probes(chunks: DataFrame, block: int, buckets: int) -> DataFrame:
     """Every rolling window of block words, aligned blocks flagged as index entries. Equal
-    ones of a chunk are sent once; flag 1: the index holds it, 2: more than once."""
+    ones of a chunk are sent once, with 32 bits of their hash besides the bucket."""
 
     def run(batches):
         for batch in batches:
@@ -128,10 +135,11 @@ def probes(chunks: DataFrame, block: int, buckets: int) -> DataFrame:
                 if not len(at):
                     continue
                 group, first, sizes = same(hashes[at])
-                entries = np.bincount(group, c.aligned(block, len(hashes))[at], len(first)).astype(np.int64)
+                held = np.bincount(group, c.aligned(block, len(hashes))[at], len(first)) > 0
                 # in-chunk twins are found again in anchored(); others learn of them here
-                out = dealt(batch.column("chunk")[row].as_py(), at[first], hashes[at[first]], np.minimum(entries, 2).astype(np.uint8), buckets)
-                yield out.set_column(3, "hashes", pa.array([(np.frombuffer(x, np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for x in out.column("hashes").to_pylist()], pa.binary()))
+                order = np.argsort(first)
+                first, held = at[first[order]], held[order]
+                yield dealt(batch.column("chunk")[row].as_py(), first, hashes[first], held, buckets, np.uint32)
 
     return arrow_map(chunks.select("chunk", "texts"), run, DEALT)
 
@@ -193,8 +201,8 @@ def anchored(chunks: DataFrame, block: int, window: int, buckets: int) -> DataFr
                 at = np.flatnonzero(inside & (sums[np.minimum(start + window - block + 1, len(hit))] > sums[start]))
                 if not len(at):
                     continue
-                _, first, _ = same(wide[at])
-                yield dealt(batch.column("chunk")[row].as_py(), at[first], wide[at[first]], np.ones(len(first), np.uint8), buckets)
+                first = at[np.sort(same(wide[at])[1])]
+                yield dealt(batch.column("chunk")[row].as_py(), first, wide[first], np.zeros(len(first), bool), buckets, np.uint64)
 
     return arrow_map(chunks, run, DEALT)
 
