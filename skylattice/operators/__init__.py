@@ -1 +1 @@
-"""Part of the engine; see the package README."""
+"""Part of the engine; see the README."""

@@ -172,7 +172,7 @@ def search(found: DataFrame, edges: DataFrame, resolved: DataFrame, factor: floa
     own = ids.withColumnRenamed("database_id", "a").join(edges, "a").join(ids.withColumnRenamed("database_id", "b"), ["request_id", "b"]).select(F.col("request_id").alias("own_request"), "a", "b", "nm")
 
     def solve(nodes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"request_id": [], "total_nm": [], "route": []})
+        empty = pd.DataFrame({"request_id": [], "total_nm": [], "route": []}, dtype=object)
         if not len(nodes):
             return empty
         table = {r.database_id: (r.identifier, r.published_range_nm, r.dep_nm, r.arr_nm) for r in nodes.itertuples()}
