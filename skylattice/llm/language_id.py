@@ -9,6 +9,8 @@ on them rejects what the model can't place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,8 @@ ROWS, WIDTH, GRAMS = 1 << 15, 12, (1, 2, 3)
 #: of one, and characters of a document; longer ones are not learned from.
 LANGUAGES, SAMPLE, DOCUMENTS, CHARACTERS = 200, 6_000, 600, 20_000
 EPOCHS, RATE, BATCH = 6, 4.0, 32
+#: Characters whose n-grams are held at once.
+BLOCK = 1 << 18
 #: Share of held-back documents that the threshold may reject.
 REJECTED = 0.001
 UNKNOWN = "und"
@@ -63,6 +67,29 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], np.searchsorted(owners[order], np.arange(len(texts) + 1))
 
 
+def blocks(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts with about BLOCK characters together, one text at least."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > BLOCK:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def shares(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its different table rows and their shares of its n-grams."""
+    out = []
+    for block in blocks(texts):
+        rows, begin = subwords(texts[block])
+        for a, b in zip(begin[:-1], begin[1:]):
+            r, n = np.unique(rows[a:b], return_counts=True)
+            out.append((r.astype(np.int32), (n / max(1, b - a)).astype(np.float32)))
+    return out
+
+
 class Model:
     """languages, the product of embeddings and weights, biases, temperature, threshold."""
 
@@ -70,6 +97,11 @@ class Model:
         self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table, bias, temperature, threshold
 
     def logits(self, texts: list[str]) -> np.ndarray:
+        """Of all texts, a block at a time."""
+        parts = [self._logits(texts[block]) for block in blocks(texts)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
+
+    def _logits(self, texts: list[str]) -> np.ndarray:
         rows, begin = subwords(texts)
         sums = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(np.diff(begin))
@@ -115,16 +147,12 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
         return out, np.array(y, np.int64)
 
     x, y = snippets(np.flatnonzero(~held) if (~held).any() else np.arange(len(texts)))
-    rows, begin = subwords(x)
+    parts = shares(x)
     emb = rng.uniform(-1, 1, (ROWS, WIDTH)).astype(np.float32) / WIDTH
     out = np.zeros((WIDTH, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
-    full = np.flatnonzero(np.diff(begin))
-    # per text its different rows with their shares
-    parts = []
-    for i in full:
-        r, n = np.unique(rows[begin[i] : begin[i + 1]], return_counts=True)
-        parts.append((r, (n / n.sum()).astype(np.float32)))
+    full = np.array([i for i, (r, _) in enumerate(parts) if len(r)], np.int64)
+    parts = [parts[i] for i in full]
     steps, step = EPOCHS * -(-len(full) // BATCH), 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(full))
@@ -144,7 +172,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
             grad = np.repeat(back, [len(parts[j][0]) for j in own], axis=0) * w[:, None]
             np.subtract.at(emb, r, np.float32(rate * len(own)) * grad)
     seen = np.zeros(ROWS, bool)
-    seen[rows] = True
+    for r, _ in parts:
+        seen[r] = True
     model = Model(languages, np.where(seen[:, None], emb @ out, 0).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     back = np.flatnonzero(held)
     if len(back) >= 20:
