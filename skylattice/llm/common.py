@@ -75,14 +75,25 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``most`` bytes of text, one text at least."""
+def drawn(df: DataFrame, size: int, *columns: str) -> DataFrame:
+    """About ``size`` rows of ``df`` (all of fewer), chosen by the hash of ``columns`` among all of
+    them; the share is set by a count, so tasks send no more rows than are wanted."""
+    rows = df.count()
+    if rows <= size:
+        return df
+    place = F.pmod(F.xxhash64(F.lit(size), *columns), F.lit(1 << 40)) / float(1 << 40)
+    return df.filter(place < size / rows).limit(2 * size)
+
+
+def pieces(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes of text and up to ``rows`` texts, one at
+    least."""
     if not batch.num_rows:
         return
     _, offsets = text_buffer(batch.column(text))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 

@@ -22,7 +22,7 @@ from skylattice.llm.common import arrow_map, pieces, whole
 ROWS, WIDTH, GRAMS = 1 << 15, 12, (1, 2, 3)
 #: Bounds of the training sample: languages (the most frequent), documents of all of them and
 #: of one, and characters of a document; longer ones are not learned from.
-LANGUAGES, SAMPLE, DOCUMENTS, CHARACTERS = 200, 6_000, 600, 20_000
+LANGUAGES, SAMPLE, DOCUMENTS, CHARACTERS = 200, 6_000, 500, 10_000
 EPOCHS, RATE, BATCH = 6, 4.0, 32
 #: Characters whose n-grams are held at once.
 BLOCK = 1 << 18

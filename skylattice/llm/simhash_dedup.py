@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import NOT_SPACE, TO_LOWER, arrow_groups, arrow_map, pieces, stash, text_buffer, whole, word_bounds
+from skylattice.llm.common import NOT_SPACE, TO_LOWER, arrow_groups, arrow_map, drawn, pieces, stash, text_buffer, whole, word_bounds
 
 SEED = 42
-#: Fingerprints (by hash order) from which costs are estimated, and pairs drawn of them.
+#: Fingerprints (drawn by hash) from which costs are estimated, and pairs drawn of them.
 SAMPLE, PAIRS = 20_000, 400_000
 #: Nanoseconds of one probed key (a shuffled row) and of one verified candidate.
 PROBE_NS, VERIFY_NS = 500.0, 2.0
@@ -184,7 +184,7 @@ def links_of(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarr
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """u < v: enough links between different fingerprints to connect all within the distance."""
     spark, total = fps.sparkSession, fps.count()
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64) if total > 1 else np.zeros(1, np.int64)
+    sample = np.sort(drawn(fps, SAMPLE, "fp").toPandas()["fp"].to_numpy(np.int64)) if total > 1 else np.zeros(1, np.int64)
     groups = plan(sample, total, distance)
     rows = probes(fps, groups).withColumn("block", F.lit(0).cast("long"))
     keys = sum(sum(comb(len(g), k) for k in range(t + 1)) for g, t in groups)
