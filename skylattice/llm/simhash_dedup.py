@@ -185,7 +185,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     """u < v: enough links between different fingerprints to connect all within the distance."""
     spark, total = fps.sparkSession, fps.count()
     sample = np.sort(drawn(fps, SAMPLE, "fp").toPandas()["fp"].to_numpy(np.int64)) if total > 1 else np.zeros(1, np.int64)
-    groups = plan(sample, total, distance)
+    groups = plan(sample, max(1, total), distance)
     rows = probes(fps, groups).withColumn("block", F.lit(0).cast("long"))
     keys = sum(sum(comb(len(g), k) for k in range(t + 1)) for g, t in groups)
     heavy = stash(spark, rows.groupBy("part", "key").count().filter(F.col("count") > HEAVY), "heavy")
