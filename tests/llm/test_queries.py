@@ -1,0 +1,132 @@
+"""The registered queries against their SQL and, where there is none, brute force."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from skylattice.llm import queries
+from skylattice.llm.url_filter import RULES
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(name, same_rows):
+    same_rows(queries.QUERIES[name], queries.ORACLES[name])
+
+
+def test_url_filter(spark, sf_dir):
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = queries.op1_url_filter(spark, sf_dir).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(urls)
+    for r in got:
+        rest = (urls[r["page_id"]] or "").partition("://")[2]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        fits = [(h + p, v) for h, p, v in RULES if (host.lower() == h or host.lower().endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
+        assert (r["host"], r["path"], r["rule"]) == (host.lower(), path, rule)
+        assert r["verdict"] == (verdict or ("block" if r["pattern"] else "allow"))
+
+
+def test_language_id(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    rows = queries.op4_language_id(spark, sf_dir).join(docs, "doc_id").filter("held_out and lang is not null").collect()
+    assert len(rows) > 30 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_secret_scan(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smaller tables hold no secret
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    kinds = [("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
+    found = 0
+    for r in queries.op6_secret_scan(spark, sf_dir).collect():
+        spans = [(m.start(), i, m.end()) for i, (_, p, g, least) in enumerate(kinds) for m in re.finditer(p, texts[r["doc_id"]], re.ASCII) if len(m[g]) >= least]
+        told = [f"{kinds[i][0]}:{a}:{b}" for a, i, b in sorted(spans)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(told).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(i == k for _, i, _ in spans) for k in range(3)]
+        assert set(told) <= set(r["spans"].split(","))
+        found += len(told)
+    assert found
+
+
+def test_simhash_dedup(spark, sf_dir, texts):
+    prints = {}
+    for doc, text in texts.items():
+        words = [w for w in SPACE.split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+        grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        prints[doc] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    parent = {d: d for d in prints}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(prints)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op8_simhash_dedup(spark, sf_dir).collect()}
+    assert got == {d: (f"{prints[d]:016x}", root(d)) for d in prints}
+
+
+def test_mixing(spark, sf_dir, texts):
+    rows = queries.op9_mixing(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    total = sum(r["n_tokens"] for r in rows)
+    assert all(r["n_tokens"] == len([w for w in SPACE.split(texts[r["doc_id"]]) if w]) for r in rows)
+    kept = sum(r["n_tokens"] * r["probability"] for r in rows)
+    assert kept == pytest.approx(total / 2, rel=0.01)
+    # expected weighted tokens of each source are in proportion to the root of its own
+    own, raked = defaultdict(float), defaultdict(float)
+    for r in rows:
+        own[r["source"]] += r["n_tokens"]
+        raked[r["source"]] += r["n_tokens"] * r["probability"] * r["weight"]
+    want = {s: n**0.5 for s, n in own.items()}
+    for s in own:
+        assert raked[s] / sum(raked.values()) == pytest.approx(want[s] / sum(want.values()), rel=0.02)
+
+
+def test_token_counts(spark, sf_dir, texts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    for r in queries.op10_token_counts(spark, sf_dir).collect():
+        text = texts[r["doc_id"]]
+        n = len(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 512)
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.stash(spark, stage(spark, before, sf_dir), f"test-{name}")
+        assert docs.columns == before.columns
+        kept = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+        came = {r["doc_id"]: r["text"] or "" for r in before.select("doc_id", "text").collect()}
+        assert set(kept) <= set(came)  # the small tables have a language for all
+        if name == "language":
+            assert all(any(map(str.isalpha, t)) for t in kept.values()) and len(kept) > 0.95 * len(came)
+        if name == "exact":
+            groups = defaultdict(list)
+            for d, t in came.items():
+                groups[SPACE.sub(" ", t)].append(d)
+            assert set(kept) == {min(g) for g in groups.values()}
+    whole = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()}
+    assert whole < set(kept)
