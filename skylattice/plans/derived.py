@@ -8,11 +8,13 @@ from skylattice.schema import FAMILY_BY_TYPE
 
 _FAMILY = "CASE k % 9 " + " ".join(f"WHEN {t} THEN '{f}'" for t, f in FAMILY_BY_TYPE.items()) + " END"
 
-#: SQL that Spark and DuckDB read alike; each uses the tables orders or nation.
+#: SQL that Spark and DuckDB read alike; each uses the tables orders or nation. All orders are
+#: read: each block of 1,500 keys lies in one of 24 fields of 25 by 60 degrees, so that density
+#: grows with a 24th of the orders.
 RAW = """SELECT k, concat('V', CAST(k % 700 AS VARCHAR(9))) AS identifier, CAST(k AS VARCHAR(9)) AS database_id, k % 9 AS type,
-    25e0 + CAST((k * 7919) % 2500 AS DOUBLE) / 100e0 AS latitude, -125e0 + CAST((k * 104729) % 6000 AS DOUBLE) / 100e0 AS longitude,
+    CAST(25 * ((field + 4) % 6) - 75 AS DOUBLE) + CAST((k * 7919) % 2500 AS DOUBLE) / 100e0 AS latitude, floor(field / 6e0) * 60e0 - 125e0 + CAST((k * 104729) % 6000 AS DOUBLE) / 100e0 AS longitude,
     CAST(40 + (k % 7) * 15 AS DOUBLE) AS published_range_nm
-    FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderkey < 1500) o"""
+    FROM (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(floor(o_orderkey / 1500e0) AS BIGINT) % 24 AS field FROM orders) o"""
 NAVAIDS = f"""SELECT database_id, identifier, concat('Navaid ', identifier) AS name, {_FAMILY} AS family, longitude, latitude,
     CASE WHEN type = 2 THEN 200e0 + CAST(k % 300 AS DOUBLE) ELSE 108e0 + CAST(k % 200 AS DOUBLE) / 20e0 END AS frequency_value,
     CASE WHEN type = 2 THEN 'kHz' ELSE 'MHz' END AS frequency_unit, published_range_nm,
