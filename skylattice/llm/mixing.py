@@ -8,6 +8,9 @@ weight in the corpus, scaled so that the expected tokens meet the budget.
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,8 +29,8 @@ ARRAY_CELLS = 200_000
 MARGINS = ("source", "lang", "topic")
 #: Default targets: a margin's share is in proportion to its tokens to this power.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-#: Candidate scales tried in one pass, and passes.
-SCALES, PASSES = 64, 4
+#: Candidate scales tried in one pass, passes at most, and the relative width that ends them.
+SCALES, PASSES, TOLERANCE = 64, 8, 1e-9
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +98,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
 
     A margin without given targets aims at shares in proportion to its tokens to the power in
     POWERS. Values without a share get none; targets of values without tokens can't be met and
-    their share goes to the others.
+    their share goes to the others. Where the margins aren't met within ERROR the remaining
+    relative error is logged as a warning.
     """
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -113,6 +117,11 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
     return _rake_array(cells) if cells.count() <= ARRAY_CELLS else _rake_table(cells)
 
 
+def _unmet(off: float) -> None:
+    """Tells of margins that the cells' support can't meet, or not within the sweeps."""
+    logging.getLogger(__name__).warning("raking ended with a relative margin error of %.3g", off)
+
+
 def _rake_array(cells: DataFrame) -> DataFrame:
     rows = cells.toPandas()
     raked = rows["raked"].to_numpy(np.float64).copy()
@@ -126,6 +135,8 @@ def _rake_array(cells: DataFrame) -> DataFrame:
             raked = np.where(has > 0, raked * want / np.where(has > 0, has, 1), 0.0)
         if off < ERROR:
             break
+    else:
+        _unmet(off)
     return cells.sparkSession.createDataFrame(rows.assign(raked=raked), cells.schema)
 
 
@@ -139,21 +150,34 @@ def _rake_table(cells: DataFrame) -> DataFrame:
         off = max(cells.groupBy(m).agg((F.abs(F.sum("raked") - F.first(f"want_{m}")) / F.greatest(F.first(f"want_{m}"), F.lit(1e-9))).alias("off"), F.sum("raked").alias("t")).filter("t > 0").agg(F.max("off")).first()[0] or 0.0 for m in MARGINS[:-1])
         if off < ERROR:
             break
+    else:
+        _unmet(off)
     return cells
 
 
 def calibrated(cells: DataFrame, budget: float) -> DataFrame:
     """cells with ``probability`` and ``weight``: min(1, scale * raked / tokens), for the scale at
-    which the expected tokens are the budget, and what a kept document then stands for."""
+    which the expected tokens are the budget, and what a kept document then stands for.
+
+    A cell is kept whole from the scale tokens / raked on. These scales lie many orders of
+    magnitude apart where raking drives cells towards zero, so they are narrowed on a log scale."""
     rate = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
-    low, high = 0.0, float(cells.filter((F.col("raked") > 0) & (F.col("tokens") > 0)).agg(F.max(F.col("tokens") / F.col("raked"))).first()[0] or 1.0)
-    for _ in range(PASSES):
-        grid = [low + (high - low) * i / SCALES for i in range(SCALES + 1)]
-        kept = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.least(F.lit(1.0), rate * c)), F.lit(0.0)) for c in grid]).first()
-        i = next((i for i in range(SCALES, -1, -1) if kept[i] <= budget), 0)
-        low, high = grid[i], grid[min(i + 1, SCALES)]
-    p = F.least(F.lit(1.0), rate * low)
-    return cells.withColumn("probability", p).withColumn("weight", F.when(p > 0, rate * low / p).otherwise(0.0))
+    least, most = cells.filter(rate > 0).agg(F.min(1 / rate), F.max(1 / rate)).first()
+    scale = 0.0
+    if least is not None and budget > 0:
+        # at the lowest no cell is kept whole and no more than the budget is kept
+        total = float(cells.agg(F.sum("raked")).first()[0])
+        low, high = min(math.log(least), math.log(budget / total)), math.log(most)
+        for _ in range(PASSES):
+            if high - low <= TOLERANCE:
+                break
+            grid = [low + (high - low) * i / SCALES for i in range(SCALES + 1)]
+            kept = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.least(F.lit(1.0), rate * math.exp(c))), F.lit(0.0)) for c in grid]).first()
+            i = next((i for i in range(SCALES, -1, -1) if kept[i] <= budget), 0)
+            low, high = grid[i], grid[min(i + 1, SCALES)]
+        scale = math.exp(low)
+    p = F.least(F.lit(1.0), rate * scale)
+    return cells.withColumn("probability", p).withColumn("weight", F.when(p > 0, rate * scale / p).otherwise(0.0))
 
 
 def mixing(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = 0.5) -> DataFrame:
