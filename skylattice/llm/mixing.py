@@ -1,6 +1,6 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents get a topic (spherical k-means over hashed words, fitted on a bounded sample) and a
+Documents get a topic (spherical k-means over hashed words, fitted on all of them) and a
 token weight (their words). The table of (source, language, topic) cells is raked until its
 margins meet the targets; a document is then kept with its cell's raked weight over its
 weight in the corpus, scaled so that the expected tokens meet the budget.
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import NOT_SPACE, TO_LOWER, arrow_map, drawn, pieces, span_hashes, stash, text_buffer, whole, word_bounds
 
-#: Topics, hashed word dimensions, and bounds of the sample that topics are fitted on.
-TOPICS, DIMENSIONS, SAMPLE, CHARACTERS = 8, 1 << 11, 2_000, 20_000
+#: Topics, hashed word dimensions, texts that centroids start from, and rounds over all texts.
+TOPICS, DIMENSIONS, SAMPLE, ROUNDS = 8, 1 << 11, 2_000, 3
+#: Parts of one that vectors are added up in.
+FIXED = 1 << 20
 #: Texts whose counts are held at once.
 ROWS = 1_000
 #: Sweeps over the margins in one job, jobs at most, and the relative error that ends them.
@@ -44,11 +46,11 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Topics:
-    """Weights of the dimensions and unit centroids."""
+    """Weights of the dimensions, from document frequencies, and unit centroids."""
 
-    def __init__(self, counts: np.ndarray, k: int = TOPICS, seed: int = 11):
+    def __init__(self, counts: np.ndarray, weights: np.ndarray, k: int = TOPICS, seed: int = 11):
         n = len(counts)
-        self.weights = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32)
+        self.weights = weights.astype(np.float32)
         x, rng = self.vectors(counts), np.random.default_rng(seed)
         centroids = x[rng.integers(0, n, 1)] if n else np.zeros((1, DIMENSIONS), np.float32)
         while len(centroids) < min(k, n):
@@ -56,11 +58,9 @@ class Topics:
             if gap.sum() <= 0:
                 break
             centroids = np.vstack([centroids, x[rng.choice(n, p=gap / gap.sum())]])
-        for _ in range(15 if n else 0):
-            own = (x @ centroids.T).argmax(axis=1)
-            sums = np.stack([x[own == j].sum(axis=0) if (own == j).any() else centroids[j] for j in range(len(centroids))])
-            centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         self.centroids = centroids.astype(np.float32)
+        for _ in range(15 if n else 0):
+            self.moved(self.sums(counts))
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.weights
@@ -69,12 +69,65 @@ class Topics:
     def assign(self, counts: np.ndarray) -> np.ndarray:
         return (self.vectors(counts) @ self.centroids.T).argmax(axis=1)
 
+    def sums(self, counts: np.ndarray) -> np.ndarray:
+        """Sums of the vectors of each centroid's texts in units of 1 / FIXED, which add up to the
+        same in any order."""
+        x = self.vectors(counts)
+        own, fixed = (x @ self.centroids.T).argmax(axis=1), np.rint(x * FIXED).astype(np.int64)
+        return np.stack([fixed[own == j].sum(axis=0) for j in range(len(self.centroids))])
+
+    def moved(self, sums: np.ndarray) -> None:
+        """Centroids put at these sums; one without texts stays."""
+        norms = np.linalg.norm(sums.astype(np.float64), axis=1, keepdims=True)
+        self.centroids = np.where(norms > 0, sums / np.maximum(norms, 1e-9), self.centroids).astype(np.float32)
+
+
+def added(docs: DataFrame, size: int, measure) -> np.ndarray:
+    """The sum over all texts of ``measure`` (``size`` whole numbers for the counts of some texts)."""
+
+    def run(batches):
+        sums = np.zeros(size, np.int64)
+        for batch in batches:
+            for part in pieces(batch, rows=ROWS):
+                sums += measure(hashed_words(*text_buffer(part.column("text")))[0])
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["place", "n"])
+
+    total = np.zeros(size, np.int64)
+    for r in arrow_map(docs.select(whole()), run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        total[r["place"]] = r["n"]
+    return total
+
+
+def _start(docs: DataFrame) -> np.ndarray:
+    """Counts of about SAMPLE texts drawn by hash, which centroids start from."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, rows=ROWS):
+                counts = hashed_words(*text_buffer(part.column("text")))[0]
+                at = [np.flatnonzero(x) for x in counts]
+                yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes() for i in at], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(counts, at)], pa.binary())], ["dims", "counts"])
+
+    chosen = drawn(docs.select("doc_id", whole()), SAMPLE, "doc_id", "text").select("text")
+    rows = sorted((bytes(r["dims"]), bytes(r["counts"])) for r in arrow_map(chosen, run, "dims binary, counts binary").collect())
+    counts = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for x, (dims, own) in zip(counts, rows):
+        x[np.frombuffer(dims, np.int32)] = np.frombuffer(own, np.float32)
+    return counts
+
 
 def fit_topics(docs: DataFrame) -> Topics:
-    """Topics of about SAMPLE documents (of up to CHARACTERS characters) drawn by hash."""
-    rows = drawn(docs.select("doc_id", "text").filter(F.length("text") <= CHARACTERS), SAMPLE, "doc_id", "text").select("text").collect()
-    texts = pa.array(sorted(r["text"] for r in rows), pa.string())
-    return Topics(hashed_words(*text_buffer(texts))[0] if rows else np.zeros((0, DIMENSIONS), np.float32))
+    """Topics of all documents: document frequencies are counted over all of them, and centroids,
+    after a start on a sample, are moved by rounds over all of them."""
+    spark = docs.sparkSession
+    found = added(docs, DIMENSIONS + 1, lambda counts: np.append((counts > 0).sum(axis=0), len(counts)))
+    topics = Topics(_start(docs), np.log((1 + found[-1]) / (1 + found[:-1])))
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(topics)
+        shape = topics.centroids.shape
+        topics.moved(added(docs, shape[0] * shape[1], lambda counts: sent.value.sums(counts).ravel()).reshape(shape))  # noqa: B023
+    return topics
 
 
 def described(docs: DataFrame, topics) -> DataFrame:

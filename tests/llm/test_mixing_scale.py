@@ -2,9 +2,12 @@
 
 import logging
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from skylattice.llm.mixing import calibrated, rake
+from skylattice.llm.common import text_buffer
+from skylattice.llm.mixing import calibrated, fit_topics, hashed_words, rake
 
 
 def test_scale_of_starved_cells(spark, caplog):
@@ -24,3 +27,12 @@ def test_scale_over_many_magnitudes(spark):
         out = calibrated(cells, budget).collect()
         assert sum(r["tokens"] * r["probability"] for r in out) == pytest.approx(budget, rel=1e-6)
     assert all(r["probability"] == 0 for r in calibrated(cells, 0.0).collect())
+
+
+def test_topics_of_all_documents(spark):
+    """More documents than the start has, and words that stand in very long texts only."""
+    texts = [f"common words of text {i}" for i in range(4000)] + ["rareword othername " * 2000] * 3
+    topics = fit_topics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    counts = hashed_words(*text_buffer(pa.array(texts)))[0]
+    assert np.allclose(topics.weights, np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))), rtol=1e-5)
+    assert (topics.centroids[:, np.flatnonzero(counts[-1])].max(axis=0) > 0).all()
