@@ -27,7 +27,10 @@ _HEX = re.compile(r"[0-9a-f]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Characters that one piece of a decompressed layer holds, and what two pieces share.
+#: Base64 broken into lines: all but the last have 16 characters or more.
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[ \t]*(?:\r\n|\n|\r)[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+#: Bytes that one piece of a decompressed layer holds, and what two pieces share.
 PIECE, SHARED = 4 << 20, 64 << 10
 #: For a quick look at the bytes: any of these may be a secret or an encoded layer.
 _WORDS = re.compile(rb"password|passwd|secret|token|api_?key|akia|%[0-9a-f]{2}|\\[ux]|&#")
@@ -68,11 +71,16 @@ def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[int]]]) -> Lay
 def _percent(layer: Layer) -> list[Layer]:
     parts = []
     for m in _PERCENT.finditer(layer.text):
-        try:
-            new = bytes.fromhex(m[0].replace("%", "")).decode()
-        except UnicodeDecodeError:
-            continue
-        parts.append((m.start(), m.end(), new, [3 * len(c.encode()) for c in new]))
+        new, widths = [], []
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            if 0xDC80 <= ord(c) <= 0xDCFF:  # a byte that isn't UTF-8 stays as it is written
+                at = m.start() + sum(widths)
+                new.append(layer.text[at : at + 3])
+                widths += [1, 1, 1]
+            else:
+                new.append(c)
+                widths.append(3 * len(c.encode()))
+        parts.append((m.start(), m.end(), "".join(new), widths))
     return [_replaced(layer, parts)] if parts else []
 
 
@@ -91,53 +99,86 @@ def _escapes(layer: Layer) -> list[Layer]:
     return [_replaced(layer, parts)] if parts else []
 
 
-def _unpacked(raw: bytes):
-    """Pieces of text in compressed bytes; they share some characters at the seams."""
+def _opener(raw: bytes):
     if raw[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] == 0x78 and raw[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
-        opened = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor()
-    else:
-        return
-    tail, rest = b"", raw
+        return zlib.decompressobj(31)
+    if len(raw) > 2 and raw[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _unpacked(raw: bytes):
+    """Pieces of compressed bytes, one member after another; they share some bytes at the seams."""
+    tail = b""
     try:
-        while not opened.eof:
-            made = opened.decompress(rest, PIECE)
-            rest = opened.unconsumed_tail if hasattr(opened, "unconsumed_tail") else b""
-            if not made and not rest:
-                return
-            yield (tail + made).decode("utf-8", "ignore")
-            tail = made[-SHARED:]
+        while opened := _opener(raw):
+            rest = raw
+            while not opened.eof:
+                made = opened.decompress(rest, PIECE)
+                rest = opened.unconsumed_tail if hasattr(opened, "unconsumed_tail") else b""
+                if made:
+                    yield tail + made
+                    tail = (tail + made)[-SHARED:]
+                elif not rest and not opened.eof:
+                    return
+            raw = opened.unused_data.lstrip(b"\0")
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return
 
 
+def _texts(raw: bytes) -> list[tuple[str, np.ndarray]]:
+    """What bytes may say, and the bytes of each character: UTF-8, where a byte that isn't is a
+    character of its own, and both orders of UTF-16 where there are null bytes."""
+    text = raw.decode("utf-8", "surrogateescape")
+    found = [(text, [1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode()) for c in text])]
+    if b"\0" in raw:
+        for order in ("utf-16-le", "utf-16-be"):
+            text = raw[: len(raw) // 2 * 2].decode(order, "surrogatepass")
+            found.append((text, [4 if ord(c) > 0xFFFF else 2 for c in text]))
+    return [(t, np.array(w, np.int64)) for t, w in found if t]
+
+
+def _runs(text: str) -> list[list[tuple[int, int]]]:
+    """Base64 to decode, as spans of lines to join: each run alone, all lines of a block, and the
+    lines of one length in it with the shorter one after them."""
+    found = [[m.span()] for m in _BASE64.finditer(text)]
+    for m in _WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+        found.append(lines)
+        i = 0
+        while i < len(lines):
+            j, size = i + 1, lines[i][1] - lines[i][0]
+            while j < len(lines) and lines[j][1] - lines[j][0] == size:
+                j += 1
+            if j < len(lines) and lines[j][1] - lines[j][0] < size:
+                found.append(lines[i : j + 1])
+            if j - i > 1:
+                found.append(lines[i:j])
+            i = j
+    return found
+
+
 def _base64(layer: Layer) -> list[Layer]:
     found = []
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
+    for lines in _runs(layer.text):
+        body = "".join(layer.text[a:b] for a, b in lines).rstrip("=")
+        places = np.concatenate([np.arange(a, b) for a, b in lines])[: len(body)]
+        body = body[: len(body) - (len(body) % 4 == 1)]
         raw = base64.urlsafe_b64decode(body.replace("+", "-").replace("/", "_") + "=" * (-len(body) % 4))
-        whole_lo, whole_hi = layer.lo[m.start()], layer.hi[m.end() - 1]
-        packed = list(_unpacked(raw))
-        found += [Layer(t, np.full(len(t), whole_lo), np.full(len(t), whole_hi)) for t in packed if t]
+        whole_lo, whole_hi = layer.lo[lines[0][0]], layer.hi[lines[-1][1] - 1]
+        packed = [t for piece in _unpacked(raw) for t, _ in _texts(piece)]
+        found += [Layer(t, np.full(len(t), whole_lo), np.full(len(t), whole_hi)) for t in packed]
         if packed:
             continue
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if not all(c.isprintable() or c.isspace() for c in text):
-            continue
-        ends = np.cumsum([len(c.encode()) for c in text])
-        first = m.start() + np.concatenate(([0], ends[:-1])) * 4 // 3
-        last = m.start() + np.minimum(-(-ends * 4 // 3), len(body)) - 1
-        found.append(Layer(text, layer.lo[first], layer.hi[last]))
+        for text, widths in _texts(raw):
+            ends = np.cumsum(widths)
+            first = (ends - widths) * 4 // 3
+            last = np.minimum(-(-ends * 4 // 3), len(body)) - 1
+            found.append(Layer(text, layer.lo[places[first]], layer.hi[places[last]]))
     return found
 
 
@@ -179,7 +220,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     go by start, kind (assign, access, hex) and end. Null counts as empty; texts without
     secrets get zeros, the hash of an empty string and empty spans. A layer that was seen at
     its place before isn't opened again. Only doc_id and text are read; repeated rows are
-    scanned each; an empty table gives an empty result.
+    scanned each; an empty table gives an empty result. Base64 in lines is joined where all lines
+    but the last have 16 characters or more.
     """
 
     def run(batches):
