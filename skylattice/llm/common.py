@@ -7,10 +7,11 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -19,23 +20,56 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHUNK_BYTES = 2 << 20
 
 
+#: Folders made in the shared one, in order; see scratch.
+_MADE: list[str] = []
+#: A join key is hot with more than this share of all rows: so there are at most 10,000 of them.
+HOT_SHARE = 1e-4
+#: Bits of one bitmap (of the built-in function), bitmaps at most (32 MB in all), and bits a key.
+BITMAP, BITMAPS, KEY_BITS = 1 << 15, 1 << 13, 16
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one on a local master;
+    a cluster must name one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, also of a store that only Hadoop's file systems reach."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the intermediate tables made within, when it ends; the list it gives has paths to
+    keep."""
+    kept: list[str] = []
+    first = len(_MADE)
+    try:
+        yield kept
+    finally:
+        for path in _MADE[first:]:
+            if path not in kept:
+                discard(spark, path)
+        _MADE[first:] = kept
 
 
-def stash(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stash(spark: SparkSession, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: the lineage ends there,
     and the shuffle files of the writing job are released with it."""
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -45,19 +79,50 @@ def stash(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow whose workers can import this package."""
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: Column) -> DataFrame:
+    """left and right joined on ``key``, which is never null and stands once in right. The rows
+    of right that are ``hot`` (see HOT_SHARE; at most 10,000) are broadcast, so the rows of left
+    with a hot key aren't shuffled to one task."""
+    few = F.broadcast(right.filter(hot))
+    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right.filter(~hot), key))
+
+
+def flagged(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: false where ``key`` surely isn't among ``keys`` (one
+    column). A bitmap of hashed keys is broadcast; it has KEY_BITS bits a key, up to 32 MB,
+    beyond which more keys are flagged without being there."""
+    places = BITMAP * min(BITMAPS, max(1, -(-keys.count() * KEY_BITS // BITMAP)))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(places)) + 1
+    own = keys.select(place(F.col(keys.columns[0])).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(f"{name} bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(f"{name} bits"))
+    at = df.withColumn(f"{name} place", place(key)).withColumn(f"{name} bucket", F.bitmap_bucket_number(f"{name} place")).withColumn(f"{name} place", F.bitmap_bit_position(f"{name} place"))
+    is_set = F.coalesce(F.expr(f"getbit(int(conv(hex(substring(`{name} bits`, int(`{name} place` div 8) + 1, 1)), 16, 10)), int(`{name} place` % 8)) = 1"), F.lit(False))
+    return at.join(F.broadcast(own), f"{name} bucket", "left").withColumn(name, is_set).drop(f"{name} bucket", f"{name} bits", f"{name} place")
+
+
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (never null) isn't in ``gone`` (one column). Only rows that a
+    bitmap flags are shuffled."""
+    name = gone.columns[0]
+    marked = flagged(df.withColumn(name, key), F.col(name), gone, f"maybe {name}")
+    flag = F.col(f"maybe {name}")
+    return marked.filter(~flag).unionByName(marked.filter(flag).join(gone, name, "left_anti")).select(df.columns)
+
+
+def _importable(df: DataFrame) -> None:
     env = df.sparkSession.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose workers can import this package."""
+    _importable(df)
     return df.mapInArrow(fn, schema)
 
 
 def arrow_groups(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
     """groupBy(key).applyInArrow(fn) whose workers can import this package."""
-    env = df.sparkSession.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    _importable(df)
     return df.groupBy(key).applyInArrow(fn, schema)
 
 

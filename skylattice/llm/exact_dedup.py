@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from skylattice.llm.common import fresh_path, stash
+from skylattice.llm.common import HOT_SHARE, flagged, fresh_path, split_join, stash, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The streaming query's settings: state on disk, one store per shuffle partition, without
@@ -36,13 +36,15 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def located(docs: DataFrame) -> Column:
-    """Where a row's content is: file and row of a Parquet scan, else empty."""
+def located(docs: DataFrame, *columns: str) -> tuple[DataFrame, Column]:
+    """The frame (its ``columns``, or all), and where each of its rows is: file and row of a
+    Parquet scan. A frame that isn't one is written to the shared folder first."""
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
+        place = docs.metadataColumn("_metadata")
     except AnalysisException:
-        return F.lit("")
-    return F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+        docs = stash(docs.sparkSession, docs.select(*columns) if columns else docs, "located")
+        place = docs.metadataColumn("_metadata")
+    return docs, F.concat_ws("#", place["file_path"], F.lpad(place["row_index"].cast("string"), 12, "0"))
 
 
 def stream_state(stream: DataFrame) -> DataFrame:
@@ -74,48 +76,56 @@ def run_stream(spark: SparkSession, source: str, schema, files_per_batch: int, s
 
 
 def exact_dedup(docs: DataFrame, batches: int = 2, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row, dropped ones too.
+    """doc_id, keep_id, group_size, kept, text_sha256 and locator of every row, dropped ones too.
 
     Texts are equal when identical after white space is normalised; null counts as empty. Of
     equal texts the row with the smallest doc_id stays (a null doc_id only where all are
-    null; of rows with the same doc_id the first by content locator, or all of them where the
-    frame isn't a plain Parquet scan and has no locators). Only doc_id and text
+    null; of rows with the same doc_id the first by content locator). Only doc_id and text
     are read, so other columns don't matter. An empty table gives an empty result.
 
     ``digest`` maps the normalised text to binary; whatever it is, groups are of equal bytes.
     """
+    return _deduplicated(*located(docs, "doc_id", "text"), batches, digest)
+
+
+def _deduplicated(docs: DataFrame, place: Column, batches: int = 2, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", located(docs).alias("locator"))
+    docs = docs.select("doc_id", "text", place.alias("locator"))
     keyed = docs.withColumn("norm", normalised()).withColumn("digest", digest(F.col("norm")))
     arrivals = stash(spark, keyed.select("digest", "doc_id", "locator", F.sha2("norm", 256).alias("text_sha256")), "arrivals")
     files = arrivals.inputFiles()
     if not files:
-        return _result(arrivals, stream_state(arrivals), arrivals.schema["doc_id"].dataType)
+        return _result(arrivals, stream_state(arrivals), 0)
     source = files[0].rpartition("/")[0]
     state = run_stream(spark, source, arrivals.schema, -(-len(files) // batches), fresh_path(spark, "dedup-state"), fresh_path(spark, "dedup-stream"))
     state = stash(spark, state, "digests")
+    total = state.agg(F.sum("group_size")).first()[0] or 0
 
-    # full bytes on hits: smallest and largest text of a digest agree only if all do
+    # full bytes on hits: smallest and largest text of a digest agree only if all do. Texts that
+    # surely weren't hit are left out before the shuffle; of the others a task sends two a digest
     hits = state.filter("group_size > 1").select("digest")
-    checked = keyed.select("digest", "norm").join(hits, "digest", "left_semi").groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differs"))
+    maybe = flagged(keyed.select("digest", "norm"), F.col("digest"), hits, "hit").filter("hit")
+    checked = maybe.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differs"))
     clashes = stash(spark, checked.filter("differs").select("digest"), "clashes")
     if clashes.isEmpty():
-        return _result(arrivals, state, arrivals.schema["doc_id"].dataType)
+        return _result(arrivals, state, total)
     # rows of a clashing digest are grouped by their bytes
     apart = keyed.join(clashes, "digest", "left_semi")
     apart = apart.select(F.concat("digest", F.unhex(F.sha2("norm", 512)), F.encode("norm", "UTF-8")).alias("digest"), "doc_id", "locator", F.sha2("norm", 256).alias("text_sha256"))
     rest = arrivals.join(clashes, "digest", "left_anti")
-    return _result(rest, state, arrivals.schema["doc_id"].dataType).unionByName(_result(apart, stream_state(apart), arrivals.schema["doc_id"].dataType))
+    return _result(rest, state, total).unionByName(_result(apart, stream_state(apart), total))
 
 
-def _result(arrivals: DataFrame, state: DataFrame, kind) -> DataFrame:
-    both = arrivals.join(state.select("digest", "first", "group_size"), "digest")
+def _result(arrivals: DataFrame, state: DataFrame, total: int) -> DataFrame:
+    both = split_join(arrivals, state.select("digest", "first", "group_size"), "digest", F.col("group_size") > max(1, total * HOT_SHARE))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator"))
     return both.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "locator")
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, a plain Parquet scan, that exact_dedup keeps, all columns."""
-    own = "locator of exact_dedup"
-    gone = exact_dedup(docs).filter("not kept")
-    return docs.withColumn(own, located(docs)).join(gone.select(F.col("locator").alias(own)), own, "left_anti").drop(own)
+    """The rows of ``docs`` that exact_dedup keeps, all columns, whatever their names. A frame
+    that isn't a plain Parquet scan is written to the shared folder first, to have locators."""
+    columns = docs.columns
+    docs, place = located(docs)
+    gone = stash(docs.sparkSession, _deduplicated(docs, place).filter("not kept").select(F.col("locator").alias("locator of exact_dedup")), "later-copies")
+    return without(docs, place, gone).select(columns)

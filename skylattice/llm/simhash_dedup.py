@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import NOT_SPACE, TO_LOWER, arrow_groups, arrow_map, drawn, pieces, stash, text_buffer, whole, word_bounds
+from skylattice.llm.common import HOT_SHARE, NOT_SPACE, TO_LOWER, arrow_groups, arrow_map, drawn, pieces, split_join, stash, text_buffer, whole, word_bounds
 
 SEED = 42
 #: Fingerprints (drawn by hash) from which costs are estimated, and pairs drawn of them.
@@ -243,14 +243,16 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataF
     return, and hashed by runs of ``shingle`` words, repeats included (a shorter text is one
     run; one without words, or null, has fingerprint zero and is linked like any other).
     Fingerprints link at ``distance`` or fewer differing bits; component_id is the smallest
-    doc_id that links reach (null doc_ids don't count; null if there is no other). Repeated
-    rows get the same values. Only doc_id and text are read. Empty tables give empty results.
+    doc_id that links reach (null doc_ids don't count; null if there is no other). doc_id may be
+    of any type that has an order. Repeated rows get the same values. Only doc_id and text are
+    read. Empty tables give empty results.
     """
     spark = docs.sparkSession
     marked = stash(spark, simhash(docs, shingle), "simhash")
-    fps = stash(spark, marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
+    fps = stash(spark, marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "fingerprints")
+    total = fps.agg(F.sum("rows")).first()[0] or 0
     roots = connected(links(fps.select("fp"), distance))
-    nodes = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    nodes = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "rows", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = stash(spark, nodes.join(least, "root").select("fp", "rows", "component_id"), "components")
+    return split_join(marked, named, "fp", F.col("rows") > max(1, total * HOT_SHARE)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
