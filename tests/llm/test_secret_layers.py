@@ -1,13 +1,19 @@
 """Secrets in layers that aren't clean: marks, other encodings, stray bytes, lines, members."""
 
 import base64
+import bz2
 import gzip
+import lzma
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 
 from skylattice.llm.secret_scan import secrets
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 KEY = "AKIA" + "QRST5678" * 2
 NOISE = "".join(random.Random(1).choice("ghijkl mnop") for _ in range(400))
 
@@ -34,3 +40,44 @@ def test_wrapped_lines(raw, head):
 def test_stray_percent_bytes():
     hidden = "".join(f"%{b:02X}" for b in KEY.encode())
     assert (3, 3 + len(hidden), "access") in secrets(f"%FF{hidden}%FE")[1]
+
+
+def test_layer_across_any_seam():
+    """An encoded layer of 300 kB deep in a large decompressed one, at several places."""
+    rng = random.Random(4)
+    inner = _b64(gzip.compress(bytes(rng.randrange(32, 127) for _ in range(200_000)) + KEY.encode(), 1))
+    for pad in (0, (1 << 20) - 7, (4 << 20) - 150_000):
+        text = "x " + _b64(gzip.compress(b"plain " * (pad // 6) + b" " * (pad % 6) + inner.encode() + b" end"))
+        assert (2, len(text), "access") in secrets(text)[1], pad
+
+
+def test_bombs_take_little_memory():
+    """Texts of some 300 kB that unpack to 48 MB, one of them twice over."""
+    raw = gzip.compress(b"nothing to see " * (48 * 70_000) + KEY.encode())
+    for body in (raw, gzip.compress(_b64(raw).encode())):
+        text = _b64(body)
+        code = f"import sys, resource; sys.path.insert(0, {ROOT!r})\nfrom skylattice.llm.secret_scan import secrets\nt = sys.stdin.read(); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nimport os\nprint((0, len(t), 'access') in secrets(t)[1])\nprint([int(x.split()[1]) for x in open('/proc/self/status') if x.startswith('RssAnon')][0], before)"
+        out = subprocess.run([sys.executable, "-c", code], input=text, capture_output=True, text=True, check=True).stdout.split()
+        assert out[0] == "True" and int(out[1]) < int(out[2]) + 100_000  # kB
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_nested_layers_by_brute_force(seed):
+    """Random nests of encodings around a key: found, and within the place they were put at."""
+    rng = random.Random(seed)
+    wrap = {
+        "percent": lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "html": lambda t: "".join(f"&#{ord(c)};" for c in t),
+        "base64": lambda t: _b64(t.encode()),
+        "lines": lambda t: _b64(t.encode(), 60),
+        "gzip": lambda t: _b64(gzip.compress(t.encode())),
+        "bz2": lambda t: _b64(bz2.compress(t.encode())),
+        "xz": lambda t: _b64(lzma.compress(t.encode())),
+    }
+    text, names = f"id {KEY} é", [rng.choice(sorted(wrap)) for _ in range(rng.randint(1, 4))]
+    for n in names:
+        text = wrap[n](text)
+    head = "före "
+    spans = secrets(head + text + " !")[1]
+    assert any(k == "access" and len(head) <= a < b <= len(head + text) for a, b, k in spans), names
