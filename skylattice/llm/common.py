@@ -93,10 +93,13 @@ def flagged(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame
     beyond which more keys are flagged without being there."""
     places = BITMAP * min(BITMAPS, max(1, -(-keys.count() * KEY_BITS // BITMAP)))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(places)) + 1
-    own = keys.select(place(F.col(keys.columns[0])).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(f"{name} bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(f"{name} bits"))
-    at = df.withColumn(f"{name} place", place(key)).withColumn(f"{name} bucket", F.bitmap_bucket_number(f"{name} place")).withColumn(f"{name} place", F.bitmap_bit_position(f"{name} place"))
-    is_set = F.coalesce(F.expr(f"getbit(int(conv(hex(substring(`{name} bits`, int(`{name} place` div 8) + 1, 1)), 16, 10)), int(`{name} place` % 8)) = 1"), F.lit(False))
-    return at.join(F.broadcast(own), f"{name} bucket", "left").withColumn(name, is_set).drop(f"{name} bucket", f"{name} bits", f"{name} place")
+    own = keys.select(place(F.col(keys.columns[0])).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(f"{name} bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    # as whole numbers of eight bytes, which a join doesn't copy for each row
+    word = lambda i: F.conv(F.hex(F.substring("bits", 8 * i + 1, F.lit(8))), 16, -10).cast("long")
+    own = own.select(f"{name} bucket", F.transform(F.sequence(F.lit(0), F.lit(BITMAP // 64 - 1)), word).alias(f"{name} words"))
+    at = df.withColumn(f"{name} place", place(key)).withColumn(f"{name} bucket", F.bitmap_bucket_number(f"{name} place")).withColumn(f"{name} place", F.bitmap_bit_position(f"{name} place").cast("int"))
+    is_set = F.expr(f"getbit(`{name} words`[int(`{name} place` div 64)], int(56 - (`{name} place` div 8) % 8 * 8 + `{name} place` % 8)) = 1")
+    return at.join(F.broadcast(own), f"{name} bucket", "left").withColumn(name, F.coalesce(is_set, F.lit(False))).drop(f"{name} bucket", f"{name} words", f"{name} place")
 
 
 def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:

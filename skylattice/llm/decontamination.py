@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import LOWER_WORD, TO_LOWER, arrow_map, span_hashes, stash, text_buffer, word_bounds
-from skylattice.llm.substring_dedup import pack
+from skylattice.llm.common import LOWER_WORD, TO_LOWER, arrow_map, span_hashes, stash, text_buffer, whole, word_bounds
+from skylattice.llm.substring_dedup import pack, packed
 
 #: Words in the test windows of one block. A block's windows go to the tasks as a broadcast
 #: (some 40 MB at most); more windows are looked up block by block over a kept copy of the texts.
@@ -64,13 +64,15 @@ def index_texts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -
     return firsts, at[found][order], found[order]
 
 
-def build_index(chunks: DataFrame, windows) -> DataFrame:
-    """The index of packed texts: a row for each shard with its texts' first words, and its
-    terms with the ends of their lists in the joined positions."""
+def build_index(docs: DataFrame, windows) -> DataFrame:
+    """The index of texts (or of packed ones): a row for each shard with its texts' first words,
+    and its terms with the ends of their lists in the joined positions."""
+    ready = "texts" in docs.columns
+    kind = docs.schema["doc_ids"].dataType.simpleString() if ready else f"array<{docs.schema['doc_id'].dataType.simpleString()}>"
 
     def run(batches):
         vocabulary = windows.value.vocabulary
-        for batch in batches:
+        for batch in batches if ready else packed(batches):
             for row in range(batch.num_rows):
                 firsts, terms, places = index_texts(*text_buffer(batch.column("texts").slice(row, 1).flatten()), vocabulary)
                 unique, begin = np.unique(terms, return_index=True)
@@ -78,7 +80,11 @@ def build_index(chunks: DataFrame, windows) -> DataFrame:
                 blobs = [firsts.astype(np.int64), unique.astype(np.uint32), ends.astype(np.uint32), places.astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(row, 1), batch.column("doc_ids").slice(row, 1), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["shard", "doc_ids", "firsts", "terms", "ends", "positions"])
 
-    return arrow_map(chunks, run, f"shard string, doc_ids {chunks.schema['doc_ids'].dataType.simpleString()}, firsts binary, terms binary, ends binary, positions binary")
+    return arrow_map(docs if ready else docs.select("doc_id", whole()), run, f"shard string, doc_ids {kind}, firsts binary, terms binary, ends binary, positions binary")
+
+
+#: Candidate places that are looked at in one step.
+CANDIDATES = 1 << 20
 
 
 def find(windows: Windows, firsts: np.ndarray, terms: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,17 +95,24 @@ def find(windows: Windows, firsts: np.ndarray, terms: np.ndarray, places: np.nda
     span = int(firsts[-1]) + 4 * (windows.terms.shape[1] + slop)
     keys = terms * span + places  # sorted
     lengths = np.bincount(terms, minlength=len(windows.vocabulary))
-    real = windows.terms >= 0
-    frequency = np.where(real, lengths[windows.terms], np.iinfo(np.int64).max)
+    frequency = np.where(windows.terms >= 0, lengths[windows.terms], np.iinfo(np.int64).max)
     live = np.flatnonzero(frequency.min(axis=1) > 0)
     rarest = np.argsort(frequency[live], axis=1, kind="stable")
     begin = np.concatenate(([0], np.cumsum(lengths)))
-    term = windows.terms[live, rarest[:, 0]]
-    many = lengths[term]
-    which = np.repeat(np.arange(len(live)), many)
-    at = np.repeat(begin[term] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-    low = high = places[at]
-    start = places[at] - rarest[which, 0]
+    first = windows.terms[live, rarest[:, 0]]
+    many = lengths[first]
+    total, parts = np.cumsum(many), [(none, none, none)]
+    for a in range(0, int(many.sum()), CANDIDATES):
+        # places a to b of the joined lists of all windows' rarest terms
+        at = np.arange(a, min(a + CANDIDATES, int(total[-1])))
+        which = np.searchsorted(total, at, "right")
+        parts.append(_matched(windows, live, rarest, which, places[begin[first[which]] + at - (total[which] - many[which])], keys, span, firsts, slop))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _matched(windows: Windows, live, rarest, which, low, keys, span: int, firsts, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of places of windows' rarest terms, those where the other terms' lists agree."""
+    high, start = low, low - rarest[which, 0]
     for r in range(1, windows.terms.shape[1]):
         offset = rarest[which, r]
         asked = offset < windows.sizes[live[which]]
@@ -163,12 +176,12 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, slo
     spark = docs.sparkSession
     tests = stash(spark, windows_of(benchmark, window), "test-windows")
     blocks = -(-(tests.agg(F.sum(F.size("window"))).first()[0] or 1) // BLOCK_WORDS)
-    chunks = pack(docs) if blocks == 1 else stash(spark, pack(docs), "chunks")
+    texts = docs.select("doc_id", "text") if blocks == 1 else stash(spark, pack(docs), "chunks")
     found = None
     for block in range(blocks):
         rows = tests.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()  # BLOCK_WORDS words, about
         windows = spark.sparkContext.broadcast(Windows(rows or [{"window": [" "], "items": []}]))
-        part = query_index(stash(spark, build_index(chunks, windows), "postings"), windows, slop)
+        part = query_index(stash(spark, build_index(texts, windows), "postings"), windows, slop)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         found = found.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))

@@ -26,30 +26,30 @@ from skylattice.llm.common import NOT_SPACE, arrow_groups, arrow_map, gram_hashe
 PACK_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20
 
 
+def packed(batches):
+    """Batches of doc_id and text as one-row batches of chunk, doc_ids, texts."""
+    ids, texts, size, kind = [], [], 0, None
+
+    def close():
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.string()))], ["chunk", "doc_ids", "texts"])
+
+    for batch in batches:
+        kind = batch.column("doc_id").type
+        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+            if size >= PACK_BYTES:
+                yield close()
+                ids, texts, size = [], [], 0
+    if ids:
+        yield close()
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """Chunks of whole texts: chunk, doc_ids, texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def close(ids, texts):
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(ids_type[0])), pa.array([texts], pa.list_(pa.string()))], ["chunk", "doc_ids", "texts"])
-
-    ids_type: list = [None]
-
-    def run(batches):
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            ids_type[0] = batch.column("doc_id").type
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size >= PACK_BYTES:
-                    yield close(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield close(ids, texts)
-
-    return arrow_map(docs.select("doc_id", whole()), run, f"chunk string, doc_ids array<{kind}>, texts array<string>")
+    return arrow_map(docs.select("doc_id", whole()), packed, f"chunk string, doc_ids array<{kind}>, texts array<string>")
 
 
 class Chunk:
