@@ -58,3 +58,14 @@ def archive_date(effective: Column) -> Column:
 
 def sha256_tag(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
+
+
+def is_date(c: Column) -> Column:
+    """Whether text is a calendar date as YYYY-MM-DD."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")), "yyyy-MM-dd") == c, F.lit(False))
+
+
+def is_timestamp(c: Column) -> Column:
+    """Whether text is a UTC time in milliseconds as YYYY-MM-DDThh:mm:ss.sssZ."""
+    written = r"\A\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3}Z\z"
+    return F.coalesce(c.rlike(written) & is_date(F.substring(c, 1, 10)), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.canonical import canonical_json
 from skylattice.functions.text import non_blank, sha256_tag
 from skylattice.schema import DEFAULT_RANGE_NM, FAMILY_BY_TYPE, REASONS
+from skylattice.tables import settled
 
 
 def _kind(value: Column) -> Column:
@@ -18,13 +19,13 @@ def _kind(value: Column) -> Column:
 _NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "TINYINT", "SMALLINT", "INT")
 
 
-def _text(v: Column, path: str) -> Column:
+def json_text(v: Column, path: str) -> Column:
     """A JSON string without white space at its ends; null for others and for blank ones."""
     part = F.try_variant_get(v, path, "variant")
     return F.when(_kind(part) == "STRING", non_blank(F.try_variant_get(v, path, "string")))
 
 
-def _number(v: Column, path: str) -> Column:
+def json_number(v: Column, path: str) -> Column:
     part = F.try_variant_get(v, path, "variant")
     return F.when(_kind(part).isin(*_NUMBERS), F.try_variant_get(v, path, "double"))
 
@@ -36,10 +37,17 @@ def identified(raw: DataFrame) -> DataFrame:
     among records of the same content. Records that aren't JSON get no canonical form.
     """
     canon = raw.select(canonical_json("record").alias("canonical_record")).withColumn("checksum", sha256_tag(F.col("canonical_record")))
-    given = _text(F.try_parse_json("canonical_record"), "$._id")
-    ordinal = F.row_number().over(Window.partitionBy("checksum", "given").orderBy("canonical_record"))
-    made = F.concat(F.lit("generated:"), "checksum", F.lit(":"), F.col("ordinal").cast("string"))
-    return canon.withColumn("given", given).withColumn("ordinal", ordinal).select(F.coalesce("given", made).alias("source_record_id"), "canonical_record", "checksum", F.col("given").isNotNull().alias("has_own_id"))
+    canon = settled(canon.select("*", json_text(F.try_parse_json("canonical_record"), "$._id").alias("given"), F.spark_partition_id().alias("part")))
+    # records of one content are numbered within their partition, after those of partitions before
+    # it; they are the same to the byte, so any order does
+    open_ = canon.filter("given is null")
+    counts = open_.groupBy("checksum", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("checksum").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("checksum", "part", before.alias("before"))
+    numbered = open_.join(offsets.withColumnRenamed("checksum", "content"), F.col("checksum").eqNullSafe(F.col("content")) & (open_["part"] == offsets["part"]))
+    ordinal = F.col("before") + F.row_number().over(Window.partitionBy("checksum", open_["part"]).orderBy("before"))
+    made = numbered.select(F.concat(F.lit("generated:"), "checksum", F.lit(":"), ordinal.cast("string")).alias("source_record_id"), "canonical_record", "checksum", F.lit(False).alias("has_own_id"))
+    return canon.filter("given is not null").select(F.col("given").alias("source_record_id"), "canonical_record", "checksum", F.lit(True).alias("has_own_id")).unionByName(made)
 
 
 def duplicate_ids(records: DataFrame) -> DataFrame:
@@ -52,18 +60,18 @@ def classified(records: DataFrame, id_prefix: str = "source:") -> DataFrame:
     the order of REASONS, or null)."""
     v = F.try_parse_json("canonical_record")
     families = F.create_map(*[F.lit(x) for kv in FAMILY_BY_TYPE.items() for x in (float(kv[0]), kv[1])])
-    family = families[_number(v, "$.type")]
+    family = families[json_number(v, "$.type")]
     size = F.size(F.try_variant_get(v, "$.geometry.coordinates", "array<variant>"))
-    lon, lat = _number(v, "$.geometry.coordinates[0]"), _number(v, "$.geometry.coordinates[1]")
-    placed = (_text(v, "$.geometry.type") == "Point") & (size == 2) & lon.between(-180, 180) & lat.between(-90, 90)
+    lon, lat = json_number(v, "$.geometry.coordinates[0]"), json_number(v, "$.geometry.coordinates[1]")
+    placed = (json_text(v, "$.geometry.type") == "Point") & (size == 2) & lon.between(-180, 180) & lat.between(-90, 90)
     ndb = F.col("family") == "NDB"
     written = F.when(_kind(F.try_variant_get(v, "$.frequency.value", "variant")) == "STRING", F.try_variant_get(v, "$.frequency.value", "string"))
-    frequency = F.when(written.rlike(r"\A\d{3}\.\d{3}\z") & (_number(v, "$.frequency.unit") == F.when(ndb, 1.0).otherwise(2.0)), written.cast("double"))
+    frequency = F.when(written.rlike(r"\A\d{3}\.\d{3}\z") & (json_number(v, "$.frequency.unit") == F.when(ndb, 1.0).otherwise(2.0)), written.cast("double"))
     range_kind = _kind(F.try_variant_get(v, "$.range", "variant"))
-    given_range = F.when(_number(v, "$.range.unit") == 2, _number(v, "$.range.value"))
+    given_range = F.when(json_number(v, "$.range.unit") == 2, json_number(v, "$.range.value"))
     reach = F.when(range_kind.isNull(), F.lit(DEFAULT_RANGE_NM)).otherwise(given_range)
     rows = records.select(
-        "source_record_id", family.alias("family"), F.when(placed, lon).alias("longitude"), F.when(placed, lat).alias("latitude"), _text(v, "$.identifier").alias("identifier"), _text(v, "$.name").alias("own_name"),
+        "source_record_id", family.alias("family"), F.when(placed, lon).alias("longitude"), F.when(placed, lat).alias("latitude"), json_text(v, "$.identifier").alias("identifier"), json_text(v, "$.name").alias("own_name"),
         v.alias("v"), reach.alias("published_range_nm"), "canonical_record",
     ).withColumn("frequency_value", frequency)
     checks = (F.coalesce("source_record_id", F.lit("")) == "", F.col("family").isNull(), F.col("longitude").isNull() | F.col("latitude").isNull(), F.col("identifier").isNull(), ~F.coalesce(F.col("frequency_value") > 0, F.lit(False)), ~F.coalesce(F.col("published_range_nm") > 0, F.lit(False)))
@@ -81,14 +89,3 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def exclusion_counts(rows: DataFrame) -> DataFrame:
     return rows.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-def set_checksum(records: DataFrame, order: str, content: str) -> DataFrame:
-    """One checksum of a set of canonical texts in the order of a key: the set is cut by ranges of
-    the key, each part is hashed, and the parts' hashes are hashed in their order, so that no
-    task holds the set."""
-    part = F.spark_partition_id()
-    parts = records.select(order, content).repartitionByRange(F.col(order)).withColumn("part", part)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda x: x[content])
-    hashed = parts.groupBy("part").agg(F.min(order).alias("first"), F.sha2(F.array_join(texts, ","), 256).alias("sha"))
-    return hashed.agg(sha256_tag(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "sha"))), lambda x: x["sha"]), ",")).alias("checksum"))

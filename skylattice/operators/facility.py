@@ -12,6 +12,8 @@ from skylattice.functions.text import megahertz_to_hertz, sha256_tag, signed_var
 NEAR_M, ERROR_M = 1852.0, 0.001
 # Facility types of the reference table that can be matched.
 TYPES = ("VOR", "VOR/DME", "VORTAC")
+# What becomes of a match.
+OUTCOMES = ("matched", "no-unique-match", "outside-source-coverage", "unusable-source-value")
 
 
 def latest_cycle(cycles: DataFrame, started: str) -> DataFrame:

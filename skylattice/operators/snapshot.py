@@ -3,12 +3,26 @@ renamed into place, says which is active. Readers resolve the pointer once."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("raw_navaids", "planner_navaids", "exclusions", "audits", "planner_airports", "metadata")
+from skylattice.operators.integrity import audit_counts, component_checksums, partition_faults, snapshot_checksum
+from skylattice.schema import VERSION, fields
+
+TABLES = ("raw_navaids", "planner_navaids", "exclusions", "audits", "planner_airports", "metadata", "snapshots")
+#: Steps of a publication, in order; the pointer is swapped in "activate".
+BOUNDARIES = ("write", "describe", "read-back", "reconcile", "activate", "retire")
+#: Checksums, counts and provenance of a snapshot, one row.
+SNAPSHOTS = fields(
+    "snapshot_id:s snapshot_checksum:s raw_navaids_checksum:s planner_navaids_checksum:s exclusions_checksum:s audits_checksum:s retrieved_at:s completed_at:s published_at:s source_identity:s "
+    "derivation_policy:s matching_policy:s reference_url:s reference_retrieved_at:s archive_identity:s archive_checksum:s content_checksum:s cycle_id:s effective_date:s "
+    "raw_count:l planner_count:l exclusion_count:l magnetic_model:s magnetic_model_version:s magnetic_model_epoch_year:d magnetic_reference_date:s magnetic_model_source:s magnetic_model_checksum:s"
+)
 
 
 class SnapshotError(RuntimeError):
@@ -40,34 +54,89 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def fingerprint(tables: dict[str, DataFrame]) -> str:
+    """A hash of the tables' names, columns and types, with the version of the schema."""
+    told = {"version": VERSION, "tables": {n: [[f.name, f.dataType.simpleString()] for f in df.schema] for n, df in tables.items()}}
+    return "sha256:" + hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()
+
+
+def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """The tables' columns: table, position (from 1), column, type."""
+    rows = [(n, i, f.name, f.dataType.simpleString()) for n, df in sorted(tables.items()) for i, f in enumerate(df.schema, 1)]
+    return spark.createDataFrame(rows, "table string, position int, column string, type string")
+
+
 def count_violations(tables: dict[str, DataFrame]) -> list[str]:
     """Raw records must be planner navaids or exclusions, each once; audits belong to navaids."""
-    raw, planner, out = tables["raw_navaids"], tables["planner_navaids"], tables["exclusions"]
-    split = planner.select("source_record_id").unionByName(out.select("source_record_id"))
-    found = []
-    if not split.groupBy("source_record_id").count().filter("count > 1").isEmpty():
-        found.append("a record is both planner navaid and exclusion, or stands twice")
-    if not raw.select("source_record_id").join(split, "source_record_id", "left_anti").isEmpty() or not split.join(raw, "source_record_id", "left_anti").isEmpty():
-        found.append("planner navaids and exclusions are not the raw records")
+    planner = tables["planner_navaids"]
+    audits = tables["audits"].select("source_record_id", "outcome") if "audits" in tables else planner.select("source_record_id", F.lit("matched").alias("outcome")).limit(0)
+    found = partition_faults(tables["raw_navaids"], planner, tables["exclusions"], audits).first()
+    out = []
+    if found["repeated"]:
+        out.append("a record is both planner navaid and exclusion, or stands twice")
+    if found["missing"] or found["unknown"]:
+        out.append("planner navaids and exclusions are not the raw records")
     if "audits" in tables and not tables["audits"].join(planner, "source_record_id", "left_anti").isEmpty():
-        found.append("an audit has no planner navaid")
-    return found
+        out.append("an audit has no planner navaid")
+    return out
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapshot: str | None = None) -> str:
-    """Writes the tables, checks what was written, then swaps the pointer."""
-    own = snapshot or str(uuid.uuid4())
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{name}/snapshot_id={own}")
-    written = read_active(spark, root, own)
-    wrong = count_violations(written)
-    if wrong:
+def snapshot_row(spark: SparkSession, own: str, tables: dict[str, DataFrame], provenance: dict) -> DataFrame:
+    """The row of SNAPSHOTS for tables: checksums and counts worked out, the rest from provenance
+    (null where it says nothing)."""
+    parts = component_checksums({k: tables[k] for k in ("raw_navaids", "planner_navaids", "exclusions", "audits") if k in tables})
+    row = {f.name: provenance.get(f.name) for f in SNAPSHOTS} | {"snapshot_id": own, "snapshot_checksum": snapshot_checksum(parts, provenance)}
+    row |= {f"{k}_checksum": v["checksum"] for k, v in parts.items()}
+    row |= {c: parts[t]["n"] for c, t in (("raw_count", "raw_navaids"), ("planner_count", "planner_navaids"), ("exclusion_count", "exclusions"))}
+    return spark.createDataFrame([tuple(row[f.name] for f in SNAPSHOTS)], SNAPSHOTS)
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapshot: str | None = None, provenance: dict | None = None, retire: bool = False, at: Callable[[str], None] = lambda boundary: None) -> str:
+    """Writes the tables and their row of SNAPSHOTS, checks what was written, then swaps the
+    pointer; ``retire`` deletes the snapshot that was active. A failure before the swap deletes
+    what was written and leaves the active snapshot as it was; one after it leaves the new one
+    active. Its error says which, and at which of BOUNDARIES. ``at`` is called at each of them."""
+    own, before, boundary = snapshot or str(uuid.uuid4()), active_id(spark, root), BOUNDARIES[0]
+    try:
+        at(boundary)
+        for name, df in tables.items():
+            df.write.parquet(f"{root}/{name}/snapshot_id={own}")
+        boundary = "describe"
+        at(boundary)
+        snapshot_row(spark, own, read_active(spark, root, own), provenance or {}).write.parquet(f"{root}/snapshots/snapshot_id={own}")
+        boundary = "read-back"
+        at(boundary)
+        written = read_active(spark, root, own)
+        if fingerprint({n: written[n] for n in tables}) != fingerprint(tables):
+            raise SnapshotError("the tables written have other columns")
+        boundary = "reconcile"
+        at(boundary)
+        wrong = count_violations(written)
+        if wrong:
+            raise SnapshotError("; ".join(wrong))
+        boundary = "activate"
+        at(boundary)
+        activate(spark, root, own)
+        boundary = "retire"
+        at(boundary)
+        if retire and before is not None:
+            remove(spark, root, before)
+    except Exception as e:
+        if active_id(spark, root) == own:
+            raise SnapshotError(f"{boundary}: {e}; the new snapshot is active") from e
         remove(spark, root, own)
-        raise SnapshotError(f"{'; '.join(wrong)}; the active snapshot is as it was")
-    activate(spark, root, own)
+        raise SnapshotError(f"{boundary}: {e}; the active snapshot is as it was") from e
     return own
 
 
+def state(spark: SparkSession, root: str) -> DataFrame:
+    """One row: active_id, and the row of SNAPSHOTS of it; nulls where nothing is active."""
+    own = active_id(spark, root)
+    pointer = spark.createDataFrame([(own,)], "active_id string")
+    known = spark.createDataFrame([], SNAPSHOTS) if own is None else read_active(spark, root, own)["snapshots"]
+    return pointer.join(known, F.col("active_id") == F.col("snapshot_id"), "left")
+
+
 def activate(spark: SparkSession, root: str, snapshot: str) -> None:
     """The pointer's new content is written aside and renamed over it."""
     files, pointer, path = _files(spark, f"{root}/active")
@@ -100,15 +169,6 @@ def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 
-def select_airport(found: DataFrame, wanted: str) -> DataFrame:
-    """One row: status (not-found, mismatched, ambiguous, found) of a search's records (icao,
-    database_id) for a code, and the airport's id."""
-    same = F.upper(F.trim("icao")) == wanted
-    n, hits = F.count(F.lit(1)), F.count_if(same)
-    status = F.when(n == 0, "not-found").when(hits == 0, "mismatched").when(hits > 1, "ambiguous").otherwise("found")
-    return found.agg(status.alias("status"), F.when(hits == 1, F.min(F.when(same, F.col("database_id")))).alias("database_id"))
-
-
 def status(spark: SparkSession, root: str) -> dict | None:
     """Counts of the active snapshot, in one pass of each table; None where there is none."""
     own = active_id(spark, root)
@@ -119,6 +179,8 @@ def status(spark: SparkSession, root: str) -> dict | None:
     out = {"snapshot_id": own, "raw": t["raw_navaids"].count(), **navaids}
     out["exclusions"] = {r["reason"]: r["n"] for r in t["exclusions"].groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
     if "audits" in t:
+        if "audit_record" in t["audits"].columns:
+            out |= audit_counts(t["audits"]).first().asDict()
         out["outcomes"] = {r["outcome"]: r["n"] for r in t["audits"].groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
     if "planner_airports" in t:
         out["airports"] = t["planner_airports"].count()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 WIDTH, NOTHING = 100, "—"
 _MODES = {"vor-family": "VOR-family only", "ndb-fallback": "NDB fallback"}
@@ -18,6 +19,12 @@ def _course(x: float | None) -> str:
     return NOTHING if x is None else f"{math.floor(x + 0.5) % 360:03d}°"
 
 
+def course_text(c: str) -> Column:
+    """A course in a table of many plans, as the report writes it."""
+    figures = F.lpad((F.floor(F.col(c) + 0.5) % 360).cast("string"), 3, "0")
+    return F.coalesce(F.concat(figures, F.lit("°")), F.lit(NOTHING))
+
+
 def _guidance(x: float | None, label: str) -> str:
     return NOTHING if x is None else f"{label} {_course(x)}"
 
@@ -46,6 +53,7 @@ def _sequence(names: list[str]) -> list[str]:
     return [*lines, line]
 
 
+# Heads of the tables' columns.
 LEGS = [("Leg", True), ("From", False), ("To", False), ("Distance", True), ("Outbound True", True), ("Arrival True", True), ("Outbound Magnetic", True), ("Arrival Magnetic", True), ("Departure VOR Guidance", False), ("Arrival VOR Guidance", False)]
 NAVAIDS = [("Identifier", False), ("Type", False), ("Frequency", True), ("Published Range", True)]
 

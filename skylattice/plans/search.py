@@ -12,6 +12,7 @@ import heapq
 import math
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from skylattice.tables import settled
 
 #: Factors of the direct distance that candidates are looked for within; the last is the widest.
 FACTORS = (1.1, 1.25, 1.5)
-#: Grid cells in degrees: for candidates of a request, and for pairs of navaids.
-CANDIDATE_CELL, PAIR_CELL = 5.0, 2.0
+#: Grid cells in degrees for candidates of a request.
+CANDIDATE_CELL = 5.0
 #: Slack in NM when a bound is used to leave out work; far above rounding, far below a result.
 SLACK = 1e-6
 
@@ -47,7 +48,8 @@ def next_limit(limits: list[float], completed: float | None, provisional: float
 
 
 def newly_admitted(total: str, completed: float | None, limit: float):
-    """Endpoint distance sums within this limit and not within the completed one."""
+    """Endpoint distance sums (or factors of the direct distance) within this limit and not within
+    the completed one."""
     inside = F.col(total) <= limit
     return inside if completed is None else inside & (F.col(total) > completed)
 
@@ -95,35 +97,51 @@ def candidates(resolved: DataFrame, navaids: DataFrame, factor: float = 1.5) ->
 
 
 def navigable_edges(navaids: DataFrame) -> DataFrame:
-    """Pairs a < b of navaids within the sum of their ranges, independent of any request: each
-    navaid looks through the grid cells within its own and the largest range."""
-    reach = navaids.agg(F.max("published_range_nm")).first()[0] or 0.0
-    lat, lon = F.col("latitude"), F.col("longitude")
-    one = navaids.select(
-        F.col("database_id").alias("a"), F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lon"), F.col("published_range_nm").alias("a_range"),
-        F.explode(geo.cells(geo.bounds(lat, lon, F.col("published_range_nm") + reach), PAIR_CELL)).alias("cell"),
-    )
-    two = navaids.select(F.col("database_id").alias("b"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"), F.col("published_range_nm").alias("b_range"), geo.cell(lat, lon, PAIR_CELL).alias("cell"))
-    # one degree of latitude is 60.04 NM
-    close = one.join(two, "cell").filter("a < b and abs(a_lat - b_lat) * 60e0 <= a_range + b_range")
-    return close.withColumn("nm", geo.haversine_nm("a_lat", "a_lon", "b_lat", "b_lon")).filter("nm <= a_range + b_range").select("a", "b", "nm")
-
-
-def best_route(nodes: dict[str, tuple[str, float, float, float]], links: dict[str, list[tuple[str, float]]], cap: float) -> tuple[float, tuple[tuple[str, str], ...]] | None:
-    """Total and (identifier, id) sequence of the best route. nodes: id -> (identifier, range,
-    distance to departure, distance to arrival); links: id -> [(id, distance)].
+    """Pairs a < b of navaids within the sum of their ranges, independent of any request.
+
+    Navaids are classed by powers of two of their range. A pair is met in the grid of the class
+    of the one with the larger range, whose cells are as wide as that class reaches: that one
+    stands in one cell, the other looks through the few cells within both ranges. So a navaid of
+    an exceptional range costs others a few rows, not the search of everything that far."""
+    of = F.greatest(F.lit(0), F.ceil(F.log2("published_range_nm"))).cast("int")
+    rows = navaids.filter("published_range_nm > 0").select("database_id", "latitude", "longitude", F.col("published_range_nm").alias("reach"), of.alias("class"))
+    classes = rows.groupBy("class").agg(F.max("reach").alias("reach")).collect()  # a few: powers of two
+    met = []
+    for c in sorted(classes, key=lambda r: r["class"]):
+        degrees = min(180.0, max(0.5, 2 * c["reach"] / 60))
+        look = geo.cells(geo.bounds(F.col("latitude"), F.col("longitude"), F.col("reach") + c["reach"]), degrees)
+        near = rows.filter(F.col("class") <= c["class"]).select(*[F.col(x).alias(f"a_{x}") for x in rows.columns], F.explode(look).alias("cell"))
+        stand = rows.filter(F.col("class") == c["class"]).select(*[F.col(x).alias(f"b_{x}") for x in rows.columns], geo.cell(F.col("latitude"), F.col("longitude"), degrees).alias("cell"))
+        # one degree of latitude is 60.04 NM; of two in one class each meets the other
+        close = near.join(stand, "cell").filter("(a_class < b_class or a_database_id < b_database_id) and abs(a_latitude - b_latitude) * 60e0 <= a_reach + b_reach")
+        met.append(close.select(F.least("a_database_id", "b_database_id").alias("a"), F.greatest("a_database_id", "b_database_id").alias("b"), geo.haversine_nm(*_ordered()).alias("nm"), (F.col("a_reach") + F.col("b_reach")).alias("both")).filter("nm <= both").drop("both"))
+    if not met:
+        return navaids.sparkSession.createDataFrame([], "a string, b string, nm double")
+    out = met[0]
+    for m in met[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def _ordered() -> tuple[str, str, str, str]:
+    """Places of a pair, that of the smaller id first, so that a distance doesn't depend on which
+    of them looked for the other."""
+    end = lambda x, first: f"if((a_database_id < b_database_id) = {first}, a_{x}, b_{x})"
+    return end("latitude", "true"), end("longitude", "true"), end("latitude", "false"), end("longitude", "false")
+
+
+def best_route(names: list[str], ids: list[str], reach, dep, arr, starts, ends, nm, cap: float) -> tuple[float, list[int]] | None:
+    """Total and navaid numbers of the best route. Navaids are numbered; reach, dep and arr have
+    their ranges and distances to departure and arrival, starts, ends and nm the pairs, each once.
 
     First the least total (A* with the distance left), then all labels that can reach it: one is
     dropped if another at its navaid is no longer, has no more legs and fewer of them or no
-    larger a sequence.
+    larger a sequence. Pairs that no route within the bound can use are left out before each.
     """
-    def seeds(bound: float):
-        for i, (name, reach, dep, arr) in nodes.items():
-            if dep <= reach and dep <= cap and dep + arr <= bound:
-                yield dep, i, name
-
-    least, known = math.inf, {}
-    heap = [(dep + nodes[i][3], dep, i) for dep, i, _ in seeds(cap + SLACK)]
+    seeds = np.flatnonzero((dep <= reach) & (dep <= cap) & (dep + arr <= cap + SLACK))
+    least, links = math.inf, _links(starts, ends, nm, dep, arr, cap + SLACK)
+    known: dict[int, float] = {}
+    heap = [(dep[i] + arr[i], dep[i], i) for i in seeds.tolist()]
     heapq.heapify(heap)
     while heap:
         guess, total, i = heapq.heappop(heap)
@@ -132,58 +150,67 @@ def best_route(nodes: dict[str, tuple[str, float, float, float]], links: dict[st
         if known.get(i, math.inf) <= total:
             continue
         known[i] = total
-        _, reach, _, arr = nodes[i]
-        if arr <= reach and total + arr <= cap:
-            least = min(least, total + arr)
-        for j, nm in links.get(i, ()):
-            further = total + nm
-            if further <= cap and further < known.get(j, math.inf) and further + nodes[j][3] <= min(least, cap) + SLACK:
-                heapq.heappush(heap, (further + nodes[j][3], further, j))
+        if arr[i] <= reach[i] and total + arr[i] <= cap:
+            least = min(least, total + arr[i])
+        for j, step in links(i):
+            further = total + step
+            if further <= cap and further < known.get(j, math.inf) and further + arr[j] <= min(least, cap) + SLACK:
+                heapq.heappush(heap, (further + arr[j], further, j))
     if least == math.inf:
         return None
     bound, best = least + SLACK, None
-    labels: dict[str, list[tuple[int, float, tuple]]] = defaultdict(list)
-    work = [(dep, 1, ((name, i),), i) for dep, i, name in seeds(bound)]
+    links = _links(starts, ends, nm, dep, arr, bound)
+    labels: dict[int, list[tuple[int, float, tuple]]] = defaultdict(list)
+    work = [(dep[i], 1, ((names[i], ids[i], i),), i) for i in seeds.tolist() if dep[i] + arr[i] <= bound]
     heapq.heapify(work)
     while work:
         total, legs, path, i = heapq.heappop(work)
         if any(t <= total and n <= legs and (n < legs or p <= path) for n, t, p in labels[i]):
             continue
         labels[i].append((legs, total, path))
-        _, reach, _, arr = nodes[i]
-        if arr <= reach and total + arr <= cap:
-            done = (total + arr, legs + 1, path)
+        if arr[i] <= reach[i] and total + arr[i] <= cap:
+            done = (total + arr[i], legs + 1, path)
             best = done if best is None or done < best else best
-        for j, nm in links.get(i, ()):
-            further = total + nm
-            if further <= cap and further + nodes[j][3] <= bound:
-                heapq.heappush(work, (further, legs + 1, (*path, (nodes[j][0], j)), j))
-    return None if best is None else (best[0], best[2])
+        for j, step in links(i):
+            further = total + step
+            if further <= cap and further + arr[j] <= bound:
+                heapq.heappush(work, (further, legs + 1, (*path, (names[j], ids[j], j)), j))
+    return None if best is None else (float(best[0]), [x[2] for x in best[2]])
+
+
+def _links(starts, ends, nm, dep, arr, bound: float):
+    """Neighbours of a navaid over pairs that a route within the bound can use, either way: a
+    route to a navaid is no shorter than the straight line."""
+    a, b = np.concatenate((starts, ends)), np.concatenate((ends, starts))
+    both = np.concatenate((nm, nm))
+    use = np.flatnonzero(dep[a] + both + arr[b] <= bound)
+    use = use[np.argsort(a[use], kind="stable")]
+    first = np.searchsorted(a[use], np.arange(len(dep) + 1)).tolist()
+    to, steps = b[use], both[use]
+    return lambda i: zip(to[first[i] : first[i + 1]].tolist(), steps[first[i] : first[i + 1]].tolist())
 
 
 FOUND = "request_id string, total_nm double, route array<struct<identifier: string, database_id: string>>"
 
 
 def search(found: DataFrame, edges: DataFrame, resolved: DataFrame, factor: float) -> DataFrame:
-    """The best route of each request that has one, over the candidates ``found``."""
+    """The best route of each request that has one, over the candidates ``found``. A task gets a
+    request's candidates and the pairs between them that a route within the cap can use."""
     cap = resolved.select("request_id", (F.col("direct_nm") * factor).alias("cap_nm"))
     nodes = found.join(cap, "request_id")
-    ids = found.select("request_id", "database_id")
-    own = ids.withColumnRenamed("database_id", "a").join(edges, "a").join(ids.withColumnRenamed("database_id", "b"), ["request_id", "b"]).select(F.col("request_id").alias("own_request"), "a", "b", "nm")
+    end = lambda x, *more: nodes.select("request_id", F.col("database_id").alias(x), F.col("dep_nm").alias(f"dep_{x}"), F.col("arr_nm").alias(f"arr_{x}"), *more)
+    own = end("a", "cap_nm").join(edges, "a").join(end("b"), ["request_id", "b"])
+    own = own.filter(f"least(dep_a + arr_b, dep_b + arr_a) + nm <= cap_nm + {SLACK}").select(F.col("request_id").alias("own_request"), "a", "b", "nm")
 
     def solve(nodes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"request_id": [], "total_nm": [], "route": []}, dtype=object)
-        if not len(nodes):
-            return empty
-        table = {r.database_id: (r.identifier, r.published_range_nm, r.dep_nm, r.arr_nm) for r in nodes.itertuples()}
-        links = defaultdict(list)
-        for r in own.itertuples():
-            links[r.a].append((r.b, r.nm))
-            links[r.b].append((r.a, r.nm))
-        best = best_route(table, links, nodes["cap_nm"].iloc[0])
+        nodes = nodes.sort_values("database_id", ignore_index=True)
+        number = pd.Index(nodes["database_id"])
+        column = lambda c: nodes[c].to_numpy(np.float64)
+        names, ids = nodes["identifier"].tolist(), nodes["database_id"].tolist()
+        best = None if nodes.empty else best_route(names, ids, column("published_range_nm"), column("dep_nm"), column("arr_nm"), number.get_indexer(own["a"]), number.get_indexer(own["b"]), own["nm"].to_numpy(np.float64), float(nodes["cap_nm"].iloc[0]))
         if best is None:
-            return empty
-        return pd.DataFrame({"request_id": [nodes["request_id"].iloc[0]], "total_nm": [best[0]], "route": [[{"identifier": n, "database_id": i} for n, i in best[1]]]})
+            return pd.DataFrame({"request_id": [], "total_nm": [], "route": []}, dtype=object)
+        return pd.DataFrame({"request_id": [nodes["request_id"].iloc[0]], "total_nm": [best[0]], "route": [[{"identifier": names[i], "database_id": ids[i]} for i in best[1]]]})
 
     return nodes.groupBy("request_id").cogroup(own.groupBy("own_request")).applyInPandas(solve, FOUND)
 
@@ -191,7 +218,8 @@ def search(found: DataFrame, edges: DataFrame, resolved: DataFrame, factor: floa
 def plan_routes(requests: DataFrame, airports: DataFrame, navaids: DataFrame, factor: float = 1.5, edges: DataFrame | None = None) -> DataFrame:
     """One row for each request: status (found, no-route, or why it can't be planned), mode
     (vor-family, or ndb-fallback where only NDBs beside the VORs give a route), total_nm, legs,
-    route, direct_nm, and both airports."""
+    route, direct_nm, completed_factors (those searched in vain, where there is no route), and both
+    airports."""
     if not (math.isfinite(factor) and factor >= 1):
         raise ValueError("the route factor must be finite and at least 1")
     resolved = settled(resolve_airports(requests, airports))
@@ -204,4 +232,4 @@ def plan_routes(requests: DataFrame, airports: DataFrame, navaids: DataFrame, fa
     second = search(helped, edges, resolved, factor).withColumn("mode", F.lit("ndb-fallback"))
     plans = resolved.join(first.unionByName(second), "request_id", "left")
     status = F.coalesce("status", F.when(F.col("route").isNotNull(), "found").otherwise("no-route"))
-    return plans.select("request_id", "departure_icao", "arrival_icao", status.alias("status"), "mode", "total_nm", F.when(F.col("route").isNotNull(), F.size("route") + 1).alias("legs"), "route", "direct_nm", "departure_airport", "arrival_airport")
+    return plans.select("request_id", "departure_icao", "arrival_icao", status.alias("status"), "mode", "total_nm", F.when(F.col("route").isNotNull(), F.size("route") + 1).alias("legs"), "route", "direct_nm", F.when(F.col("route").isNull() & F.col("direct_nm").isNotNull(), F.array_distinct(F.array(*[F.lit(min(f, factor)) for f in FACTORS]))).alias("completed_factors"), "departure_airport", "arrival_airport")

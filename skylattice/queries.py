@@ -1,6 +1,7 @@
 """The engine's queries over the driver's tables, and DuckDB SQL for the same rows.
 
-Every query covers its whole derived relations. Floats are rounded to 6 digits.
+Every query covers its whole tables; navaids are of all orders, local and long requests of
+all nations. Floats are rounded to 6 digits.
 """
 
 from __future__ import annotations
@@ -54,6 +55,13 @@ def _vors(spark, d) -> DataFrame:
     return derived(spark, d, "navaids").filter(F.col("family").isin(*VOR_FAMILIES))
 
 
+def best_single(near: DataFrame) -> DataFrame:
+    """The best single VOR-family navaid of each request's candidates."""
+    own = near.filter(F.col("family").isin(*VOR_FAMILIES) & (F.col("dep_nm") <= F.col("published_range_nm")) & (F.col("arr_nm") <= F.col("published_range_nm")))
+    best = own.groupBy("request_id").agg(F.min(F.struct((F.col("dep_nm") + F.col("arr_nm")).alias("total_nm"), "identifier", "database_id")).alias("b"))
+    return best.select("request_id", "b.identifier", "b.database_id", "b.total_nm")
+
+
 DIRECT = geo.haversine_sql("a.latitude", "a.longitude", "b.latitude", "b.longitude")
 DEP, ARR = geo.haversine_sql("r.dlat", "r.dlon", "n.latitude", "n.longitude"), geo.haversine_sql("r.alat", "r.alon", "n.latitude", "n.longitude")
 
@@ -73,9 +81,7 @@ LOCALS, LONGS = ("navaids", "local_airports", "local_requests"), ("navaids", "lo
 @query(f"{_cand('local')}, one AS (SELECT request_id, database_id, identifier, dep_nm + arr_nm AS total, row_number() OVER (PARTITION BY request_id ORDER BY dep_nm + arr_nm, identifier, database_id) AS k FROM cand WHERE family IN ({VOR_LIST}) AND dep_nm <= reach AND arr_nm <= reach) SELECT request_id, identifier, database_id, round(total, 6) AS total_nm FROM one WHERE k = 1", LOCALS)
 def one_navaid_route(spark, d):
     """Best route over a single VOR-family navaid."""
-    own = _near(spark, d).filter(F.col("family").isin(*VOR_FAMILIES) & (F.col("dep_nm") <= F.col("published_range_nm")) & (F.col("arr_nm") <= F.col("published_range_nm")))
-    best = own.groupBy("request_id").agg(F.min(F.struct((F.col("dep_nm") + F.col("arr_nm")).alias("total_nm"), "identifier", "database_id")).alias("b"))
-    return rounded(best.select("request_id", "b.identifier", "b.database_id", "b.total_nm"))
+    return rounded(best_single(_near(spark, d)))
 
 
 @query("SELECT q.request_id, q.departure, q.arrival, CASE WHEN a.icao IS NULL OR b.icao IS NULL THEN 'not-found' ELSE 'resolved' END AS status FROM (SELECT * FROM local_requests UNION ALL SELECT concat('x', request_id), departure, concat(substr(arrival, 1, 3), '9') FROM local_requests UNION ALL SELECT concat('y', request_id), departure, concat('Z', substr(arrival, 2, 3)) FROM local_requests) q LEFT JOIN local_airports a ON a.icao = q.departure LEFT JOIN local_airports b ON b.icao = q.arrival", LOCALS)
@@ -113,7 +119,8 @@ def endpoint_ellipse(spark, d):
 def discovery_stage_counts(spark, d):
     """VOR-family candidates that each widening of the ellipse admits."""
     c = _near(spark, d, "long").filter(F.col("family").isin(*VOR_FAMILIES)).withColumn("factor", (F.col("dep_nm") + F.col("arr_nm")) / (F.col("limit_nm") / 1.5))
-    return c.groupBy("request_id").agg(F.count_if(F.col("factor") <= 1.1).alias("n_110"), F.count_if((F.col("factor") > 1.1) & (F.col("factor") <= 1.25)).alias("n_125"), F.count_if(F.col("factor") > 1.25).alias("n_150"))
+    stages = ((None, 1.1, "n_110"), (1.1, 1.25, "n_125"), (1.25, 1.5 + search.SLACK, "n_150"))
+    return c.groupBy("request_id").agg(*[F.count_if(search.newly_admitted("factor", done, limit)).alias(name) for done, limit, name in stages])
 
 
 @query(f"{_cand('local')} SELECT x.request_id, count(*) AS n_pairs, round(min({DIRECT}), 6) AS least_nm, round(max({DIRECT}), 6) AS most_nm FROM cand x JOIN cand y ON x.request_id = y.request_id AND x.database_id < y.database_id JOIN navaids a ON a.database_id = x.database_id JOIN navaids b ON b.database_id = y.database_id GROUP BY x.request_id", LOCALS)

@@ -12,7 +12,6 @@ FAMILIES = tuple(FAMILY_BY_TYPE.values())
 VOR_FAMILIES = FAMILIES[1:]
 # Why a raw record isn't a planner navaid, in the order they are looked at.
 REASONS = ("missing-stable-identity", "unsupported-navaid-type", "invalid-coordinates", "missing-identifier", "invalid-frequency", "invalid-published-range")
-OUTCOMES = ("matched", "no-unique-match", "outside-source-coverage", "unusable-source-value")
 #: Range in NM of a record that gives none.
 DEFAULT_RANGE_NM = 90.0
 
@@ -49,13 +48,45 @@ def _f(name: str, kind) -> StructField:
 ENTITIES = {
     "navaid": _entity(_f("type", IntegerType()), _f("identifier", StringType()), _f("geometry", POINT), _f("frequency", fields("value:s unit:i")), _f("range", MEASURE), _f("channel", StringType()), _f("alignedTrueNorth", BooleanType()), _f("magneticDeclination", DoubleType()), _f("elevation", LIMIT)),
     "airport": _entity(
-        _f("type", IntegerType()), _f("icaoCode", StringType()), _f("iataCode", StringType()), _f("geometry", POINT), _f("elevation", LIMIT), _f("trafficType", ArrayType(IntegerType())), _f("ppr", BooleanType()), _f("private", BooleanType()),
+        _f("type", IntegerType()), _f("icaoCode", StringType()), _f("iataCode", StringType()), _f("geometry", POINT), _f("elevation", LIMIT), _f("trafficType", ArrayType(IntegerType())), _f("ppr", BooleanType()), _f("private", BooleanType()), _f("skydiveActivity", BooleanType()), _f("winchOnly", BooleanType()),
         _f("frequencies", ArrayType(fields("value:s unit:i type:i name:s primary:b publicUse:b"))),
         _f("runways", ArrayType(StructType([StructField("designator", StringType()), StructField("trueHeading", DoubleType()), StructField("mainRunway", BooleanType()), StructField("surface", StructType([StructField("composition", ArrayType(IntegerType())), StructField("condition", IntegerType())]))]))),
-        _f("services", StructType([StructField("fuelTypes", ArrayType(IntegerType())), StructField("gliderTowing", ArrayType(IntegerType()))])),
+        _f("services", StructType([StructField("fuelTypes", ArrayType(IntegerType())), StructField("gliderTowing", ArrayType(IntegerType())), StructField("handlingFacilities", ArrayType(IntegerType())), StructField("passengerFacilities", ArrayType(IntegerType()))])),
     ),
     "airspace": _entity(_f("type", IntegerType()), _f("icaoClass", IntegerType()), _f("activity", IntegerType()), _f("geometry", POLYGON), _f("upperLimit", LIMIT), _f("lowerLimit", LIMIT), _f("onDemand", BooleanType()), _f("onRequest", BooleanType()), _f("byNotam", BooleanType())),
-    "hotspot": _entity(_f("type", IntegerType()), _f("reliability", IntegerType()), _f("occurrence", IntegerType()), _f("geometry", POINT), _f("aircraftCategories", ArrayType(IntegerType()))),
+    "hotspot": _entity(_f("type", IntegerType()), _f("reliability", IntegerType()), _f("occurrence", IntegerType()), _f("geometry", POINT), *[_f(n, ArrayType(IntegerType())) for n in ("aircraftCategories", "timeOfDay", "favTimeOfDay", "favWindDirection", "reqWindDirection")]),
     "obstacle": _entity(_f("type", IntegerType()), _f("geometry", POINT), _f("elevation", LIMIT), _f("height", LIMIT), _f("osmTags", MapType(StringType(), StringType()))),
     "reporting-point": _entity(_f("compulsory", BooleanType()), _f("geometry", POINT), _f("airports", ArrayType(StringType()))),
 }
+
+#: Filters of each entity by the parameter's name: the field that equals a value or shares one.
+FILTERS = {
+    "navaid": {"type": "type", "alignedTrueNorth": "alignedTrueNorth"},
+    "airport": {
+        "type": "type", "trafficType": "trafficType", "ppr": "ppr", "private": "private", "skydiveActivity": "skydiveActivity", "winchOnly": "winchOnly", "servicesFuelType": "services.fuelTypes",
+        "servicesGliderTowing": "services.gliderTowing", "servicesHandlingFacility": "services.handlingFacilities", "servicesPassengerFacility": "services.passengerFacilities",
+    },
+    "airspace": {n: n for n in ("type", "icaoClass", "activity", "onDemand", "onRequest", "byNotam")},
+    "hotspot": {"category": "aircraftCategories"} | {n: n for n in ("type", "reliability", "occurrence", "timeOfDay", "favTimeOfDay", "favWindDirection", "reqWindDirection")},
+    "obstacle": {"type": "type"},
+    "reporting-point": {"airport": "airports"},
+}
+
+#: Versions of the stored tables, and how a version's tables become the next one's; a version
+#: without a step is the newest.
+MIGRATIONS: dict[int, tuple] = {}
+
+
+def migration_steps(have: int, want: int = VERSION, steps: dict[int, tuple] | None = None) -> list:
+    """Functions that take a version's tables to the wanted one, in order; steps has, for a
+    version, the next version and the function. Cycles and versions without a way are errors."""
+    steps, found, seen = MIGRATIONS if steps is None else steps, [], {have}
+    while have != want:
+        if have not in steps:
+            raise ValueError(f"there is no way from version {have} to {want}")
+        have, step = steps[have]
+        if have in seen:
+            raise ValueError(f"the steps from version {have} end in a circle")
+        seen.add(have)
+        found.append(step)
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 
@@ -39,23 +40,37 @@ def unpack(archives: DataFrame, member: str = MEMBER) -> DataFrame:
     return hashed.mapInPandas(run, "path string, archive_checksum string, body string")
 
 
-def read_cycle(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of the CSV in the archives at ``path``, all columns text, checked against the header."""
-    archives = spark.read.format("binaryFile").load(path)
+def table_rows(body: str, columns: list[str]) -> list[list[str]]:
+    """Rows of a CSV text below its header; other headers, header names that stand twice, and
+    rows with more or fewer fields are errors. Empty lines don't count."""
+    rows = [r for r in csv.reader(io.StringIO(body, newline=""), strict=True) if r]
+    if not rows or rows[0] != columns or len(set(columns)) != len(columns):
+        raise ValueError(f"unexpected header: {rows[0] if rows else []}")
+    for i, r in enumerate(rows[1:], 2):
+        if len(r) != len(columns):
+            raise ValueError(f"row {i} has {len(r)} fields, not {len(columns)}")
+    return rows[1:]
+
+
+def parse(unpacked: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the CSV texts in ``body``, all columns text. A text is parsed by one task: it is the
+    one member of an archive, of MOST_BYTES at most."""
 
     def run(batches):
         for batch in batches:
             for body in batch["body"]:
-                rows = pd.read_csv(io.StringIO(body), dtype=str, keep_default_na=False)
-                if list(rows.columns) != columns:
-                    raise ValueError(f"unexpected header: {list(rows.columns)}")
-                yield rows
+                yield pd.DataFrame(table_rows(body, columns), columns=columns, dtype=object)
 
-    return unpack(archives).select("body").mapInPandas(run, StructType([StructField(c, StringType()) for c in columns]))
+    return unpacked.select("body").mapInPandas(run, StructType([StructField(c, StringType()) for c in columns]))
+
+
+def read_cycle(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of the CSV in the archives at ``path``."""
+    return parse(unpack(spark.read.format("binaryFile").load(path)), columns)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of plain CSV files: quotes are doubled, line ends may stand in quotes, every row has
     all columns, the header is the given one."""
     schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False, emptyValue="")
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False, emptyValue="").na.fill("")

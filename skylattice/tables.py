@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one on a local master;
+    a cluster must name one."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(base)
+    return base
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in spark.checkpoint.dir; a temporary folder where unset."""
-    context = df.sparkSession.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoint-"))
+    """``df`` computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

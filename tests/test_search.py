@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from skylattice.plans.legs import route_legs, warning_summary, warnings
@@ -17,10 +18,10 @@ def test_best_route_is_the_exhaustive_one(seed):
     rng = random.Random(seed)
     n = rng.randint(1, 6)
     nodes = {f"id{i}": (f"N{rng.randint(0, 3)}", rng.randint(1, 8), rng.randint(1, 9), rng.randint(1, 9)) for i in range(n)}
-    # positions on a line keep distances to the arrival consistent with those between nodes
+    # distances to both ends are consistent with those between nodes
     links: dict = {}
     for a, b in itertools.combinations(nodes, 2):
-        d = max(abs(nodes[a][3] - nodes[b][3]), rng.randint(1, 6))
+        d = max(abs(nodes[a][3] - nodes[b][3]), abs(nodes[a][2] - nodes[b][2]), rng.randint(1, 6))
         if rng.random() < 0.7:
             links.setdefault(a, []).append((b, d))
             links.setdefault(b, []).append((a, d))
@@ -34,7 +35,12 @@ def test_best_route_is_the_exhaustive_one(seed):
             if total <= cap:
                 every.append((total, k + 1, tuple((nodes[i][0], i) for i in path)))
     best = min(every, default=None)
-    assert best_route(nodes, links, cap) == (None if best is None else (best[0], best[2]))
+    ids = sorted(nodes)
+    number = {x: k for k, x in enumerate(ids)}
+    pairs = sorted({(min(a, b), max(a, b), d) for a, near in links.items() for b, d in near})
+    column = lambda k: np.array([float(nodes[x][k]) for x in ids])
+    got = best_route([nodes[x][0] for x in ids], ids, column(1), column(2), column(3), np.array([number[a] for a, _, _ in pairs], np.int64), np.array([number[b] for _, b, _ in pairs], np.int64), np.array([float(d) for _, _, d in pairs]), float(cap))
+    assert (None if got is None else (got[0], tuple((nodes[ids[k]][0], ids[k]) for k in got[1]))) == (None if best is None else (best[0], best[2]))
 
 
 def test_limits():

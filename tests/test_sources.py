@@ -5,6 +5,8 @@ import zipfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from skylattice.operators import classify, contract, snapshot
 from skylattice.schema import AIRPORTS, METADATA, NAVAIDS
 from skylattice.sources import cycles, pages
@@ -27,8 +29,8 @@ def test_pages(spark, tmp_path):
     parsed = _read(spark, tmp_path, _page(1, 3, ["a", "b"]), _page(2, 3, ["c"]))
     assert not any(v for v in pages.drift(parsed).first())
     found = pages.typed(pages.records(parsed), "navaid")
-    assert found.count() == 3 and pages.selected(found, search="name C").count() == 1 and pages.selected(found, country="CA").count() == 0
-    assert pages.selected(found, box=(0.0, 0.0, 1.5, 20.0)).count() == 2 and pages.selected(found, within=(10.0, 2.0, 5000.0)).count() == 1
+    assert found.count() == 3 and pages.selected(found, "navaid", search="name C").count() == 1 and pages.selected(found, "navaid", country="CA").count() == 0
+    assert pages.selected(found, "navaid", box=(0.0, 0.0, 1.5, 20.0)).count() == 2 and pages.selected(found, "navaid", within=(10.0, 2.0, 5000.0)).count() == 1
 
 
 @pytest.mark.parametrize(
@@ -47,10 +49,32 @@ def test_drift(spark, tmp_path, flag, bodies):
     assert pages.drift(_read(spark, tmp_path, *bodies)).first()[flag]
 
 
+def test_names_are_searched_as_they_are(spark, tmp_path):
+    found = pages.typed(pages.records(_read(spark, tmp_path, _page(1, 2, ["a%", "a_b"]))), "navaid")
+    ids = lambda **how: sorted(r["_id"] for r in pages.selected(found, "navaid", fields=["_id"], **how).collect())
+    assert ids(search="%", anywhere=True) == ["a%"] and ids(search="name a") == ["a%", "a_b"] and ids(search="A_", anywhere=True) == ["a_b"] and ids(ids=["a%"]) == ["a%"]
+
+
+def test_attempts(spark, tmp_path):
+    parsed = _read(spark, tmp_path, _page(1, 3, ["a", "b"]), _page(1, 3, ["a", "b"]), _page(2, 3, ["c"]))
+    numbered = parsed.withColumn("attempt", F.when(F.col("file") == "0.json", 1).otherwise(2))
+    assert pages.stable_attempt(pages.drift(numbered, "attempt")) == 2
+    with pytest.raises(ValueError, match="changed"):
+        pages.stable_attempt(pages.drift(numbered.filter("attempt = 1"), "attempt"))
+
+
+@pytest.mark.parametrize("body", ["A,B\n1,2,3\n2,3\n", "A,B\n1\n", "A,A\n1,2\n", "B,A\n1,2\n", "", 'A,B\n"x,1\n'])
+def test_other_tables_are_refused(body):
+    with pytest.raises((ValueError, cycles.csv.Error)):
+        cycles.table_rows(body, ["A", "A"] if "A,A" in body else ["A", "B"])
+
+
 def test_cycle_archive(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr(cycles.MEMBER, 'A,B\r\n"1, ""x""",\r\n2,y\r\n')
     assert [tuple(r) for r in cycles.read_cycle(spark, str(tmp_path / "a.zip"), ["A", "B"]).collect()] == [('1, "x"', ""), ("2", "y")]
+    (tmp_path / "a.csv").write_text('A,B\n"1\n""x""",\n2,y\n')
+    assert [tuple(r) for r in cycles.read_csv(spark, str(tmp_path / "a.csv"), ["A", "B"]).collect()] == [('1\n"x"', ""), ("2", "y")]
     with pytest.raises(Exception, match="unexpected header"):
         cycles.read_cycle(spark, str(tmp_path / "a.zip"), ["A"]).collect()
 
