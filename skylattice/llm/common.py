@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +112,14 @@ def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return marked.filter(~flag).unionByName(marked.filter(flag).join(gone, name, "left_anti")).select(df.columns)
 
 
+#: Settings of the tasks' Python processes, which are reused: large arrays go back to the system
+#: when they are freed, instead of staying with the process.
+WORKERS = {"MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}
+
+
 def _importable(df: DataFrame) -> None:
     env = df.sparkSession.sparkContext.environment
+    env.update(WORKERS)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
@@ -134,6 +141,14 @@ def whole(text: str = "text"):
     return F.coalesce(F.col(text), F.lit("")).alias(text)
 
 
+def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that have a column row, a struct with the text, with its text (null as empty) beside
+    it: so the text is sent once."""
+    for batch in batches:
+        text = pc.fill_null(pc.struct_field(batch.column("row"), "text"), "")
+        yield batch.append_column("text", text)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array without nulls, and the offsets of its texts in them."""
     wide = pa.types.is_large_string(column.type)

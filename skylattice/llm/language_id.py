@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import arrow_map, pieces, whole
+from skylattice.llm.common import arrow_map, pieces, whole, with_text
 
 #: Rows of the embedding table, its width, and the n-gram lengths.
 ROWS, WIDTH, GRAMS = 1 << 15, 12, (1, 2, 3)
@@ -222,13 +222,13 @@ def language_id(docs: DataFrame, model: Model | None = None, carry: bool = False
 
     def run(batches):
         m = sent.value
-        for batch in batches:
+        for batch in with_text(batches) if carry else batches:
             for part in pieces(batch, most=1 << 20):
                 names, scores = m.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores), pa.array([n == UNKNOWN or s < m.threshold for n, s in zip(names, scores)]), part.column("row")], ["doc_id", "held_out", "lang_pred", "score", "rejected", "row"])
 
     row = (F.struct("*") if carry else F.lit(None).cast("boolean")).alias("row")
     kinds = [docs.schema["doc_id"].dataType.simpleString(), docs.select(row).schema["row"].dataType.simpleString()]
-    asked = docs.select("doc_id", whole(), F.coalesce(bucket() == 2, F.lit(False)).alias("held_out"), row)
+    asked = docs.select("doc_id", *([] if carry else [whole()]), F.coalesce(bucket() == 2, F.lit(False)).alias("held_out"), row)
     out = arrow_map(asked, run, "doc_id %s, held_out boolean, lang_pred string, score double, rejected boolean, row %s" % tuple(kinds))
     return out if carry else out.drop("row")

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import NOT_SPACE, TO_LOWER, arrow_map, drawn, pieces, span_hashes, stash, text_buffer, whole, word_bounds
+from skylattice.llm.common import NOT_SPACE, TO_LOWER, arrow_map, drawn, pieces, span_hashes, stash, text_buffer, whole, with_text, word_bounds
 
 #: Topics, hashed word dimensions, texts that centroids start from, and rounds over all texts.
 TOPICS, DIMENSIONS, SAMPLE, ROUNDS = 8, 1 << 11, 2_000, 3
 #: Parts of one that vectors are added up in.
 FIXED = 1 << 20
 #: Texts whose counts are held at once.
-ROWS = 1_000
+ROWS = 500
 #: Sweeps over the margins in one job, jobs at most, and the relative error that ends them.
 SWEEPS, JOBS, ERROR = 4, 12, 1e-3
 #: Cells up to this number are raked in one array; more of them as a table.
@@ -136,14 +136,14 @@ def described(docs: DataFrame, topics) -> DataFrame:
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(20_011)), F.lit(1 << 40)) / float(1 << 40)
 
     def run(batches):
-        for batch in batches:
+        for batch in with_text(batches):
             for part in pieces(batch, rows=ROWS):
                 counts, sizes = hashed_words(*text_buffer(part.column("text")))
                 named = pa.array([f"t{i}" for i in topics.value.assign(counts).tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("source"), part.column("lang"), named, pa.array(sizes, pa.int64()), part.column("draw")], ["row", "source", "lang", "topic", "n_tokens", "draw"])
 
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return arrow_map(docs.select(F.struct("*").alias("row"), *key, whole(), draw.alias("draw")), run, f"row {kind}, source string, lang string, topic string, n_tokens long, draw double")
+    return arrow_map(docs.select(F.struct("*").alias("row"), *key, draw.alias("draw")), run, f"row {kind}, source string, lang string, topic string, n_tokens long, draw double")
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
