@@ -1,20 +1,23 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-Lines, paragraphs and the whole text are compared. An inverted index of the templates'
-bigrams finds the units that share enough of them; size bounds leave out templates whose
-number of bigrams can't reach the wanted coefficient.
+Lines, paragraphs, the whole text, and runs of a template's length inside it are compared. An
+inverted index of the templates' bigrams finds the units that share enough of them; size bounds
+leave out templates whose number of bigrams can't reach the wanted coefficient. Templates are
+notices of a line or a paragraph and full licence texts.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skylattice.llm.common import LOWER_WORD, TO_LOWER, arrow_map, gram_hashes, pieces, span_hashes, text_buffer, whole, word_bounds
+from skylattice.llm.common import LOWER_WORD, TO_LOWER, arrow_map, byte_table, gram_hashes, pieces, span_hashes, text_buffer, whole, word_bounds
 
-# Notices and short licence texts as their publishers word them.
-TEMPLATES = {
+# Notices and parts of licences as their publishers word them.
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -33,20 +36,43 @@ TEMPLATES = {
 }
 
 
+#: Full licence texts, one in each file of the folder, named by it.
+FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licenses")
+
+
+def templates_in(folder: str = FOLDER) -> dict[str, str]:
+    """The notices, and the full texts of a folder (-full: the whole text)."""
+    found = dict(NOTICES)
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".txt"):
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                found[f"{name[:-4]}-full"] = f.read()
+    return found
+
+
+TEMPLATES = templates_in()
+
+
 class Templates:
-    """Bigram sets of the templates, and the hashes of all their bigrams."""
+    """Bigram sets and lengths of the templates; their bigrams' hashes, and under each the numbers
+    of the templates that have it."""
 
     def __init__(self, templates: dict[str, str], least: float):
         self.names = sorted(templates)
         self.least = least
-        self.sets = []
+        self.sets, self.lengths = [], []
         for n in self.names:
             data = TO_LOWER[np.frombuffer(templates[n].encode(), np.uint8)]
             starts, ends, _ = word_bounds(data, np.array([0, len(data)]), LOWER_WORD)
             self.sets.append(set(gram_hashes(span_hashes(data, starts, ends), 2).tolist()))
+            self.lengths.append(len(starts))
         self.bigrams = np.array(sorted(set().union(*self.sets)), np.uint64)
-        # fewest shared bigrams with which any template can be reached
-        self.fewest = min((least / 2 * (len(s) + len(s) * least / (2 - least)) for s in self.sets if s), default=np.inf)
+        place = {g: i for i, g in enumerate(self.bigrams.tolist())}
+        pairs = np.array(sorted((place[g], t) for t, own in enumerate(self.sets) for g in own), np.int64).reshape(-1, 2)
+        self.owners, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.bigrams) + 1))
+        # fewest shared bigrams with which a template, and any, can be reached
+        self.needed = np.array([least / (2 - least) * len(s) if s else np.inf for s in self.sets])
+        self.fewest = self.needed.min(initial=np.inf)
 
     def compared(self, unit: set[int]) -> list[tuple[float, str]]:
         """(Dice, name) of the templates that the unit reaches."""
@@ -59,12 +85,41 @@ class Templates:
                     found.append((dice, name))
         return found
 
+    def runs(self, grams: np.ndarray, at: np.ndarray, shared: np.ndarray, ends: np.ndarray) -> list[tuple[int, float, str]]:
+        """(first bigram, Dice, name) of each text's best run of each template that it reaches.
+
+        at: places in ``bigrams`` of the bigrams numbered ``shared``; ends: past the last bigram of
+        the text that each of them is in. A run begins with a shared bigram, has as many words as
+        the template or ends with the text, and is the first with most shared bigrams."""
+        many = self.first[at + 1] - self.first[at]
+        owner = self.owners[np.repeat(self.first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        place, end = np.repeat(shared, many), np.repeat(ends, many)
+        found = []
+        for t in np.unique(owner).tolist():
+            own = owner == t
+            p, e = place[own], end[own]
+            count = np.searchsorted(p, np.minimum(p + self.lengths[t] - 1, e)) - np.arange(len(p))
+            good = np.flatnonzero(count >= self.needed[t] - 1e-9)
+            for text in np.unique(e[good]).tolist():
+                mine = good[e[good] == text]
+                i = int(p[mine[np.argmax(count[mine])]])
+                unit = set(grams[i : min(i + self.lengths[t] - 1, text)].tolist())
+                dice = 2 * len(self.sets[t] & unit) / (len(self.sets[t]) + len(unit))
+                if dice >= self.least:
+                    found.append((i, dice, self.names[t]))
+        return found
+
+
+_BLANK = byte_table((0x20, 0x20), (0x09, 0x09), (0x0D, 0x0D))
+
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Byte offsets where units of each kind begin."""
-    feed = np.flatnonzero(data == 0x0A) + 1
-    twice = feed[np.isin(feed - 1, feed)]
-    return {"line": np.union1d(feed, offsets), "paragraph": np.union1d(twice, offsets), "text": offsets}
+    """Byte offsets where units of each kind begin. A paragraph begins after a line of nothing but
+    blanks (space, tab, carriage return)."""
+    feed = np.flatnonzero(data == 0x0A)
+    filled = np.concatenate(([0], np.cumsum(~_BLANK[data] & (data != 0x0A))))
+    after = feed[1:][filled[feed[1:]] == filled[feed[:-1] + 1]] + 1
+    return {"line": np.union1d(feed + 1, offsets), "paragraph": np.union1d(after, offsets), "text": offsets}
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
@@ -72,7 +127,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
 
     Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters; two texts
     are compared by their sets of word bigrams. Units are the lines, the paragraphs (between
-    empty lines) and the whole text. license is the template of the highest Dice coefficient
+    lines of blanks), the whole text, and for each template the run of its number of words (or up
+    to the text's end) that begins with one of its bigrams and holds most of them, the first of
+    such. license is the template of the highest Dice coefficient
     (rounded to 6 digits; of equal ones the first by name), licenses all that a unit reaches
     with ``least`` or more, by name and comma-joined, n_lines the lines that reach one. Where
     nothing is found, and for null and empty texts, license is null, dice 0 and licenses empty.
@@ -105,6 +162,16 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                         names[d].update(name for _, name in found)
                         lines[d] += kind == "line"
                         best[d] = min([best[d], *found], key=lambda x: (-x[0], x[1] or ""))
+                first = np.searchsorted(starts, offsets)
+                hits = np.flatnonzero(known.bigrams[at] == grams)
+                text = np.searchsorted(first, hits, "right") - 1
+                inside = hits + 1 < first[text + 1]
+                hits, text = hits[inside], text[inside]
+                many = np.bincount(text, minlength=n)[text] >= known.fewest - 1e-9
+                for i, dice, name in known.runs(grams, at[hits[many]], hits[many], first[text[many] + 1] - 1):
+                    d = int(np.searchsorted(first, i, "right")) - 1
+                    names[d].add(name)
+                    best[d] = min([best[d], (dice, name)], key=lambda x: (-x[0], x[1] or ""))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([x[1] for x in best], pa.string()), pa.array([round(x[0], 6) for x in best]), pa.array([",".join(sorted(x)) for x in names], pa.string()), pa.array(lines)],
                     ["doc_id", "license", "dice", "licenses", "n_lines"],
@@ -119,18 +186,26 @@ def oracle(templates: dict[str, str] | None = None, least: float = 0.8) -> str:
     values = ", ".join("('%s', '%s')" % (n, t.replace("'", "''")) for n, t in sorted((templates or TEMPLATES).items()))
     low = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"regexp_extract_all({low % 'u'}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    all_grams = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    grams = f"list_distinct({all_grams})"
     return f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         units AS (SELECT r, 'line' AS kind, unnest(string_split(text, chr(10))) AS u FROM d
-                  UNION ALL SELECT r, 'paragraph', unnest(regexp_split_to_array(text, '\\n\\n+')) FROM d
+                  UNION ALL SELECT r, 'paragraph', unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n([ \\t\\r]*\\n)*')) FROM d
                   UNION ALL SELECT r, 'text', text FROM d),
         ug AS (SELECT id, r, kind, g, len(g) AS na FROM (SELECT row_number() OVER () AS id, r, kind, {grams} AS g FROM (SELECT r, kind, {words} AS w FROM units) x) y WHERE len(g) > 0),
-        t AS (SELECT name, g, len(g) AS nb FROM (SELECT name, {grams} AS g FROM (SELECT name, {words} AS w FROM (VALUES {values}) v(name, u)) x) y),
-        tg AS (SELECT name, nb, unnest(g) AS b FROM t),
+        t AS (SELECT name, nw, g, len(g) AS nb FROM (SELECT name, len(w) AS nw, {grams} AS g FROM (SELECT name, {words} AS w FROM (VALUES {values}) v(name, u)) x) y),
+        tg AS (SELECT name, nb, nw, unnest(g) AS b FROM t),
         ub AS (SELECT id, r, kind, na, unnest(g) AS b FROM ug),
         m AS (SELECT id, r, kind, name, 2.0::DOUBLE * count(*) / (na + nb) AS dice FROM ub JOIN tg USING (b) GROUP BY id, r, kind, name, na, nb HAVING 2.0::DOUBLE * count(*) / (na + nb) >= {least}),
-        best AS (SELECT r, name, dice FROM m QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, name) = 1),
-        allm AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT CASE WHEN kind = 'line' THEN id END) AS n_lines FROM m GROUP BY r)
+        dg AS (SELECT r, {all_grams} AS g FROM (SELECT r, {words} AS w FROM (SELECT r, text AS u FROM d) x) y),
+        h AS (SELECT r, name, nb, nw, i FROM (SELECT r, unnest(g) AS b, unnest(range(1, len(g) + 1)) AS i FROM dg) x JOIN tg USING (b)),
+        c AS (SELECT *, count(*) OVER (PARTITION BY r, name ORDER BY i RANGE BETWEEN CURRENT ROW AND nw - 2 FOLLOWING) AS c FROM h),
+        k AS (SELECT r, name, nb, list_distinct(g[i:i + nw - 2]) AS g FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY r, name ORDER BY c DESC, i) = 1) x JOIN dg USING (r) WHERE c >= {least / (2 - least)!r} * nb - 1e-9),
+        w AS (SELECT r, name, 2.0::DOUBLE * count(*) / (na + nb) AS dice FROM (SELECT r, name, nb, len(g) AS na, unnest(g) AS b FROM k) x JOIN (SELECT name, b FROM tg) y USING (name, b) GROUP BY r, name, na, nb HAVING 2.0::DOUBLE * count(*) / (na + nb) >= {least}),
+        every AS (SELECT r, name, dice FROM m UNION ALL SELECT r, name, dice FROM w),
+        best AS (SELECT r, name, dice FROM every QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, name) = 1),
+        allm AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM every GROUP BY r),
+        ln AS (SELECT r, count(DISTINCT id) AS n_lines FROM m WHERE kind = 'line' GROUP BY r)
         SELECT doc_id, name AS license, round(coalesce(dice, 0), 6) AS dice, coalesce(licenses, '') AS licenses, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
-        FROM d LEFT JOIN best USING (r) LEFT JOIN allm USING (r)"""
+        FROM d LEFT JOIN best USING (r) LEFT JOIN allm USING (r) LEFT JOIN ln USING (r)"""

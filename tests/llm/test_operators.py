@@ -3,6 +3,7 @@
 import base64
 import gzip
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,18 @@ def test_licences(spark):
     assert got[1] == ("MIT-text", 1.0, 1) and got[2][0] == "MIT-text" and 0.8 <= got[2][1] < 1 and got[3] == (None, 0.0, 0) and got[4] == ("MIT", 1.0, 1)
 
 
+def test_whole_licence_files(spark):
+    """Licence files with a copyright line, wrapped lines, comment marks or other text around."""
+    full = {n: t for n, t in TEMPLATES.items() if n.endswith("-full")}
+    wrap = lambda t, mark="", end="\n": end.join(mark + line for line in textwrap.wrap(" ".join(t.split()), 70))
+    shapes = [lambda t: "Copyright (c) 2020 Some One\n\n" + t, lambda t: wrap(t, " * "), lambda t: wrap(t, "# ", "\r\n"), lambda t: "other words before it " * 40 + wrap(t) + " and some after it" * 40]
+    rows = [(f"{n}/{i}", shape(t)) for n, t in full.items() for i, shape in enumerate(shapes)]
+    got = {r["doc_id"]: r["licenses"].split(",") for r in license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(k.partition("/")[0] in v for k, v in got.items()), [k for k, v in got.items() if k.partition("/")[0] not in v]
+    line = spark.createDataFrame([(1, "As it says, this file is Released under the MIT License. Please read it.")], "doc_id long, text string")
+    assert license_scan(line).first()["licenses"] == "MIT"
+
+
 def test_targets_are_met(spark):
     docs = spark.createDataFrame([(i, f"word{i} " * (5 + i % 7), "en" if i % 4 else "de", f"s{i % 3}") for i in range(600)], "doc_id long, text string, lang string, source string")
     rows = mixing(docs, {"source": {"s0": 0.6, "s1": 0.3, "s2": 0.1}, "lang": {"en": 0.5, "de": 0.5}}).collect()
