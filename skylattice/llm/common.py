@@ -182,8 +182,8 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES, r
 
 
 _SEED = np.random.default_rng(20240229)
-_MIX = _SEED.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = {"byte": 0x9E3779B97F4A7C15 | 1, "word": 0xD1342543DE82EF95 | 1}
+_MIX = {kind: _SEED.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for kind in ("byte", "other")}
+_BASE = {"byte": 0x9E3779B97F4A7C15 | 1, "word": 0xD1342543DE82EF95 | 1, "other": 0xA24BAED4963EE407 | 1}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -232,20 +232,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end)."""
-    up, down = _powers("byte", len(data) + 1)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str = "byte") -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end); kinds are independent of each other."""
+    up, down = _powers(kind, len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_MIX[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
+    np.cumsum(_MIX[kind][data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, n: int, kind: str = "word") -> np.ndarray:
     """64-bit hashes of all runs of n word hashes; run i starts at word i."""
     k = len(words) - n + 1
     if k <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers("word", len(words) + 1)
+    up, down = _powers(kind, len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], dtype=np.uint64, out=sums[1:])
     return mixed((sums[n:] - sums[:k]) * down[:k])
