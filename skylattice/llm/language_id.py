@@ -20,9 +20,9 @@ from skylattice.llm.common import arrow_map, pieces, whole, with_text
 
 #: Rows of the embedding table, its width, and the n-gram lengths.
 ROWS, WIDTH, GRAMS = 1 << 15, 12, (1, 2, 3)
-#: Bounds of the training sample: languages (the most frequent), documents of all of them and
-#: of one, and characters of a document; longer ones are not learned from.
-LANGUAGES, SAMPLE, DOCUMENTS, CHARACTERS = 200, 6_000, 500, 10_000
+#: Bounds of the training sample: documents of a language, and of all of them (but at least
+#: EACH of a language); and characters learned of a document, from a place drawn by its hash.
+SAMPLE, DOCUMENTS, EACH, CHARACTERS = 6_000, 500, 20, 10_000
 EPOCHS, RATE, BATCH = 6, 4.0, 32
 #: Characters whose n-grams are held at once.
 BLOCK = 1 << 18
@@ -193,17 +193,21 @@ def bucket(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model of the labelled documents that aren't held out. Language counts are over all of
-    them; the sample is the share of each language, by hash of the row, that gives about
-    DOCUMENTS of up to CHARACTERS characters."""
-    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (bucket() != 2) & (F.length("text") <= CHARACTERS))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """A model of the labelled documents that aren't held out, of every language. Language counts
+    are over all of them; the sample is the share of each language, by hash of the row, that
+    gives about DOCUMENTS of them (fewer where there are many languages); of a longer document
+    CHARACTERS at one place are learned."""
+    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (bucket() != 2) & F.col("text").isNotNull())
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return train([], [])
-    most = min(DOCUMENTS, SAMPLE // len(counts))
+    most = max(EACH, min(DOCUMENTS, SAMPLE // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["count"])))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.filter(drawn < share[F.col("lang")]).select("text", "lang").limit(2 * SAMPLE)
+    place = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    drawn = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
+    start = F.pmod(F.shiftright(place, 30), F.greatest(F.length("text") - CHARACTERS + 1, F.lit(1))) + 1
+    excerpt = F.when(F.length("text") > CHARACTERS, F.substring("text", start.cast("int"), F.lit(CHARACTERS))).otherwise(F.col("text")).alias("text")
+    sample = usable.filter(drawn < share[F.col("lang")]).select(excerpt, "lang").limit(2 * max(SAMPLE, EACH * len(counts)))
     rows = sorted((r["lang"], r["text"]) for r in sample.collect())
     return train([t for _, t in rows], [lang for lang, _ in rows])
 

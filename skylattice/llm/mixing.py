@@ -200,7 +200,7 @@ def _rake_table(cells: DataFrame) -> DataFrame:
             for m in MARGINS:
                 cells = cells.withColumn("raked", F.when(margin[m] > 0, F.col("raked") * F.col(f"want_{m}") / margin[m]).otherwise(0.0))
         cells = stash(spark, cells, "cells")
-        off = max(cells.groupBy(m).agg((F.abs(F.sum("raked") - F.first(f"want_{m}")) / F.greatest(F.first(f"want_{m}"), F.lit(1e-9))).alias("off"), F.sum("raked").alias("t")).filter("t > 0").agg(F.max("off")).first()[0] or 0.0 for m in MARGINS[:-1])
+        off = max(cells.groupBy(m).agg((F.abs(F.sum("raked") - F.first(f"want_{m}")) / F.greatest(F.first(f"want_{m}"), F.lit(1e-9))).alias("off"), F.sum("raked").alias("t")).filter("t > 0").agg(F.max("off")).first()[0] or 0.0 for m in MARGINS)
         if off < ERROR:
             break
     else:

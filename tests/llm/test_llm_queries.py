@@ -1,6 +1,9 @@
 """The registered queries against their SQL and, where there is none, brute force."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
 from collections import defaultdict
 
@@ -11,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from skylattice.llm import queries
-from skylattice.llm.url_filter import RULES
+from skylattice.llm.url_filter import RULES, url_filter
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -46,6 +49,105 @@ def test_language_id(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_id_by_brute_force(spark, sf_dir, texts):
+    """Predictions again from the model's tables, one n-gram at a time."""
+    from skylattice.llm import language_id as own
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = own.fit(docs)
+    got = {r["doc_id"]: r for r in own.language_id(docs, model).collect()}
+    wide = (1 << 64) - 1
+    for doc in sorted(texts)[:40]:
+        letter = lambda c: 0x61 <= c <= 0x7A or (c >= 0xAA and not 0x2000 <= c < 0x2C00 and not 0x3000 <= c < 0x3041)
+        points = [ord(c) if letter(ord(c)) else 0x20 for c in f" {texts[doc]} ".lower()]
+        points = [c for i, c in enumerate(points) if c != 0x20 or i == 0 or points[i - 1] != 0x20]
+        sums, n = [0.0] * len(model.languages), 0
+        for i in range(len(points)):
+            h = 0
+            for k in range(min(max(own.GRAMS), len(points) - i)):
+                h = (h * 0x100000001B3 + points[i + k]) * 0x9E3779B97F4A7C15 & wide
+                h ^= h >> 29
+                gram = points[i : i + k + 1]
+                if 0x20 in gram[1:-1] or gram == [0x20]:
+                    continue
+                row = h >> (65 - own.ROWS.bit_length())
+                sums = [a + float(b) for a, b in zip(sums, model.table[row])]
+                n += 1
+        z = [(a / max(1, n) + b) / model.temperature for a, b in zip(sums, model.bias)]
+        p = [math.exp(x - max(z)) for x in z]
+        best = p.index(max(p))
+        if any(map(str.isalpha, texts[doc])):
+            assert got[doc]["lang_pred"] == model.languages[best] and got[doc]["score"] == pytest.approx(p[best] / sum(p), abs=1e-6)
+        else:
+            assert (got[doc]["lang_pred"], got[doc]["score"]) == ("und", 0)
+
+
+def test_mined_rules_by_brute_force(spark):
+    """Rules of all token sets, pruned by support, confidence, lift and shorter rules; verdicts."""
+    rng = random.Random(6)
+    rows = [(i, "http://" + rng.choice("abc") + ".org/" + "/".join(rng.sample(["x", "y", "z", "w"], rng.randint(0, 3)))) for i in range(400)]
+    bad = {i for i, u in rows if rng.random() < (0.9 if "x" in u[13:] and "y" in u[13:] else 0.1)}
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in range(250)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_filter(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+
+    def tokens(u):
+        host, _, path = u.partition("://")[2].partition("/")
+        return frozenset([f"h:{x}" for x in host.split(".")] + [f"p:{x}" for x in path.split("/") if x])
+
+    sets = [tokens(u) for _, u in rows[:250]]
+    rules = {}
+    for n in range(1, 6):
+        for a in {c for s in sets for c in itertools.combinations(sorted(s), n)}:
+            holds = [i for i, s in enumerate(sets) if set(a) <= s]
+            hit = sum(i in bad for i in holds)
+            sure = hit / len(holds)
+            if hit / 250 >= 10 / 250 and sure >= 0.6 and sure / (len([i for i in bad if i < 250]) / 250) >= 1.5:
+                rules[a] = sure
+    rules = {a: c for a, c in rules.items() if not any(set(b) < set(a) and d >= c for b, d in rules.items())}
+    assert len(rules) > 1
+    for i, u in rows:
+        fits = [(c, " ".join(a)) for a, c in rules.items() if set(a) <= tokens(u)]
+        assert got[i]["verdict"] == ("block" if fits else "allow")
+        assert (got[i]["pattern"], got[i]["confidence"]) == ((max(fits)[1], pytest.approx(max(fits)[0])) if fits else (None, None))
+
+
+def test_mixing_by_brute_force(spark, sf_dir):
+    """Raking and the scale again in plain Python, from the rows' own cells."""
+    rows = queries.op9_mixing(spark, sf_dir).collect()
+    cells = defaultdict(float)
+    for r in rows:
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    total, raked = sum(cells.values()), dict(cells)
+    want = []
+    for m, power in enumerate((0.5, 0.7, 0.5)):
+        margin = defaultdict(float)
+        for c, n in cells.items():
+            margin[c[m]] += n
+        shares = {v: n**power for v, n in margin.items() if n > 0}
+        want.append({v: s / sum(shares.values()) * total for v, s in shares.items()})
+    for _ in range(48):
+        off = 0.0
+        for m in range(3):
+            sums = defaultdict(float)
+            for c, n in raked.items():
+                sums[c[m]] += n
+            off = max([off, *[abs(sums[v] - w) / w for v, w in want[m].items() if sums[v] > 0]])
+            raked = {c: n * want[m][c[m]] / sums[c[m]] if sums[c[m]] > 0 else 0.0 for c, n in raked.items()}
+        if off < 1e-3:
+            break
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        kept = sum(min(n, raked[c] * mid) for c, n in cells.items() if n > 0)
+        low, high = (mid, high) if kept <= total / 2 else (low, mid)
+    for r in rows:
+        c = (r["source"], r["lang"], r["topic"])
+        p = min(1.0, raked[c] * low / cells[c]) if cells[c] else 0.0
+        assert r["probability"] == pytest.approx(p, rel=1e-5, abs=1e-12)
+        if p > 0:
+            assert r["weight"] == pytest.approx(raked[c] * low / cells[c] / p, rel=1e-5)
+
+
 def test_secret_scan(spark):
     sf_dir = "/root/testdata/sf0.01"  # the smaller tables hold no secret
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from skylattice.llm import mixing
 from skylattice.llm.common import text_buffer
 from skylattice.llm.mixing import calibrated, fit_topics, hashed_words, rake
 
@@ -36,3 +37,17 @@ def test_topics_of_all_documents(spark):
     counts = hashed_words(*text_buffer(pa.array(texts)))[0]
     assert np.allclose(topics.weights, np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))), rtol=1e-5)
     assert (topics.centroids[:, np.flatnonzero(counts[-1])].max(axis=0) > 0).all()
+
+
+def test_both_ways_of_raking_agree(spark):
+    """Cells raked in one array and as a table."""
+    rows = [(s, lang, t, 10 + 7 * i * j + k) for i, s in enumerate("abc") for j, lang in enumerate(("en", "fr")) for k, t in enumerate(("t0", "t1", "t2"))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    key = lambda df: {(r["source"], r["lang"], r["topic"]): r["raked"] for r in df.collect()}
+    one, before = key(rake(cells, {})), mixing.ARRAY_CELLS
+    mixing.ARRAY_CELLS = 0
+    try:
+        two = key(rake(cells, {}))
+    finally:
+        mixing.ARRAY_CELLS = before
+    assert one.keys() == two.keys() and all(two[c] == pytest.approx(v, rel=2e-3) for c, v in one.items())
