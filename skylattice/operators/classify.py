@@ -58,7 +58,8 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
 def classified(records: DataFrame, id_prefix: str = "source:") -> DataFrame:
     """Planner columns of every identified record, and ``reason`` (the first that excludes it, in
     the order of REASONS, or null)."""
-    v = F.try_parse_json("canonical_record")
+    # parsed once: a column that others use several times isn't copied into each of them
+    records, v = records.withColumn("v", F.try_parse_json("canonical_record")), F.col("v")
     families = F.create_map(*[F.lit(x) for kv in FAMILY_BY_TYPE.items() for x in (float(kv[0]), kv[1])])
     family = families[json_number(v, "$.type")]
     size = F.size(F.try_variant_get(v, "$.geometry.coordinates", "array<variant>"))
@@ -72,7 +73,7 @@ def classified(records: DataFrame, id_prefix: str = "source:") -> DataFrame:
     reach = F.when(range_kind.isNull(), F.lit(DEFAULT_RANGE_NM)).otherwise(given_range)
     rows = records.select(
         "source_record_id", family.alias("family"), F.when(placed, lon).alias("longitude"), F.when(placed, lat).alias("latitude"), json_text(v, "$.identifier").alias("identifier"), json_text(v, "$.name").alias("own_name"),
-        v.alias("v"), reach.alias("published_range_nm"), "canonical_record",
+        "v", reach.alias("published_range_nm"), "canonical_record",
     ).withColumn("frequency_value", frequency)
     checks = (F.coalesce("source_record_id", F.lit("")) == "", F.col("family").isNull(), F.col("longitude").isNull() | F.col("latitude").isNull(), F.col("identifier").isNull(), ~F.coalesce(F.col("frequency_value") > 0, F.lit(False)), ~F.coalesce(F.col("published_range_nm") > 0, F.lit(False)))
     reason = F.coalesce(*[F.when(c, r) for c, r in zip(checks, REASONS)])

@@ -61,9 +61,9 @@ def fingerprint(tables: dict[str, DataFrame]) -> str:
 
 
 def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """The tables' columns: table, position (from 1), column, type."""
+    """The tables' columns: relation, place (from 1), name, type."""
     rows = [(n, i, f.name, f.dataType.simpleString()) for n, df in sorted(tables.items()) for i, f in enumerate(df.schema, 1)]
-    return spark.createDataFrame(rows, "table string, position int, column string, type string")
+    return spark.createDataFrame(rows, "relation string, place int, name string, type string")
 
 
 def count_violations(tables: dict[str, DataFrame]) -> list[str]:

@@ -20,7 +20,7 @@ from skylattice.plans.derived import derived
 from skylattice.queries import ARR, DEP, LOCALS, VOR_LIST, _MATCH, _matching, _near, _one_leg, _records, _resolved, _vors, best_single, query, rounded, table
 from skylattice.schema import AIRPORTS, NAVAIDS
 from skylattice.sources import cycles, pages
-from skylattice.tables import settled, shared_dir
+from skylattice.tables import shared_dir
 
 #: Items of a page, in the queries over pages.
 PAGE = 100
@@ -243,10 +243,10 @@ def published_snapshot(spark, d):
     root = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
     first = snapshot.publish(spark, root, _snapshot(spark, d))
     told = {n: t for n, t in snapshot.read_active(spark, root, first).items() if n != "snapshots"}
-    second = snapshot.publish(spark, root, {n: settled(t) for n, t in told.items()}, retire=True)
+    second = snapshot.publish(spark, root, told, retire=True)
 
     def fail(boundary: str) -> None:
-        if boundary == "activate":
+        if boundary == "describe":
             raise ValueError("stopped")
 
     try:
