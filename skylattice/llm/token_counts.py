@@ -129,7 +129,7 @@ class Counter:
         return [n + sum(map(known, words)) for n, words in zip(extra, split)]
 
 
-_COUNTERS: dict[str, Counter] = {}
+_COUNTERS: dict[tuple[str, str], Counter] = {}
 
 
 def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 512) -> DataFrame:
@@ -141,7 +141,7 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 512
     repeated rows are counted each. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(MergeTable(tokenizer, pattern))
-    name = tokenizer
+    name = (tokenizer, pattern)
 
     def run(batches):
         counter = _COUNTERS.get(name) or _COUNTERS.setdefault(name, Counter(sent.value))

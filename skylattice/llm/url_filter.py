@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import stash
+from skylattice.llm.common import HOT_SHARE, split_join, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The item that stands for a bad label; no URL token begins with a space.
@@ -102,8 +102,13 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("double").alias("confidence"))
     listed = stash(spark, index(mine(labelled, support, confidence, lift), labelled), "url-index")
     # each different url that no fixed rule decides looks up its tokens
-    open_ = ruled.filter("rule is null").select("url", "host", "path").distinct().withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
+    undecided = F.col("rule").isNull() & F.col("url").isNotNull()
+    urls = stash(spark, ruled.filter(undecided).groupBy("url", "host", "path").agg(F.count(F.lit(1)).alias("rows")), "urls")
+    total = urls.agg(F.sum("rows")).first()[0] or 0
+    open_ = urls.select("url", tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
     hits = open_.select("url", "tokens", F.explode("tokens").alias("token")).join(listed, "token").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = hits.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("antecedent", " ").alias("pattern"))).alias("hit"))
-    out = ruled.join(best, (ruled["url"] == best["url"]) & ruled["rule"].isNull(), "left")
+    named = urls.select("url", "rows").join(best, "url", "left")
+    judged = split_join(ruled.filter(undecided), named, "url", F.col("rows") > max(1, total * HOT_SHARE)).drop("rows")
+    out = judged.unionByName(ruled.filter(~undecided), allowMissingColumns=True)
     return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.when(F.col("hit").isNotNull(), "block").otherwise("allow")).alias("verdict"), F.col("hit.pattern").alias("pattern"), F.col("hit.confidence").alias("confidence"))
