@@ -288,7 +288,7 @@ def navaid_contract(spark, d):
 
 def _columns_sql() -> str:
     rows = [(t, i, f.name, f.dataType.simpleString()) for t, s in (("planner_airports", AIRPORTS), ("planner_navaids", NAVAIDS)) for i, f in enumerate(s, 1)]
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c}', '{k}')" for t, i, c, k in rows) + ') v("table", position, "column", type)'
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c}', '{k}')" for t, i, c, k in rows) + ') v(relation, place, name, type)'
 
 
 @query(_columns_sql())
