@@ -114,7 +114,7 @@ def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
 
 #: Settings of the tasks' Python processes, which are reused: large arrays go back to the system
 #: when they are freed, instead of staying with the process.
-WORKERS = {"MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}
+WORKERS = {"MALLOC_MMAP_THRESHOLD_": "16777216", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}
 
 
 def _importable(df: DataFrame) -> None:
