@@ -223,8 +223,9 @@ def plan_routes(requests: DataFrame, airports: DataFrame, navaids: DataFrame, fa
     if not (math.isfinite(factor) and factor >= 1):
         raise ValueError("the route factor must be finite and at least 1")
     resolved = settled(resolve_airports(requests, airports))
-    edges = settled(navigable_edges(navaids)) if edges is None else edges
     near = settled(candidates(resolved, navaids, factor))
+    if edges is None:  # pairs of navaids that are candidates of any request
+        edges = settled(navigable_edges(navaids.join(near.select("database_id").distinct(), "database_id", "left_semi")))
     first = settled(search(near.filter(F.col("family").isin(*VOR_FAMILIES)), edges, resolved, factor).withColumn("mode", F.lit("vor-family")))
     open_ = near.join(first.select("request_id"), "request_id", "left_anti")
     # only requests that an NDB could help
