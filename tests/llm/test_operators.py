@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 import random
 import textwrap
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from skylattice.llm.decontamination import decontamination
 from skylattice.llm.exact_dedup import exact_dedup
+from skylattice.llm import fill_in_middle as fim
 from skylattice.llm.language_id import language_id
 from skylattice.llm.license_scan import TEMPLATES, license_scan
 from skylattice.llm.mixing import mixing
@@ -40,7 +42,7 @@ def _token(docs):
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-OPERATORS = {"license": license_scan, "decontamination": lambda d: decontamination(d, _tests(d.sparkSession)), "language": language_id, "substring": substring_dedup, "secret": secret_scan, "exact": exact_dedup, "simhash": simhash_dedup, "mixing": lambda d: mixing(d).select("row.doc_id", "n_tokens", "kept"), "token": _token}
+OPERATORS = {"license": license_scan, "decontamination": lambda d: decontamination(d, _tests(d.sparkSession)), "language": language_id, "substring": substring_dedup, "secret": secret_scan, "exact": exact_dedup, "simhash": simhash_dedup, "mixing": lambda d: mixing(d).select("row.doc_id", "n_tokens", "kept"), "token": _token, "middle": fim.fill_in_middle}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -184,3 +186,49 @@ def test_special_tokens_and_long_runs(spark):
     texts = ["a<|endoftext|>b <|endoftext|><|endoftext|>", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", " " * 500 + "x", "don't  stop\n\n\n it", "日本語のテキスト", "\u0000\u0001"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["n_tokens"] for r in _token(docs).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 17])
+@pytest.mark.parametrize("grammar", ["code_point", "word", "line"])
+def test_units(spark, monkeypatch, grammar, chunk):
+    """Units by a plain scan of neighbouring classes; chunks of three characters change nothing."""
+    monkeypatch.setattr(fim, "CHUNK", chunk)
+    rng = random.Random(11)
+    texts = ["", "x", "\n", "a<S>b", "\U0001f600" * 5] + ["".join(rng.choice("ab1_ \t\n\r.,!é漢\U0001f600\u00a0") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = fim.fill_in_middle(docs, grammar)
+    got = {r["doc_id"]: r for r in made.withColumn("back", fim.restored(F.col("output"), F.col("form"))).collect()}
+
+    def kind(c):
+        if grammar == "line":
+            return "end" if c == "\n" else "rest"
+        return "any" if grammar == "code_point" else "word" if c == "_" or c.isalnum() else "space" if c.isspace() else "other"
+
+    joined = fim.GRAMMARS[grammar].joined
+    for i, t in enumerate(texts):
+        units = []
+        for k, c in enumerate(t):
+            if k and (kind(t[k - 1]), kind(c)) in joined:
+                units[-1] += c
+            else:
+                units.append(c)
+        r = got[i]
+        h = hashlib.sha256(f"1:{i}".encode()).hexdigest()
+        h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+        a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+        prefix, middle, suffix = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        form = "plain" if not t or "<S>" in t or h3 % 100 >= 90 else "spm" if h4 % 100 < 20 else "psm"
+        output = {"plain": t, "psm": f"<P>{prefix}<S>{suffix}<M>{middle}", "spm": f"<S>{suffix}<P>{prefix}<M>{middle}"}[form]
+        lengths = (None, None) if form == "plain" else (len(prefix), len(middle))
+        assert (r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output"], r["back"]) == (len(units), form, *lengths, output, t)
+    assert {r["form"] for r in got.values()} == {"plain", "psm", "spm"}
+
+
+def test_odd_units(spark, odd):
+    by = {r["doc_id"]: r for r in fim.fill_in_middle(odd).collect()}
+    assert [(by[i]["n"], by[i]["form"], by[i]["output"]) for i in (2, 3)] == [(0, "plain", "")] * 2
+    assert by[5]["n"] == len(LONG) and by[None]["n"] == len("a text without an id") and by[6]["n"] == 8
+    # marks of one's own, and a text in which they meet parts of themselves
+    docs = spark.createDataFrame([(i, "[[a][P[S]]"[: 3 + i % 8]) for i in range(40)], "doc_id long, text string")
+    rows = fim.fill_in_middle(docs, marks=("[P]", "[S]", "[M]"), transformed=100).withColumn("back", fim.restored(F.col("output"), F.col("form"), ("[P]", "[S]", "[M]"))).collect()
+    assert all(r["back"] == "[[a][P[S]]"[: 3 + r["doc_id"] % 8] for r in rows) and len({r["form"] for r in rows}) == 3
