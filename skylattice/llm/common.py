@@ -136,6 +136,12 @@ def arrow_groups(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFram
     return df.groupBy(key).applyInArrow(fn, schema)
 
 
+def arrow_cogroups(left: DataFrame, right: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
+    """Both frames grouped by ``keys``, each pair of groups given to fn(left, right) as tables."""
+    _importable(left)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(fn, schema)
+
+
 def whole(text: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(text), F.lit("")).alias(text)

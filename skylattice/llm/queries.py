@@ -13,6 +13,7 @@ from skylattice.llm.exact_dedup import exact_dedup
 from skylattice.llm.fill_in_middle import fill_in_middle, restored
 from skylattice.llm.language_id import language_id
 from skylattice.llm.license_scan import license_scan, oracle as license_oracle
+from skylattice.llm.merkle_manifest import lowered_fifth, merkle_manifest, oracle as merkle_oracle
 from skylattice.llm.mixing import mixing
 from skylattice.llm.secret_scan import secret_scan
 from skylattice.llm.simhash_dedup import simhash_dedup
@@ -68,6 +69,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), lowered_fifth())
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -120,4 +126,5 @@ ORACLES: dict[str, str] = {
                sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
                sha256(t) AS restored_sha256
         FROM p""",
+    "op13_merkle_manifest": merkle_oracle(),
 }

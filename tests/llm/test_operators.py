@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import textwrap
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from skylattice.llm.exact_dedup import exact_dedup
 from skylattice.llm import fill_in_middle as fim
 from skylattice.llm.language_id import language_id
 from skylattice.llm.license_scan import TEMPLATES, license_scan
+from skylattice.llm.merkle_manifest import Traversal, folded, joined, levels, lowered_fifth, merkle_manifest
 from skylattice.llm.mixing import mixing
 from skylattice.llm.secret_scan import secrets, secret_scan
 from skylattice.llm.simhash_dedup import connected, links, simhash_dedup
@@ -42,7 +44,7 @@ def _token(docs):
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-OPERATORS = {"license": license_scan, "decontamination": lambda d: decontamination(d, _tests(d.sparkSession)), "language": language_id, "substring": substring_dedup, "secret": secret_scan, "exact": exact_dedup, "simhash": simhash_dedup, "mixing": lambda d: mixing(d).select("row.doc_id", "n_tokens", "kept"), "token": _token, "middle": fim.fill_in_middle}
+OPERATORS = {"license": license_scan, "decontamination": lambda d: decontamination(d, _tests(d.sparkSession)), "language": language_id, "substring": substring_dedup, "secret": secret_scan, "exact": exact_dedup, "simhash": simhash_dedup, "mixing": lambda d: mixing(d).select("row.doc_id", "n_tokens", "kept"), "token": _token, "middle": fim.fill_in_middle, "manifest": merkle_manifest}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -53,6 +55,8 @@ def test_odd_rows(name, spark, odd):
     if name == "exact":  # one of two rows with one id stays; their places tell them apart
         assert sorted(r["kept"] for r in twins) == [False, True]
         twins = [(r["keep_id"], r["group_size"], r["text_sha256"]) for r in twins]
+    if name == "manifest":
+        assert all(r["verified"] for r in rows)
     assert twins[0] == twins[1]
     assert OPERATORS[name](odd.limit(0)).count() == 0
 
@@ -232,3 +236,70 @@ def test_odd_units(spark, odd):
     docs = spark.createDataFrame([(i, "[[a][P[S]]"[: 3 + i % 8]) for i in range(40)], "doc_id long, text string")
     rows = fim.fill_in_middle(docs, marks=("[P]", "[S]", "[M]"), transformed=100).withColumn("back", fim.restored(F.col("output"), F.col("form"), ("[P]", "[S]", "[M]"))).collect()
     assert all(r["back"] == "[[a][P[S]]"[: 3 + r["doc_id"] % 8] for r in rows) and len({r["form"] for r in rows}) == 3
+
+
+def _tree(leaves):
+    """Root of a list of digests, and for each its siblings (before, after) level by level."""
+    nodes, paths, at = list(leaves), [[] for _ in leaves], list(range(len(leaves)))
+    while len(nodes) > 1:
+        for i, k in enumerate(at):
+            run = nodes[k // 16 * 16 : k // 16 * 16 + 16]
+            paths[i].append(("".join(run[: k % 16]), "".join(run[k % 16 + 1 :])))
+        nodes = [hashlib.sha256("".join(nodes[k : k + 16]).encode()).hexdigest() for k in range(0, len(nodes), 16)]
+        at = [k // 16 for k in at]
+    return nodes[0], paths
+
+
+def test_traversal():
+    """Paths of blocks of any size and height, held in few digests."""
+    for count in (1, 2, 15, 16, 17, 33, 255, 256, 257, 1000, 4096):
+        leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(count)]
+        root, paths = _tree(leaves)
+        block = Traversal([x.encode() for x in leaves], levels(count))
+        got = [[(b"".join(a).decode(), b"".join(b).decode()) for a, b in path] for path in block]
+        assert got == paths and block.root().decode() == root
+    # a block in a taller tree joins runs of one node too
+    assert Traversal([b"ab"], 2).root() == joined([joined([b"ab"])])
+    assert folded(b"ab", [b"", b""], [b"", b""]) == joined([joined([b"ab"])])
+
+
+@pytest.mark.parametrize("rows", [1, 40, 70_000])
+def test_manifest(spark, rows):
+    """A hot source of several rounds, a null and an empty one, nulls in all fields, repeated rows."""
+    made = [(i, None if i % 11 == 0 else f"Text {i} É" if i % 7 else "", None if i % 5 == 1 else "en", "hot", i if i % 3 else None) for i in range(rows)]
+    if rows > 1:
+        made += [(i, "Same", "de", s, 4) for i in range(20) for s in (None, "", "é", "a,b")] + [(3, "Same", "de", None, 4)] * 2 + [(None, "No id", "de", "hot", 5)]
+    random.Random(rows).shuffle(made)
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").withColumn("digest", F.lit(1)).withColumn("tree", F.lit("x"))
+
+    def leaf(doc_id, text, lang, source, n_chars):
+        parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc_id, source, lang, n_chars, text)]
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    sources = {}
+    for r in made:
+        low = r[1] if r[1] is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in r[1])
+        hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+        sources.setdefault(r[3], []).append((r[0] is not None, r[0] or 0, leaf(*r), leaf(r[0], low, *r[2:]) if hit else None))
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: _tree([x[2] for x in sorted(sources[s], key=lambda x: x[:3])]) for s in order}
+    root, upper = _tree([trees[s][0] for s in order])
+    want = []
+    for s, above in zip(order, upper):
+        for (known, doc_id, own, other), path in zip(sorted(sources[s], key=lambda x: x[:3]), trees[s][1]):
+            v = other or own
+            for a, b in path + above:
+                v = hashlib.sha256((a + v + b).encode()).hexdigest()
+            proof = hashlib.sha256("".join(a + b for a, b in path + above).encode()).hexdigest()
+            want.append((doc_id if known else -1, own, trees[s][0], root, proof, v, v == root))
+    got = merkle_manifest(docs, lowered_fifth()).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], *r[1:]) for r in got) == sorted(want)
+    assert rows == 1 or {r["verified"] for r in got} == {True, False}
+
+
+def test_proofs_fold(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}", 6) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    for r in merkle_manifest(docs, proofs=True).collect():
+        before, after = [bytes(x) for x in r["before"]], [bytes(x) for x in r["after"]]
+        assert folded(r["leaf"].encode(), before, after).decode() == r["root"] and r["verified"]
+        assert folded(r["leaf"].encode()[::-1], before, after).decode() != r["root"]
