@@ -15,6 +15,7 @@ from skylattice.llm.language_id import language_id
 from skylattice.llm.license_scan import license_scan, oracle as license_oracle
 from skylattice.llm.merkle_manifest import lowered_fifth, merkle_manifest, oracle as merkle_oracle
 from skylattice.llm.mixing import mixing
+from skylattice.llm.quality_classifier import quality_classifier
 from skylattice.llm.secret_scan import secret_scan
 from skylattice.llm.simhash_dedup import simhash_dedup
 from skylattice.llm.substring_dedup import substring_dedup
@@ -69,6 +70,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), lowered_fifth())
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
