@@ -8,10 +8,10 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.operators.integrity import audit_counts, component_checksums, partition_faults, snapshot_checksum
+from skylattice.operators.integrity import COMPONENTS, LEFT_OUT, audit_counts, candidate_faults, checksum_parts, row_text, snapshot_checksum, told_checksum
 from skylattice.schema import VERSION, fields
 
 TABLES = ("raw_navaids", "planner_navaids", "exclusions", "audits", "planner_airports", "metadata", "snapshots")
@@ -25,8 +25,17 @@ SNAPSHOTS = fields(
 )
 
 
+#: Counts of SNAPSHOTS and the tables they are of.
+COUNTED = {"raw_count": "raw_navaids", "planner_count": "planner_navaids", "exclusion_count": "exclusions"}
+
+
 class SnapshotError(RuntimeError):
-    """Publication failed; the message says whether the active snapshot is as it was."""
+    """Publication failed; the message says whether the active snapshot is as it was. faults has
+    the rules that a candidate broke, with their numbers."""
+
+    def __init__(self, message: str, faults: list[tuple[str, int]] | None = None):
+        super().__init__(message)
+        self.faults = faults or []
 
 
 def _files(spark: SparkSession, path: str):
@@ -66,44 +75,43 @@ def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "relation string, place int, name string, type string")
 
 
-def count_violations(tables: dict[str, DataFrame]) -> list[str]:
-    """Raw records must be planner navaids or exclusions, each once; audits belong to navaids."""
-    planner = tables["planner_navaids"]
-    audits = tables["audits"].select("source_record_id", "outcome") if "audits" in tables else planner.select("source_record_id", F.lit("matched").alias("outcome")).limit(0)
-    found = partition_faults(tables["raw_navaids"], planner, tables["exclusions"], audits).first()
-    out = []
-    if found["repeated"]:
-        out.append("a record is both planner navaid and exclusion, or stands twice")
-    if found["missing"] or found["unknown"]:
-        out.append("planner navaids and exclusions are not the raw records")
-    if "audits" in tables and not tables["audits"].join(planner, "source_record_id", "left_anti").isEmpty():
-        out.append("an audit has no planner navaid")
-    return out
-
-
-def snapshot_row(spark: SparkSession, own: str, tables: dict[str, DataFrame], provenance: dict) -> DataFrame:
-    """The row of SNAPSHOTS for tables: checksums and counts worked out, the rest from provenance
+def snapshot_row(spark: SparkSession, own: str, components: dict[str, dict], provenance: dict) -> DataFrame:
+    """The row of SNAPSHOTS for tables of these checksums and counts, the rest from provenance
     (null where it says nothing)."""
-    parts = component_checksums({k: tables[k] for k in ("raw_navaids", "planner_navaids", "exclusions", "audits") if k in tables})
-    row = {f.name: provenance.get(f.name) for f in SNAPSHOTS} | {"snapshot_id": own, "snapshot_checksum": snapshot_checksum(parts, provenance)}
-    row |= {f"{k}_checksum": v["checksum"] for k, v in parts.items()}
-    row |= {c: parts[t]["n"] for c, t in (("raw_count", "raw_navaids"), ("planner_count", "planner_navaids"), ("exclusion_count", "exclusions"))}
+    row = {f.name: provenance.get(f.name) for f in SNAPSHOTS} | {"snapshot_id": own, "snapshot_checksum": snapshot_checksum(components, provenance)}
+    row |= {f"{k}_checksum": v["checksum"] for k, v in components.items()}
+    row |= {c: components[t]["n"] for c, t in COUNTED.items() if t in components}
     return spark.createDataFrame([tuple(row[f.name] for f in SNAPSHOTS)], SNAPSHOTS)
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapshot: str | None = None, provenance: dict | None = None, retire: bool = False, at: Callable[[str], None] = lambda boundary: None) -> str:
-    """Writes the tables and their row of SNAPSHOTS, checks what was written, then swaps the
-    pointer; ``retire`` deletes the snapshot that was active. A failure before the swap deletes
-    what was written and leaves the active snapshot as it was; one after it leaves the new one
-    active. Its error says which, and at which of BOUNDARIES. ``at`` is called at each of them."""
-    own, before, boundary = snapshot or str(uuid.uuid4()), active_id(spark, root), BOUNDARIES[0]
+def observed_write(df: DataFrame, path: str) -> dict:
+    """Writes a table; its count and checksum are gathered in the same pass, from the rows as they
+    come from the source."""
+    seen = Observation()
+    df.observe(seen, *checksum_parts(row_text(df, *LEFT_OUT))).write.parquet(path)
+    return told_checksum(seen.get)
+
+
+def publish(
+    spark: SparkSession, root: str, tables: dict[str, DataFrame], snapshot: str | None = None, provenance: dict | None = None, retire: bool = False, at: Callable[[str], None] = lambda boundary: None,
+    declination=None, year: float | None = None,
+) -> str:
+    """Writes the tables and their row of SNAPSHOTS, reads them back and reconciles them, then
+    swaps the pointer; ``retire`` deletes the snapshot that was active.
+
+    Counts and checksums of the source's rows are gathered while they are written; what is read
+    back must have the same, and pass all rules of candidate_faults (with ``declination``, a
+    function of year, latitude and longitude, those of the model too). A failure before the swap
+    deletes what was written and leaves the active snapshot as it was; one after it leaves the new
+    one active. Its error says which, and at which of BOUNDARIES. ``at`` is called at each of
+    them."""
+    own, before, boundary, provenance = snapshot or str(uuid.uuid4()), active_id(spark, root), BOUNDARIES[0], provenance or {}
     try:
         at(boundary)
-        for name, df in tables.items():
-            df.write.parquet(f"{root}/{name}/snapshot_id={own}")
+        seen = {name: observed_write(df, f"{root}/{name}/snapshot_id={own}") for name, df in tables.items()}
         boundary = "describe"
         at(boundary)
-        snapshot_row(spark, own, read_active(spark, root, own), provenance or {}).write.parquet(f"{root}/snapshots/snapshot_id={own}")
+        snapshot_row(spark, own, {k: seen[k] for k in COMPONENTS if k in seen}, provenance).write.parquet(f"{root}/snapshots/snapshot_id={own}")
         boundary = "read-back"
         at(boundary)
         written = read_active(spark, root, own)
@@ -111,9 +119,12 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapsh
             raise SnapshotError("the tables written have other columns")
         boundary = "reconcile"
         at(boundary)
-        wrong = count_violations(written)
+        stored = written["snapshots"].first().asDict()
+        described = {k: {"n": seen[k]["n"], "checksum": stored[f"{k}_checksum"]} for k in COMPONENTS if k in seen}
+        wrong = candidate_faults(written, described, stored["snapshot_checksum"], provenance, declination, year)
+        wrong += [(f"the snapshot's {c} isn't that of its table", 1) for c, t in COUNTED.items() if t in seen and stored[c] != seen[t]["n"]]
         if wrong:
-            raise SnapshotError("; ".join(wrong))
+            raise SnapshotError("; ".join(f"{text} ({n})" for text, n in wrong), wrong)
         boundary = "activate"
         at(boundary)
         activate(spark, root, own)
@@ -125,7 +136,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapsh
         if active_id(spark, root) == own:
             raise SnapshotError(f"{boundary}: {e}; the new snapshot is active") from e
         remove(spark, root, own)
-        raise SnapshotError(f"{boundary}: {e}; the active snapshot is as it was") from e
+        raise SnapshotError(f"{boundary}: {e}; the active snapshot is as it was", getattr(e, "faults", None)) from e
     return own
 
 

@@ -11,7 +11,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from skylattice.functions.magnetic import MagneticModel, decimal_year
+from skylattice.functions.magnetic import MagneticModel, decimal_year, decimal_year_of
 from skylattice.functions.text import is_date, is_timestamp, sha256_tag
 from skylattice.operators import classify, contract, facility, integrity, projection, snapshot
 from skylattice.plans import report, search
@@ -20,7 +20,7 @@ from skylattice.plans.derived import derived
 from skylattice.queries import ARR, DEP, LOCALS, VOR_LIST, _MATCH, _matching, _near, _one_leg, _records, _resolved, _vors, best_single, query, rounded, table
 from skylattice.schema import AIRPORTS, NAVAIDS
 from skylattice.sources import cycles, pages
-from skylattice.tables import shared_dir
+from skylattice.tables import settled, shared_dir
 
 #: Items of a page, in the queries over pages.
 PAGE = 100
@@ -150,6 +150,9 @@ def decimal_years(spark, d):
 #: A dipole and its yearly change: a model whose field has a closed form.
 DIPOLE = [(1, 0, -29350.0, 0.0, 10.0, 0.0), (1, 1, -1410.0, 4545.0, 9.7, -21.5)]
 DAY = dt.date(2027, 7, 2)
+MODEL = MagneticModel("dipole", 2025, DIPOLE)
+#: When a snapshot's records and reference table were read.
+TIMES = {"retrieved_at": "2025-01-01T00:00:00.000Z", "completed_at": "2025-01-01T00:10:00.000Z", "reference_retrieved_at": "2025-01-01T00:05:00.000Z"}
 _YEARS = "(2e0 + 182e0 / 365e0)"
 _FIELD = f"""SELECT *, turn, (-g10 * cb + (g11 * cl + h11 * sl) * sb) * cube AS north, (g11 * sl - h11 * cl) * cube AS east, -2e0 * (g10 * sb + (g11 * cl + h11 * sl) * cb) * cube AS down
     FROM (SELECT *, sin(beta) AS sb, cos(beta) AS cb, beta - phi AS turn, cos(lam) AS cl, sin(lam) AS sl, pow(63712e-1 / r, 3) AS cube, -29350e0 + 10e0 * {_YEARS} AS g10, -1410e0 + 97e-1 * {_YEARS} AS g11, 4545e0 - 215e-1 * {_YEARS} AS h11
@@ -165,7 +168,7 @@ def _airports(spark, d):
 @query(f"WITH airports AS (SELECT CAST(c_custkey AS VARCHAR) AS database_id, c_name AS name, {_LON} AS longitude, {_LAT} AS latitude FROM customer), field AS ({_FIELD}), flat AS (SELECT *, north * cos(turn) - down * sin(turn) AS level FROM field) SELECT database_id, name, CASE WHEN sqrt(level * level + east * east) >= 2000 THEN round(degrees(atan2(east, level)), 6) END AS declination FROM flat WHERE abs(latitude) < 90")
 def airport_projection(spark, d):
     """Airports with the declination of a magnetic model on a day; its closed form in SQL."""
-    a = projection.planner_airports(_airports(spark, d), MagneticModel("dipole", 2025, DIPOLE), DAY)
+    a = projection.planner_airports(_airports(spark, d), MODEL, DAY)
     return rounded(a.filter("abs(latitude) < 90").select("database_id", "name", F.col("magnetic_declination_deg_east").alias("declination")))
 
 
@@ -222,13 +225,15 @@ def set_checksums(spark, d):
 
 
 def _snapshot(spark, d) -> dict:
-    """Tables of a snapshot made of the raw navaids: records, navaids, exclusions, audits."""
-    raw = classify.identified(_records(spark, d))
-    planner, out = classify.split(classify.classified(raw))
+    """Tables of a snapshot made of the raw navaids: records, navaids, exclusions, audits; each
+    worked out once."""
+    raw = settled(classify.identified(_records(spark, d)))
+    planner, out = classify.split(settled(classify.classified(raw)))
     nothing = {"facility_variation_deg_east": "double", "facility_variation_source": "string", "facility_variation_effective_date": "date"}
-    planner = projection.with_declination(planner, MagneticModel("dipole", 2025, DIPOLE), DAY)
+    planner = projection.with_declination(planner, MODEL, DAY)
     for c, t in nothing.items():
         planner = planner.withColumn(c, F.lit(None).cast(t))
+    planner = settled(planner)
     audits = facility.audit_text(planner.filter("family <> 'NDB'").select("source_record_id", "identifier", F.lit("no-unique-match").alias("outcome"), F.lit(None).cast("int").alias("variation_year")))
     return {"raw_navaids": raw, "planner_navaids": planner, "exclusions": out, "audits": audits}
 
@@ -241,16 +246,16 @@ def published_snapshot(spark, d):
     """A snapshot published beside an older one, read back through the pointer; a failing
     publication after it changes nothing."""
     root = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
-    first = snapshot.publish(spark, root, _snapshot(spark, d))
+    first = snapshot.publish(spark, root, _snapshot(spark, d), provenance=TIMES)
     told = {n: t for n, t in snapshot.read_active(spark, root, first).items() if n != "snapshots"}
-    second = snapshot.publish(spark, root, told, retire=True)
+    second = snapshot.publish(spark, root, told, provenance=TIMES, retire=True)
 
     def fail(boundary: str) -> None:
         if boundary == "describe":
             raise ValueError("stopped")
 
     try:
-        snapshot.publish(spark, root, {n: t for n, t in snapshot.read_active(spark, root).items() if n != "snapshots"}, at=fail)
+        snapshot.publish(spark, root, {n: t for n, t in snapshot.read_active(spark, root).items() if n != "snapshots"}, provenance=TIMES, at=fail)
         kept = False
     except snapshot.SnapshotError:
         kept = snapshot.active_id(spark, root) == second
@@ -269,6 +274,60 @@ def candidate_reconciliation(spark, d):
     return integrity.record_faults(raw).join(integrity.partition_faults(raw, planner, out, t["audits"].filter(k % 43 != 0)).select("missing", "repeated", "audits_differ"), F.lit(True))
 
 
+def _refused_sql() -> str:
+    n = lambda where: f"count(*) FILTER (WHERE {where})"
+    rows = [
+        ("records", "raw records aren't canonical or have other checksums", n("k % 29 = 0 OR k % 31 = 0")),
+        ("records", "exclusions have unknown reasons", n("reason IS NOT NULL AND k % 5 = 0")),
+        ("records", "declinations of planner navaids aren't the model's", n("reason IS NULL AND k % 59 = 0")),
+        ("navaids", "ids of raw records are missing or stand twice", n("k % 41 = 0")),
+        ("navaids", "planner navaids aren't valid", n("reason IS NULL AND k % 37 = 0")),
+        ("navaids", "planner navaids and exclusions aren't the raw records", n("reason IS NULL AND k % 43 = 0")),
+        ("audits", "the times of retrieval don't follow each other", "CAST(least(count(*), 1) AS BIGINT)"),
+        ("audits", "the reference table was retrieved at another time", "CAST(least(count(*), 1) AS BIGINT)"),
+        ("audits", "audits aren't those of the navaids of the VOR families", n("reason IS NULL AND t > 2 AND k % 47 = 0")),
+        ("audits", "audits have another text than their columns", n("reason IS NULL AND t > 2 AND k % 47 <> 0 AND k % 53 = 0")),
+        ("audits", "audits don't agree with their navaids", n("reason IS NULL AND t > 2 AND k % 47 <> 0 AND k % 53 = 0")),
+        ("written", "planner navaids and exclusions aren't the raw records", n("reason IS NOT NULL AND k % 61 = 0")),
+        ("written", "counts of components differ", f"CAST(least({n('reason IS NOT NULL AND k % 61 = 0')}, 1) AS BIGINT)"),
+        ("written", "checksums of components differ", f"CAST(least({n('reason IS NOT NULL AND k % 61 = 0')}, 1) AS BIGINT)"),
+        ("written", "the checksum of the snapshot differs", f"CAST(least({n('reason IS NOT NULL AND k % 61 = 0')}, 1) AS BIGINT)"),
+    ]
+    parts = " UNION ALL ".join("SELECT '{}' AS candidate, '{}' AS rule, {} AS n, true AS kept FROM x".format(c, rule.replace("'", "''"), count) for c, rule, count in rows)
+    return _CLASSED + f" SELECT * FROM ({parts}) refused WHERE n > 0"
+
+
+@query(_refused_sql(), ("raw_navaids",))
+def refused_candidates(spark, d):
+    """Broken candidates offered for publication: the rules that refused them, with the number of
+    rows at fault, and whether the snapshot that was active still is. The last candidate is sound
+    when it is written; rows are added to its files before it is read back."""
+    good = {n: settled(t) for n, t in _snapshot(spark, d).items()}
+    raw, planner, out, audits = (good[n] for n in ("raw_navaids", "planner_navaids", "exclusions", "audits"))
+    k = F.substring("source_record_id", 3, 12).cast("long")
+    put = lambda df, column, every, value: df.withColumn(column, F.when(k % every == 0, value).otherwise(F.col(column)))
+    root = f"{shared_dir(spark)}/refused-{uuid.uuid4().hex}"
+    first = snapshot.publish(spark, root, good, provenance=TIMES, declination=MODEL.udf(), year=decimal_year_of(DAY))
+
+    def add(boundary: str) -> None:
+        if boundary == "read-back":
+            out.filter(k % 61 == 0).write.mode("append").parquet(f"{root}/exclusions/snapshot_id=written")
+
+    offered = {
+        "records": ({"raw_navaids": put(put(raw, "canonical_record", 29, F.concat("canonical_record", F.lit(" "))), "checksum", 31, F.lit("sha256:0")), "exclusions": put(out, "reason", 5, F.lit("because")), "planner_navaids": put(planner, "magnetic_declination_deg_east", 59, F.col("magnetic_declination_deg_east") + 1)}, {}, None),
+        "navaids": ({"raw_navaids": raw.unionByName(raw.filter(k % 41 == 0)), "planner_navaids": put(planner, "published_range_nm", 37, F.lit(-1.0)), "exclusions": out.unionByName(planner.filter(k % 43 == 0).select("source_record_id", F.lit("invalid-frequency").alias("reason")))}, {}, None),
+        "audits": ({"audits": put(audits.filter(k % 47 != 0), "outcome", 53, F.lit("matched"))}, {"completed_at": "2024-12-31T00:00:00.000Z"}, None),
+        "written": ({}, {}, add),
+    }
+    rows = []
+    for name, (tables, times, hook) in offered.items():
+        try:
+            snapshot.publish(spark, root, good | tables, snapshot=name, provenance=TIMES | times, at=hook or (lambda boundary: None), declination=MODEL.udf(), year=decimal_year_of(DAY))
+        except snapshot.SnapshotError as e:
+            rows += [(name, rule, n, snapshot.active_id(spark, root) == first) for rule, n in e.faults]
+    return spark.createDataFrame(rows, "candidate string, rule string, n long, kept boolean")
+
+
 @query(_MATCH + " SELECT count(*) AS audits, count(*) FILTER (WHERE outcome = 'matched') AS present, count(*) FILTER (WHERE outcome <> 'matched') AS missing, CAST(0 AS BIGINT) AS year_missing, count(*) FILTER (WHERE CAST(source_record_id AS BIGINT) % 5 = 0 AND outcome <> 'matched') AS inconsistent FROM out", ("navaids",))
 def audit_status(spark, d):
     """Counts over audits whose JSON must agree with their outcome."""

@@ -26,6 +26,11 @@ NAVAIDS = fields(
     "database_id:s identifier:s name:s family:s longitude:d latitude:d frequency_value:d frequency_unit:s published_range_nm:d "
     "magnetic_declination_deg_east:d facility_variation_deg_east:d facility_variation_source:s facility_variation_effective_date:date"
 )
+#: Tables of a snapshot beside METADATA and AIRPORTS; planner navaids have their record's id too.
+RAW = fields("source_record_id:s canonical_record:s checksum:s")
+PLANNER = StructType([*fields("source_record_id:s"), *NAVAIDS])
+EXCLUSIONS = fields("source_record_id:s reason:s")
+AUDITS = fields("source_record_id:s outcome:s audit_record:s audit_checksum:s")
 METADATA = fields("magnetic_model:s magnetic_model_version:s magnetic_model_epoch_year:d magnetic_reference_date:date magnetic_model_source:s")
 REQUESTS = fields("request_id:s departure:s arrival:s")
 

@@ -11,8 +11,9 @@ from skylattice.functions.canonical import canonical_text
 from skylattice.functions.magnetic import MagneticModel, decimal_year, decimal_year_of
 from skylattice.operators import classify, facility, integrity, projection, snapshot
 from skylattice.plans.search import navigable_edges, schedule
-from skylattice.producer_queries import DAY, DIPOLE, _snapshot
+from skylattice.producer_queries import DAY, DIPOLE, TIMES, _snapshot
 from skylattice.schema import NAVAIDS, migration_steps
+from frames import snapshot_frames
 
 
 def test_checksum_of_a_set(spark):
@@ -29,7 +30,7 @@ def test_checksum_of_a_set(spark):
 @pytest.fixture(scope="module")
 def candidate(spark, sf_dir):
     tables = {k: v.cache() for k, v in _snapshot(spark, sf_dir).items()}
-    provenance = {"retrieved_at": "2025-01-01T00:00:00.000Z", "completed_at": "2025-01-01T00:10:00.000Z", "reference_retrieved_at": "2025-01-01T00:05:00.000Z", "source_identity": "test"}
+    provenance = TIMES | {"source_identity": "test"}
     components = integrity.component_checksums(tables)
     return tables, components, integrity.snapshot_checksum(components, provenance), provenance
 
@@ -51,9 +52,8 @@ def test_candidate(candidate):
 
 def test_publication_fails_at_each_boundary(spark, tmp_path):
     root = f"file://{tmp_path}"
-    frame = lambda ids: spark.createDataFrame([(i, "VOR", "missing-identifier") for i in ids], "source_record_id string, family string, reason string")
-    tables = {"raw_navaids": frame("ab"), "planner_navaids": frame("a"), "exclusions": frame("b")}
-    first = snapshot.publish(spark, root, tables, provenance={"cycle_id": "2501"})
+    tables = snapshot_frames(spark, "ab", "a", "b")
+    first = snapshot.publish(spark, root, tables, provenance=TIMES | {"cycle_id": "2501"})
     assert snapshot.state(spark, root).first()["raw_count"] == 2 and snapshot.state(spark, root).first()["cycle_id"] == "2501"
 
     def fail(where):
@@ -65,14 +65,59 @@ def test_publication_fails_at_each_boundary(spark, tmp_path):
 
     for b in snapshot.BOUNDARIES[:-1]:
         with pytest.raises(snapshot.SnapshotError, match=f"{b}: stopped; the active snapshot is as it was"):
-            snapshot.publish(spark, root, tables, snapshot=f"s-{b}", at=fail(b))
+            snapshot.publish(spark, root, tables, snapshot=f"s-{b}", provenance=TIMES, at=fail(b))
         assert snapshot.active_id(spark, root) == first and not (tmp_path / "raw_navaids" / f"snapshot_id=s-{b}").exists()
     with pytest.raises(snapshot.SnapshotError, match="the new snapshot is active"):
-        snapshot.publish(spark, root, tables, snapshot="new", retire=True, at=fail("retire"))
+        snapshot.publish(spark, root, tables, snapshot="new", provenance=TIMES, retire=True, at=fail("retire"))
     assert snapshot.active_id(spark, root) == "new" and snapshot.status(spark, root)["reconciles"]
     assert snapshot.state(spark, f"{root}/none").first()["active_id"] is None
 
 
+BROKEN = {
+    "audits is missing": lambda t: {k: v for k, v in t.items() if k != "audits"},
+    "raw_navaids is missing required column checksum": lambda t: t | {"raw_navaids": t["raw_navaids"].drop("checksum")},
+    "ids of raw records are missing or stand twice": lambda t: t | {"raw_navaids": t["raw_navaids"].unionByName(t["raw_navaids"])},
+    "raw records aren't canonical or have other checksums": lambda t: t | {"raw_navaids": t["raw_navaids"].withColumn("canonical_record", F.concat("canonical_record", F.lit(" broken")))},
+    "planner navaids aren't valid": lambda t: t | {"planner_navaids": t["planner_navaids"].withColumn("latitude", F.lit(123.0))},
+    "ids of planner navaids stand twice": lambda t: t | {"planner_navaids": t["planner_navaids"].withColumn("database_id", F.lit("one"))},
+    "planner navaids and exclusions aren't the raw records": lambda t: t | {"exclusions": t["exclusions"].limit(0)},
+    "exclusions have unknown reasons": lambda t: t | {"exclusions": t["exclusions"].withColumn("reason", F.lit("because"))},
+    "audits aren't those of the navaids of the VOR families": lambda t: t | {"audits": t["audits"].limit(0)},
+    "audits have another text than their columns": lambda t: t | {"audits": t["audits"].withColumn("audit_checksum", F.lit("sha256:0"))},
+    "audits don't agree with their navaids": lambda t: t | {"planner_navaids": t["planner_navaids"].withColumn("facility_variation_deg_east", F.lit(3.0)).withColumn("facility_variation_source", F.lit("x"))},
+}
+
+
+@pytest.mark.parametrize("rule", BROKEN)
+def test_broken_candidates_are_refused(spark, tmp_path, rule):
+    """One broken candidate for each rule; none is published, nothing of it stays."""
+    root = f"file://{tmp_path}"
+    with pytest.raises(snapshot.SnapshotError, match="as it was") as told:
+        snapshot.publish(spark, root, BROKEN[rule](snapshot_frames(spark, "abc", "ab", "c")), snapshot="s", provenance=TIMES)
+    assert rule in [text for text, _ in told.value.faults]
+    assert snapshot.active_id(spark, root) is None and not list(tmp_path.glob("*/snapshot_id=s"))
+
+
+def test_times_and_stored_checksums(spark, tmp_path):
+    root, tables = f"file://{tmp_path}", snapshot_frames(spark, "abc", "ab", "c")
+    for times, rule in (({}, "the times of retrieval are missing or aren't UTC times"), (TIMES | {"completed_at": "2024-01-01T00:00:00Z"}, "the times of retrieval don't follow each other"), (TIMES | {"reference_retrieved_at": "2025-01-01T01:00:00Z"}, "the reference table was retrieved at another time")):
+        with pytest.raises(snapshot.SnapshotError) as told:
+            snapshot.publish(spark, root, tables, provenance=times)
+        assert rule in [text for text, _ in told.value.faults]
+
+    def lose(boundary):
+        if boundary == "read-back":
+            tables["exclusions"].limit(0).write.mode("overwrite").parquet(f"{root}/exclusions/snapshot_id=s")
+
+    with pytest.raises(snapshot.SnapshotError) as told:
+        snapshot.publish(spark, root, tables, snapshot="s", provenance=TIMES, at=lose)
+    assert {"counts of components differ", "checksums of components differ", "the checksum of the snapshot differs"} < {text for text, _ in told.value.faults}
+    # what the source's rows give while they are written is what the table gives when it is read
+    seen = snapshot.observed_write(tables["raw_navaids"].repartition(5), f"{root}/seen")
+    assert seen == integrity.component_checksums({"t": spark.read.parquet(f"{root}/seen")})["t"] == integrity.component_checksums({"t": tables["raw_navaids"]})["t"]
+    assert snapshot.observed_write(tables["raw_navaids"].limit(0), f"{root}/none")["n"] == 0
+
+
 def test_fingerprint_and_migrations(spark):
     a, b = spark.range(1), spark.range(1).select(F.col("id").cast("string").alias("id"))
     assert snapshot.fingerprint({"t": a}) == snapshot.fingerprint({"t": a.limit(0)}) != snapshot.fingerprint({"t": b})

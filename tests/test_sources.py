@@ -7,7 +7,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from frames import snapshot_frames
 from skylattice.operators import classify, contract, snapshot
+from skylattice.producer_queries import TIMES
 from skylattice.schema import AIRPORTS, METADATA, NAVAIDS
 from skylattice.sources import cycles, pages
 
@@ -89,14 +91,13 @@ def test_records_are_classified_by_the_first_reason(spark):
 
 def test_publication(spark, tmp_path):
     root = f"file://{tmp_path}"
-    frame = lambda ids: spark.createDataFrame([(i, "VOR", "missing-identifier") for i in ids], "source_record_id string, family string, reason string")
     assert snapshot.active_id(spark, root) is None and snapshot.status(spark, root) is None
-    first = snapshot.publish(spark, root, {"raw_navaids": frame("ab"), "planner_navaids": frame("a"), "exclusions": frame("b")})
+    first = snapshot.publish(spark, root, snapshot_frames(spark, "ab", "a", "b"), provenance=TIMES)
     assert snapshot.active_id(spark, root) == first and snapshot.status(spark, root)["reconciles"]
     with pytest.raises(snapshot.SnapshotError, match="as it was"):
-        snapshot.publish(spark, root, {"raw_navaids": frame("abc"), "planner_navaids": frame("a"), "exclusions": frame("b")})
+        snapshot.publish(spark, root, snapshot_frames(spark, "abc", "a", "b"), provenance=TIMES)
     assert snapshot.active_id(spark, root) == first
-    second = snapshot.publish(spark, root, {"raw_navaids": frame("c"), "planner_navaids": frame("c"), "exclusions": frame("")})
+    second = snapshot.publish(spark, root, snapshot_frames(spark, "c", "c", ""), provenance=TIMES)
     assert snapshot.active_id(spark, root) == second and snapshot.read_active(spark, root)["raw_navaids"].count() == 1
     with pytest.raises(snapshot.SnapshotError):
         snapshot.remove(spark, root, second)
