@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions import geo
 from skylattice.functions.geodesic import wgs84_m
 from skylattice.functions.text import megahertz_to_hertz, sha256_tag, signed_variation, stripped
 
 #: Farthest that two records of one facility stand apart, and the error of the distance, in m.
 NEAR_M, ERROR_M = 1852.0, 0.001
+#: Width in degrees of the cells in which navaids meet records; and how much farther two places can
+#: be on the sphere than on the ellipsoid, with room to spare.
+CELL, FAR = 0.1, 1.01
 # Facility types of the reference table that can be matched.
 TYPES = ("VOR", "VOR/DME", "VORTAC")
 # What becomes of a match.
@@ -42,6 +46,24 @@ def reference_records(csv: DataFrame) -> DataFrame:
     return rows.filter(F.col("facility_type").isin(*TYPES) & F.col("ref_latitude").isNotNull() & F.col("ref_longitude").isNotNull() & F.col("hz").isNotNull())
 
 
+def _asked(navaids: DataFrame) -> DataFrame:
+    hz = F.round(F.col("frequency_value") * 1_000_000).cast("long")
+    return navaids.withColumn("ident", F.upper(stripped(F.col("identifier")))).withColumn("hz", hz)
+
+
+def compared(navaids: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs of a navaid and a record whose distance on the ellipsoid is worth taking: of the same
+    identifier and exact frequency, met in a cell of CELL degrees, and no farther on the sphere
+    than FAR times the bound. A record looks into the cells around it, a navaid stands in one; so
+    pairs grow with the rows, however many share an identifier and a frequency."""
+    reach = F.lit((NEAR_M + ERROR_M) / 1852 * FAR)
+    box = geo.bounds(F.col("ref_latitude"), F.col("ref_longitude"), reach)
+    spread = records.withColumn("cell", F.explode(geo.cells(box, CELL)))
+    placed = _asked(navaids).withColumn("cell", geo.cell(F.col("latitude"), F.col("longitude"), CELL))
+    met = placed.join(spread, ["ident", "hz", "cell"]).drop("cell").filter(F.abs(F.col("latitude") - F.col("ref_latitude")) * 60 <= reach)
+    return met.filter(geo.haversine_nm("latitude", "longitude", "ref_latitude", "ref_longitude") <= reach)
+
+
 def match_facilities(navaids: DataFrame, records: DataFrame, countries: DataFrame, source: str) -> DataFrame:
     """An audit row for each navaid (source_record_id, identifier, latitude, longitude,
     frequency_value, country array): outcome, and the matched record's columns.
@@ -50,10 +72,8 @@ def match_facilities(navaids: DataFrame, records: DataFrame, countries: DataFram
     ``countries``), no-unique-match (not exactly one record of the same identifier and exact
     frequency within a nautical mile), unusable-source-value, matched.
     """
-    hz = F.round(F.col("frequency_value") * 1_000_000).cast("long")
-    asked = navaids.withColumn("ident", F.upper(stripped(F.col("identifier")))).withColumn("hz", hz)
-    metres = wgs84_m("latitude", "longitude", "ref_latitude", "ref_longitude")
-    near = asked.join(records, ["ident", "hz"]).withColumn("metres", metres).filter(F.col("metres") <= NEAR_M + ERROR_M)
+    near = compared(navaids, records).withColumn("metres", wgs84_m("latitude", "longitude", "ref_latitude", "ref_longitude")).filter(F.col("metres") <= NEAR_M + ERROR_M)
+    asked = _asked(navaids)
     details = ("record_id", "facility_type", "ref_latitude", "ref_longitude", "variation_deg_east", "variation_year", "metres")
     found = near.groupBy("source_record_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*details)).alias("hit"))
     country = asked.select("source_record_id", F.explode("country").alias("code")).select("source_record_id", F.upper(stripped(F.col("code"))).alias("country_code"))

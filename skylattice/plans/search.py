@@ -1,14 +1,21 @@
 """Route search: airports, candidates in the ellipse, navigable pairs, and the best route.
 
 The best route is the least by (total distance, legs, sequence of (identifier, id)) of all
-routes over at least one navaid whose total is within the cap. Staged widening isn't needed: a
-route of length T uses navaids with dep + arr <= T only, so all candidates within the widest
-ellipse give the same optimum.
+routes over at least one navaid whose total is within the cap.
+
+Candidates are admitted in stages, each a wider ellipse around both endpoints. A route of length
+T uses navaids with dep + arr <= T only; so a route within a stage's limit is the best of all, and
+its request leaves. The others go on with what they have and the ring that the next stage adds.
+
+A request is solved in one task if its pairs are few enough (PAIRS), else by joins: a frontier of
+(request, navaid) is carried over the pairs, leg by leg, and no task holds a request's graph.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import math
 from collections import defaultdict
 
@@ -20,12 +27,16 @@ from pyspark.sql import functions as F
 from skylattice.functions import geo
 from skylattice.functions.text import icao
 from skylattice.schema import VOR_FAMILIES
-from skylattice.tables import settled
+from skylattice.tables import discard, settled, written
 
 #: Factors of the direct distance that candidates are looked for within; the last is the widest.
 FACTORS = (1.1, 1.25, 1.5)
 #: Grid cells in degrees for candidates of a request.
 CANDIDATE_CELL = 5.0
+#: Pairs of a request that one task solves; with more it is solved by joins.
+PAIRS = 1_000_000
+#: Rows (request, cell) up to which requests are sent to all navaids instead of being shuffled.
+SENT = 100_000
 #: Slack in NM when a bound is used to leave out work; far above rounding, far below a result.
 SLACK = 1e-6
 
@@ -74,13 +85,15 @@ def resolve_airports(requests: DataFrame, airports: DataFrame) -> DataFrame:
     return out.select("request_id", "departure_icao", "arrival_icao", "departure_airport", "arrival_airport", "direct_nm", "status")
 
 
-def candidates(resolved: DataFrame, navaids: DataFrame, factor: float = 1.5) -> DataFrame:
-    """Navaids of each request with dep_nm + arr_nm within its ellipse. Requests meet navaids by
-    grid cell; the boxes around both endpoints cut the rest before any distance is taken."""
+def candidates(resolved: DataFrame, navaids: DataFrame, factor: float = 1.5, beyond: float | None = None) -> DataFrame:
+    """Navaids of each request with dep_nm + arr_nm within its ellipse (and outside that of the
+    factor ``beyond``). Requests meet navaids by grid cell; the boxes around both endpoints cut the
+    rest before any distance is taken."""
     limit = F.col("direct_nm") * min(factor, FACTORS[-1])
     ends = resolved.filter("status is null").select(
         "request_id",
         limit.alias("limit_nm"),
+        (F.col("direct_nm") * (0.0 if beyond is None else beyond)).alias("beyond_nm"),
         F.col("departure_airport.latitude").alias("dep_lat"),
         F.col("departure_airport.longitude").alias("dep_lon"),
         F.col("arrival_airport.latitude").alias("arr_lat"),
@@ -90,21 +103,26 @@ def candidates(resolved: DataFrame, navaids: DataFrame, factor: float = 1.5) ->
         ends = ends.withColumn(f"{end}_box", geo.bounds(F.col(f"{end}_lat"), F.col(f"{end}_lon"), F.col("limit_nm")))
     both = F.array_intersect(geo.cells(F.col("dep_box"), CANDIDATE_CELL), geo.cells(F.col("arr_box"), CANDIDATE_CELL))
     asked = ends.withColumn("cell", F.explode(both))
+    if (ends.limit(SENT + 1).select(F.size(both).alias("n")).agg(F.sum("n")).first()[0] or 0) <= SENT:
+        asked = F.broadcast(asked)
     placed = navaids.select("database_id", "identifier", "family", "latitude", "longitude", "published_range_nm", geo.cell(F.col("latitude"), F.col("longitude"), CANDIDATE_CELL).alias("cell"))
     near = asked.join(placed, "cell").filter(geo.in_bounds(F.col("dep_box"), F.col("latitude"), F.col("longitude")) & geo.in_bounds(F.col("arr_box"), F.col("latitude"), F.col("longitude")))
     measured = near.withColumn("dep_nm", geo.haversine_nm("dep_lat", "dep_lon", "latitude", "longitude")).withColumn("arr_nm", geo.haversine_nm("arr_lat", "arr_lon", "latitude", "longitude"))
-    return measured.filter("dep_nm + arr_nm <= limit_nm").select("request_id", "limit_nm", "database_id", "identifier", "family", "published_range_nm", "dep_nm", "arr_nm")
+    measured = measured.withColumn("sum_nm", F.col("dep_nm") + F.col("arr_nm"))
+    inside = (F.col("sum_nm") <= F.col("limit_nm")) if beyond is None else (F.col("sum_nm") <= F.col("limit_nm")) & (F.col("sum_nm") > F.col("beyond_nm"))
+    return measured.filter(inside).select("request_id", "limit_nm", "database_id", "identifier", "family", "published_range_nm", "dep_nm", "arr_nm")
 
 
-def navigable_edges(navaids: DataFrame) -> DataFrame:
-    """Pairs a < b of navaids within the sum of their ranges, independent of any request.
+def navigable_edges(navaids: DataFrame, fresh: str | None = None) -> DataFrame:
+    """Pairs a < b of navaids within the sum of their ranges, independent of any request; with a
+    boolean column ``fresh``, those of which one at least is fresh.
 
     Navaids are classed by powers of two of their range. A pair is met in the grid of the class
     of the one with the larger range, whose cells are as wide as that class reaches: that one
     stands in one cell, the other looks through the few cells within both ranges. So a navaid of
     an exceptional range costs others a few rows, not the search of everything that far."""
     of = F.greatest(F.lit(0), F.ceil(F.log2("published_range_nm"))).cast("int")
-    rows = navaids.filter("published_range_nm > 0").select("database_id", "latitude", "longitude", F.col("published_range_nm").alias("reach"), of.alias("class"))
+    rows = navaids.filter("published_range_nm > 0").select("database_id", "latitude", "longitude", F.col("published_range_nm").alias("reach"), of.alias("class"), (F.col(fresh) if fresh else F.lit(True)).alias("fresh"))
     classes = rows.groupBy("class").agg(F.max("reach").alias("reach")).collect()  # a few: powers of two
     met = []
     for c in sorted(classes, key=lambda r: r["class"]):
@@ -113,7 +131,7 @@ def navigable_edges(navaids: DataFrame) -> DataFrame:
         near = rows.filter(F.col("class") <= c["class"]).select(*[F.col(x).alias(f"a_{x}") for x in rows.columns], F.explode(look).alias("cell"))
         stand = rows.filter(F.col("class") == c["class"]).select(*[F.col(x).alias(f"b_{x}") for x in rows.columns], geo.cell(F.col("latitude"), F.col("longitude"), degrees).alias("cell"))
         # one degree of latitude is 60.04 NM; of two in one class each meets the other
-        close = near.join(stand, "cell").filter("(a_class < b_class or a_database_id < b_database_id) and abs(a_latitude - b_latitude) * 60e0 <= a_reach + b_reach")
+        close = near.join(stand, "cell").filter("(a_fresh or b_fresh) and (a_class < b_class or a_database_id < b_database_id) and abs(a_latitude - b_latitude) * 60e0 <= a_reach + b_reach")
         met.append(close.select(F.least("a_database_id", "b_database_id").alias("a"), F.greatest("a_database_id", "b_database_id").alias("b"), geo.haversine_nm(*_ordered()).alias("nm"), (F.col("a_reach") + F.col("b_reach")).alias("both")).filter("nm <= both").drop("both"))
     if not met:
         return navaids.sparkSession.createDataFrame([], "a string, b string, nm double")
@@ -131,7 +149,7 @@ def _ordered() -> tuple[str, str, str, str]:
 
 
 def best_route(names: list[str], ids: list[str], reach, dep, arr, starts, ends, nm, cap: float) -> tuple[float, list[int]] | None:
-    """Total and navaid numbers of the best route. Navaids are numbered; reach, dep and arr have
+    """Total and navaid numbers of the best route within the cap. Navaids are numbered; reach, dep and arr have
     their ranges and distances to departure and arrival, starts, ends and nm the pairs, each once.
 
     First the least total (A* with the distance left), then all labels that can reach it: one is
@@ -193,44 +211,124 @@ def _links(starts, ends, nm, dep, arr, bound: float):
 FOUND = "request_id string, total_nm double, route array<struct<identifier: string, database_id: string>>"
 
 
-def search(found: DataFrame, edges: DataFrame, resolved: DataFrame, factor: float) -> DataFrame:
-    """The best route of each request that has one, over the candidates ``found``. A task gets a
-    request's candidates and the pairs between them that a route within the cap can use."""
-    cap = resolved.select("request_id", (F.col("direct_nm") * factor).alias("cap_nm"))
-    nodes = found.join(cap, "request_id")
+def _own_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs of each request's candidates that a route within its limit can use."""
     end = lambda x, *more: nodes.select("request_id", F.col("database_id").alias(x), F.col("dep_nm").alias(f"dep_{x}"), F.col("arr_nm").alias(f"arr_{x}"), *more)
-    own = end("a", "cap_nm").join(edges, "a").join(end("b"), ["request_id", "b"])
-    own = own.filter(f"least(dep_a + arr_b, dep_b + arr_a) + nm <= cap_nm + {SLACK}").select(F.col("request_id").alias("own_request"), "a", "b", "nm")
+    own = end("a", "limit_nm").join(edges, "a").join(end("b"), ["request_id", "b"])
+    return own.filter(f"least(dep_a + arr_b, dep_b + arr_a) + nm <= limit_nm + {SLACK}").select("request_id", "a", "b", "nm")
+
+
+def _in_tasks(nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """Best routes, a request in a task."""
 
     def solve(nodes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("database_id", ignore_index=True)
         number = pd.Index(nodes["database_id"])
         column = lambda c: nodes[c].to_numpy(np.float64)
         names, ids = nodes["identifier"].tolist(), nodes["database_id"].tolist()
-        best = None if nodes.empty else best_route(names, ids, column("published_range_nm"), column("dep_nm"), column("arr_nm"), number.get_indexer(own["a"]), number.get_indexer(own["b"]), own["nm"].to_numpy(np.float64), float(nodes["cap_nm"].iloc[0]))
+        best = None if nodes.empty else best_route(names, ids, column("published_range_nm"), column("dep_nm"), column("arr_nm"), number.get_indexer(own["a"]), number.get_indexer(own["b"]), own["nm"].to_numpy(np.float64), float(nodes["limit_nm"].iloc[0]))
         if best is None:
             return pd.DataFrame({"request_id": [], "total_nm": [], "route": []}, dtype=object)
         return pd.DataFrame({"request_id": [nodes["request_id"].iloc[0]], "total_nm": [best[0]], "route": [[{"identifier": names[i], "database_id": ids[i]} for i in best[1]]]})
 
-    return nodes.groupBy("request_id").cogroup(own.groupBy("own_request")).applyInPandas(solve, FOUND)
+    return nodes.groupBy("request_id").cogroup(own.withColumnRenamed("request_id", "own_request").groupBy("own_request")).applyInPandas(solve, FOUND)
+
+
+def frontier_routes(nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """Best routes by joins. A label is the best way (total, then sequence) to a navaid of a request
+    over so many legs. Labels of one number of legs are carried over the request's pairs to those of
+    the next; of several at a navaid the best stays, if none with fewer legs is as short and if it
+    can still lead to a route as short as the best so far."""
+    step = F.struct("identifier", "database_id")
+    to = nodes.select("request_id", F.col("database_id").alias("b"), step.alias("step"), F.col("arr_nm").alias("arr"), F.col("published_range_nm").alias("reach"), F.col("limit_nm").alias("cap"))
+    arcs = settled(own.select("request_id", "a", "b", "nm").unionByName(own.select("request_id", F.col("b").alias("a"), F.col("a").alias("b"), "nm")).join(to, ["request_id", "b"]))
+    first = F.struct(F.col("dep_nm").alias("total"), F.array(step).alias("path"))
+    frontier = written(nodes.filter(f"dep_nm <= published_range_nm and dep_nm + arr_nm <= limit_nm + {SLACK}").select("request_id", F.col("database_id").alias("b"), first.alias("label"), F.col("arr_nm").alias("arr"), F.col("published_range_nm").alias("reach"), F.col("limit_nm").alias("cap")), "frontier")
+    known = written(frontier.select("request_id", "b", F.col("label.total").alias("least")), "known")
+    best = None
+    for legs in itertools.count(2):
+        ended = frontier.filter("arr <= reach and label.total + arr <= cap").select("request_id", F.struct(F.expr("label.total + arr").alias("total"), F.lit(legs).alias("legs"), F.col("label.path").alias("path")).alias("route"))
+        old = [x for x in (best, frontier, known) if x is not None]
+        best = written((ended if best is None else best.unionByName(ended)).groupBy("request_id").agg(F.min("route").alias("route")), "best")
+        bound = best.select("request_id", F.col("route.total").alias("bound"))
+        ahead = frontier.select("request_id", F.col("b").alias("a"), "label").join(arcs, ["request_id", "a"]).join(bound, "request_id", "left")
+        ahead = ahead.withColumn("total", F.expr("label.total + nm")).filter(f"total <= cap and total + arr <= least(cap, coalesce(bound, cap)) + {SLACK}")
+        new = ahead.groupBy("request_id", "b").agg(F.min(F.struct("total", F.concat("label.path", F.array("step")).alias("path"))).alias("label"), F.first("arr").alias("arr"), F.first("reach").alias("reach"), F.first("cap").alias("cap"))
+        frontier = written(new.join(known, ["request_id", "b"], "left").filter("least is null or label.total < least").drop("least"), "frontier")
+        if frontier.isEmpty():
+            return best.select("request_id", F.col("route.total").alias("total_nm"), F.col("route.path").alias("route"))
+        known = written(known.unionByName(frontier.select("request_id", "b", F.col("label.total").alias("least"))).groupBy("request_id", "b").agg(F.min("least").alias("least")), "known")
+        for table in old:
+            discard(table)
+
+
+def search(nodes: DataFrame, edges: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """The best route of each request that has one within its limit, over the candidates ``nodes``
+    and the pairs ``edges``. Requests of at most ``pairs`` pairs are solved in a task each, the
+    others by joins; the routes are the same."""
+    own = _own_pairs(nodes, edges)
+    # so few navaids can't have more pairs
+    sure = int((1 + math.sqrt(1 + 8 * max(0, pairs))) / 2) if pairs > 0 else 0
+    if nodes.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > sure).isEmpty():
+        return _in_tasks(nodes, own)
+    own = settled(own)
+    large = settled(own.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pairs).select("request_id"))
+    if large.isEmpty():
+        return _in_tasks(nodes, own)
+    part = lambda df, how: df.join(large, "request_id", how)
+    return _in_tasks(part(nodes, "left_anti"), part(own, "left_anti")).unionByName(frontier_routes(part(nodes, "left_semi"), part(own, "left_semi")))
+
+
+def discover(resolved: DataFrame, navaids: DataFrame, factor: float = 1.5, edges: DataFrame | None = None, pairs: int = PAIRS) -> DataFrame:
+    """The best route of each request that has one over ``navaids``, with the stage that found it:
+    its number, its factor, and the navaids admitted until then. Distances of a navaid to a
+    request's ends are measured in the stage that admits it, the pairs of a navaid in the stage
+    that admits it for any request; edges, if given, has all pairs."""
+    open_, done, found, nodes, known, met, stage = resolved.filter("status is null"), None, [], None, None, edges, 0
+    factors = sorted({min(f, factor) for f in FACTORS})
+    while (limit := next_limit(factors, done, None)) is not None:
+        stage += 1
+        new = settled(candidates(open_, navaids, limit, done))
+        nodes = new if nodes is None else nodes.join(open_.select("request_id"), "request_id", "left_semi").unionByName(new)
+        nodes = nodes.drop("limit_nm").join(open_.select("request_id", (F.col("direct_nm") * limit).alias("limit_nm")), "request_id")
+        if edges is None:
+            fresh = new.select("database_id").distinct()
+            if known is not None:
+                fresh = fresh.join(known, "database_id", "left_anti")
+            fresh = settled(fresh)
+            known = fresh if known is None else known.unionByName(fresh)
+            if met is None or not fresh.isEmpty():
+                marked = navaids.join(known.join(fresh.withColumn("fresh", F.lit(True)), "database_id", "left"), "database_id").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+                more = settled(navigable_edges(marked, "fresh"))
+                met = more if met is None else met.unionByName(more)
+        routes = settled(search(nodes, met, pairs))
+        sizes = nodes.groupBy("request_id").agg(F.count(F.lit(1)).alias("admitted"))
+        found.append(routes.join(sizes, "request_id").withColumn("stage", F.lit(stage)).withColumn("factor", F.lit(limit)))
+        open_, done = settled(open_.join(routes.select("request_id"), "request_id", "left_anti")), limit
+        if open_.isEmpty():
+            break
+    return functools.reduce(DataFrame.unionByName, found)
 
 
-def plan_routes(requests: DataFrame, airports: DataFrame, navaids: DataFrame, factor: float = 1.5, edges: DataFrame | None = None) -> DataFrame:
+def plan_routes(requests: DataFrame, airports: DataFrame, navaids: DataFrame, factor: float = 1.5, edges: DataFrame | None = None, pairs: int = PAIRS) -> DataFrame:
     """One row for each request: status (found, no-route, or why it can't be planned), mode
     (vor-family, or ndb-fallback where only NDBs beside the VORs give a route), total_nm, legs,
-    route, direct_nm, completed_factors (those searched in vain, where there is no route), and both
-    airports."""
+    route, stage and admitted (the stage that found it and the navaids it had), direct_nm,
+    completed_factors (those searched in vain, where there is no route), and both airports."""
     if not (math.isfinite(factor) and factor >= 1):
         raise ValueError("the route factor must be finite and at least 1")
     resolved = settled(resolve_airports(requests, airports))
-    near = settled(candidates(resolved, navaids, factor))
-    if edges is None:  # pairs of navaids that are candidates of any request
-        edges = settled(navigable_edges(navaids.join(near.select("database_id").distinct(), "database_id", "left_semi")))
-    first = settled(search(near.filter(F.col("family").isin(*VOR_FAMILIES)), edges, resolved, factor).withColumn("mode", F.lit("vor-family")))
-    open_ = near.join(first.select("request_id"), "request_id", "left_anti")
+    first = discover(resolved, navaids.filter(F.col("family").isin(*VOR_FAMILIES)), factor, edges, pairs).withColumn("mode", F.lit("vor-family"))
     # only requests that an NDB could help
-    helped = open_.join(open_.filter("family = 'NDB'").select("request_id").distinct(), "request_id", "left_semi")
-    second = search(helped, edges, resolved, factor).withColumn("mode", F.lit("ndb-fallback"))
-    plans = resolved.join(first.unionByName(second), "request_id", "left")
+    ndbs = navaids.filter("family = 'NDB'")
+    rest = resolved.filter("status is null").join(first.select("request_id"), "request_id", "left_anti")
+    routes = first
+    if not rest.isEmpty():
+        helped = settled(rest.join(candidates(rest, ndbs, factor).select("request_id").distinct(), "request_id", "left_semi"))
+        routes = first if helped.isEmpty() else first.unionByName(discover(helped, navaids, factor, edges, pairs).withColumn("mode", F.lit("ndb-fallback")))
+    plans = resolved.join(routes, "request_id", "left")
     status = F.coalesce("status", F.when(F.col("route").isNotNull(), "found").otherwise("no-route"))
-    return plans.select("request_id", "departure_icao", "arrival_icao", status.alias("status"), "mode", "total_nm", F.when(F.col("route").isNotNull(), F.size("route") + 1).alias("legs"), "route", "direct_nm", F.when(F.col("route").isNull() & F.col("direct_nm").isNotNull(), F.array_distinct(F.array(*[F.lit(min(f, factor)) for f in FACTORS]))).alias("completed_factors"), "departure_airport", "arrival_airport")
+    return plans.select(
+        "request_id", "departure_icao", "arrival_icao", status.alias("status"), "mode", "total_nm", F.when(F.col("route").isNotNull(), F.size("route") + 1).alias("legs"), "route", "stage", "admitted", "direct_nm",
+        F.when(F.col("route").isNull() & F.col("direct_nm").isNotNull(), F.array_distinct(F.array(*[F.lit(min(f, factor)) for f in FACTORS]))).alias("completed_factors"), "departure_airport", "arrival_airport",
+    )

@@ -170,12 +170,31 @@ def optimal_route(spark, d):
     return rounded(plans.select("request_id", "status", "legs", "total_nm"))
 
 
+def _staged_sql() -> str:
+    layers = _layers(24)
+    return layers[: layers.rindex(" SELECT r.request_id")] + ", won AS (SELECT request_id, b.t, r.direct, CASE WHEN b.t <= r.direct * 11e-1 THEN 11e-1 WHEN b.t <= r.direct * 125e-2 THEN 125e-2 ELSE 15e-1 END AS factor FROM best b JOIN res r USING (request_id) WHERE k = 1) SELECT w.request_id, CAST(CASE w.factor WHEN 11e-1 THEN 1 WHEN 125e-2 THEN 2 ELSE 3 END AS INTEGER) AS stage, any_value(w.factor) AS factor, count(*) AS admitted, round(any_value(w.t), 6) AS total_nm FROM won w JOIN vor v ON v.request_id = w.request_id AND v.dep_nm + v.arr_nm <= w.direct * w.factor GROUP BY ALL"
+
+
+@query(_staged_sql(), LONGS)
+def staged_discovery(spark, d):
+    """The stage that found each long request's best route, and the navaids admitted until then."""
+    found = search.discover(_resolved(spark, d, "long"), _vors(spark, d))
+    return rounded(found.select("request_id", "stage", "factor", "admitted", "total_nm"))
+
+
+@query(ORACLES["optimal_route"])
+def frontier_route(spark, d):
+    """As optimal_route, with every request solved by joins."""
+    plans = search.plan_routes(derived(spark, d, "long_requests"), derived(spark, d, "long_airports"), _vors(spark, d), pairs=0)
+    return rounded(plans.select("request_id", "status", "legs", "total_nm"))
+
+
 @query()
 def route_plans(spark, d):
     """Plans of all local and long requests, NDB fallback included, with their navaids."""
     requests, airports = (derived(spark, d, f"local_{t}").unionByName(derived(spark, d, f"long_{t}")) for t in ("requests", "airports"))
     plans = search.plan_routes(requests, airports, derived(spark, d, "navaids"))
-    return rounded(plans.select("request_id", "status", "mode", "legs", F.array_join(F.col("route.identifier"), " ").alias("navaids"), "total_nm"))
+    return rounded(plans.select("request_id", "status", "mode", "legs", F.array_join(F.col("route.identifier"), " ").alias("navaids"), "total_nm", "stage", F.array_join(F.transform("completed_factors", lambda f: f.cast("string")), " ").alias("completed_factors")))
 
 
 C = ("a.latitude", "a.longitude", "b.latitude", "b.longitude")
@@ -273,13 +292,17 @@ def duplicate_identity(spark, d):
     return contract.duplicates(derived(spark, d, "navaids"), "identifier", "database_id")
 
 
-def _matching(spark, d):
-    """Reference records 0.005 degrees north of every third VOR, some twice, some without values."""
+def _match_inputs(spark, d):
+    """Navaids, and reference records 0.005 degrees north of every third VOR, some twice, some without values."""
     n = derived(spark, d, "navaids").filter("family <> 'NDB'").withColumn("k", F.col("database_id").cast("long"))
     csv = n.filter("k % 3 <> 2").select(F.col("identifier").alias("NAV_ID"), F.lit("VORTAC").alias("NAV_TYPE"), (F.col("latitude") + 0.005).cast("string").alias("LAT_DECIMAL"), F.col("longitude").cast("string").alias("LONG_DECIMAL"), F.format_string("%.2f", "frequency_value").alias("FREQ"), F.when(F.col("k") % 4 == 1, F.lit("")).otherwise("7.5").alias("MAG_VARN"), F.lit("W").alias("MAG_VARN_HEMIS"), F.lit("2020").alias("MAG_VARN_YEAR"), "k")
     twice = csv.filter("k % 10 = 0").withColumn("MAG_VARN_YEAR", F.lit("2015"))
     navaids = n.withColumn("source_record_id", F.col("database_id")).withColumn("country", F.when(F.col("k") % 7 == 0, F.array(F.lit("CA"))).when(F.col("k") % 7 == 1, F.array(F.lit("CA"), F.lit(" us "))))
-    records = facility.reference_records(csv.unionByName(twice).drop("k"))
+    return navaids, facility.reference_records(csv.unionByName(twice).drop("k"))
+
+
+def _matching(spark, d):
+    navaids, records = _match_inputs(spark, d)
     return facility.match_facilities(navaids, records, records.select("country_code"), "cycle 2501")
 
 
@@ -287,6 +310,14 @@ def _matching(spark, d):
 _MATCH = "WITH v AS (SELECT *, CAST(database_id AS BIGINT) AS k FROM navaids WHERE family <> 'NDB'), ref AS (SELECT k AS rk, identifier, frequency_value AS f, latitude + 5e-3 AS rlat, longitude AS rlon, k % 4 = 1 AS unusable FROM v WHERE k % 3 <> 2 UNION ALL SELECT k, identifier, frequency_value, latitude + 5e-3, longitude, k % 4 = 1 FROM v WHERE k % 3 <> 2 AND k % 10 = 0), hits AS (SELECT v.database_id, count(*) AS n, bool_or(unusable) AS unusable FROM v JOIN ref r ON r.identifier = v.identifier AND round(r.f * 1000000) = round(v.frequency_value * 1000000) WHERE " + geo.haversine_sql("v.latitude", "v.longitude", "r.rlat", "r.rlon") + " <= 1e0 GROUP BY v.database_id), out AS (SELECT v.database_id AS source_record_id, CASE WHEN k % 7 = 0 THEN 'outside-source-coverage' WHEN coalesce(n, 0) <> 1 THEN 'no-unique-match' WHEN unusable THEN 'unusable-source-value' ELSE 'matched' END AS outcome FROM v LEFT JOIN hits USING (database_id))"
 
 
+@query(f"WITH n AS (SELECT CAST(database_id AS BIGINT) AS k, identifier, latitude, longitude FROM navaids WHERE family <> 'NDB'), r AS (SELECT * FROM n WHERE k % 3 <> 2 UNION ALL SELECT * FROM n WHERE k % 3 <> 2 AND k % 10 = 0) SELECT n.k % 10 AS digit, count(*) AS pairs FROM n JOIN r ON r.identifier = n.identifier AND r.k % 200 = n.k % 200 AND {geo.haversine_sql('n.latitude', 'n.longitude', '(r.latitude + 5e-3)', 'r.longitude')} <= {(facility.NEAR_M + facility.ERROR_M) / 1852 * facility.FAR!r}e0 GROUP BY n.k % 10", ("navaids",))
+def compared_facilities(spark, d):
+    """Pairs of a navaid and a record whose distance on the ellipsoid is taken, by last digit: they
+    grow with the rows, though identifiers and frequencies stay few."""
+    navaids, records = _match_inputs(spark, d)
+    return facility.compared(navaids, records).groupBy((F.col("source_record_id").cast("long") % 10).alias("digit")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
 @query(_MATCH + " SELECT source_record_id, outcome, CASE WHEN outcome = 'matched' THEN -75e-1 END AS facility_variation_deg_east FROM out", ("navaids",))
 def facility_match(spark, d):
     return _matching(spark, d).select("source_record_id", "outcome", "facility_variation_deg_east")

@@ -9,6 +9,7 @@ from skylattice.functions.canonical import canonical_or_none
 from skylattice.functions.geodesic import inverse_m
 from skylattice.functions.magnetic import MagneticModel
 from skylattice.functions.text import icao, megahertz_to_hertz, signed_variation
+from skylattice.operators import facility
 
 
 def test_distances_and_courses(spark):
@@ -59,3 +60,23 @@ def test_text_functions(spark):
     df = spark.createDataFrame(rows, "code string, mhz string, m string, h string, y string")
     got = df.select(icao(F.col("code")), megahertz_to_hertz(F.col("mhz")), signed_variation(F.col("m"), F.col("h"), F.col("y"))).collect()
     assert [tuple(r) for r in got] == [("KJFK", 112_300_000, -4.5), (None, None, None), (None, None, None), (None, 117_950_000, -180.0)]
+
+
+def test_facilities_by_brute_force(spark):
+    """The pairs that are compared hold every pair within the bound: all over the globe, at the
+    poles and the antimeridian, with one identifier and frequency for all."""
+    rng = np.random.default_rng(6)
+    n = 300
+    lat = np.concatenate([rng.uniform(-90, 90, n), [90, -90, 89.999, 0, 0, 0.016748922, 60]])
+    lon = np.concatenate([rng.uniform(-180, 180, n), [0, 10, 77, 180, -180, 0, 179.995]])
+    turn, off = rng.uniform(0, 2 * np.pi, len(lat)), rng.choice([0.002, 0.0164, 0.0168, 0.03], len(lat))
+    rlat = np.clip(lat + off * np.cos(turn), -90, 90)
+    rlon = (lon + off * np.sin(turn) / np.maximum(np.cos(np.radians(lat)), 1e-6) + 180) % 360 - 180
+    navaids = spark.createDataFrame([(str(i), "A", float(a), float(b), 112.3) for i, (a, b) in enumerate(zip(lat, lon))], "source_record_id string, identifier string, latitude double, longitude double, frequency_value double")
+    records = spark.createDataFrame([(str(i), "A", float(a), float(b), 112_300_000) for i, (a, b) in enumerate(zip(rlat, rlon))], "record_id string, ident string, ref_latitude double, ref_longitude double, hz long")
+    got = {(int(r["source_record_id"]), int(r["record_id"])) for r in facility.compared(navaids, records).collect()}
+    i, j = np.meshgrid(np.arange(len(lat)), np.arange(len(lat)), indexing="ij")
+    metres = inverse_m(lat[i], lon[i], rlat[j], rlon[j])
+    want = set(zip(*(x.tolist() for x in np.nonzero(metres <= facility.NEAR_M + facility.ERROR_M))))
+    assert want <= got and len(want) > 120 and len(got) < 2 * len(want)
+    assert all(metres[k] <= 1.02 * (facility.NEAR_M + facility.ERROR_M) for k in got)

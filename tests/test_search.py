@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from skylattice.plans import search
 from skylattice.plans.legs import route_legs, warning_summary, warnings
 from skylattice.plans.report import report
 from skylattice.plans.search import best_route, next_limit, plan_routes
@@ -97,3 +98,64 @@ def test_stream_of_requests(spark, tmp_path):
     for _ in range(2):  # a second start finds nothing new
         plan_stream(spark.readStream.schema(REQUESTS).parquet(str(tmp_path / "in")), airports, navaids, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["arrival-not-found", "found", "identical-endpoints", "invalid-request"]
+
+
+def _world(spark, seed, n=120):
+    """Navaids over a region, some NDBs, some in one place, and requests between five airports."""
+    rng = random.Random(seed)
+    spots = [(round(rng.uniform(0, 12), 1), round(rng.uniform(0, 8), 1)) for _ in range(n // 2)]
+    navaids = [(f"n{i:02d}", f"N{rng.randint(0, 9)}", "NDB" if rng.random() < 0.3 else "VOR", *rng.choice(spots), rng.choice([40.0, 70.0, 110.0]), None, None) for i in range(n)]
+    nav = [(i, name, name, f, lon, lat, 112.0 if f != "NDB" else 300.0, "MHz" if f != "NDB" else "kHz", r, None, None, None, None) for i, name, f, lon, lat, r, _, _ in navaids]
+    places = [("AAAA", 0.0, 0.0), ("BBBB", 12.0, 8.0), ("CCCC", 0.0, 8.0), ("DDDD", 12.0, 0.0), ("EEEE", 6.0, 4.0)]
+    airports = spark.createDataFrame([(c, c, c, lon, lat, None) for c, lon, lat in places], AIRPORTS)
+    requests = spark.createDataFrame([(f"{a[0]}{b[0]}", a[0], b[0]) for a in places for b in places if a < b], REQUESTS)
+    return requests, airports, spark.createDataFrame(nav, NAVAIDS)
+
+
+@pytest.mark.parametrize("seed, pairs", [(0, 0), (1, 40)])
+def test_joins_and_tasks_and_stages_agree(spark, monkeypatch, seed, pairs):
+    """By joins (some or all requests), in tasks, in stages and at once: the same routes, down to
+    the order of ties."""
+    requests, airports, navaids = _world(spark, seed)
+    told = lambda **how: {r["request_id"]: (r["status"], r["mode"], r["total_nm"], [s["database_id"] for s in r["route"] or []]) for r in plan_routes(requests, airports, navaids, **how).collect()}
+    staged = told()
+    assert told(pairs=pairs) == staged and any(len(v[3]) > 2 for v in staged.values())
+    monkeypatch.setattr(search, "FACTORS", (1.5,))
+    assert told() == staged
+
+
+def test_what_a_stage_admits(spark):
+    requests, airports, navaids = _world(spark, 1)
+    resolved = search.resolve_airports(requests, airports)
+    wide = {(r["request_id"], r["database_id"]): (r["dep_nm"] + r["arr_nm"]) / (r["limit_nm"] / 1.5) for r in search.candidates(resolved, navaids).collect()}
+    done = None
+    for f in search.FACTORS:
+        ring = {(r["request_id"], r["database_id"]) for r in search.candidates(resolved, navaids, f, done).collect()}
+        assert ring == {k for k, v in wide.items() if v <= f and (done is None or v > done)}
+        done = f
+    found = {r["request_id"]: r for r in search.discover(resolved, navaids).collect()}
+    direct = {r["request_id"]: r["direct_nm"] for r in resolved.collect()}
+    for q, r in found.items():
+        assert r["factor"] == min(f for f in search.FACTORS if r["total_nm"] <= direct[q] * f) and search.FACTORS[r["stage"] - 1] == r["factor"]
+        assert r["admitted"] == sum(k[0] == q and v <= r["factor"] for k, v in wide.items())
+
+
+def test_pairs_of_fresh_navaids(spark):
+    """Pairs met stage by stage are those of all navaids at once, each once."""
+    _, _, navaids = _world(spark, 2)
+    all_ = {(r["a"], r["b"]) for r in search.navigable_edges(navaids).collect()}
+    half = navaids.withColumn("fresh", navaids["database_id"] >= "n60")
+    old = {(r["a"], r["b"]) for r in search.navigable_edges(navaids.filter("database_id < 'n60'")).collect()}
+    new = [(r["a"], r["b"]) for r in search.navigable_edges(half, "fresh").collect()]
+    assert len(set(new)) == len(new) and set(new) | old == all_ and not set(new) & old
+
+
+@pytest.mark.parametrize("pairs", [0, search.PAIRS])
+def test_long_chain(spark, pairs):
+    """A route over 25 navaids beside decoys out of everything's reach."""
+    step = 0.2
+    navaids = [(f"r{i:02d}", f"R{i:02d}", "VOR", i * step, float(i % 2 == 0), 13.0, None, None) for i in range(1, 50)] + [(f"d{i:02d}", f"D{i:02d}", "VOR", (i + 1) * step / 2, 2.0, 1.0, None, None) for i in range(99)]
+    nav = spark.createDataFrame([(i, n, n, f, lon, lat, 112.0, "MHz", r, None, None, None, None) for i, n, f, lon, lat, r, _, _ in navaids], NAVAIDS)
+    airports = spark.createDataFrame([("AAAA", "AAAA", "A", 0.0, 0.0, None), ("BBBB", "BBBB", "B", 50 * step, 0.0, None)], AIRPORTS)
+    row = plan_routes(spark.createDataFrame([("q", "AAAA", "BBBB")], REQUESTS), airports, nav, pairs=pairs).first()
+    assert row["status"] == "found" and [s["identifier"] for s in row["route"]] == [f"R{i:02d}" for i in range(1, 50, 2)] and row["stage"] == 1
