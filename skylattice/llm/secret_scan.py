@@ -14,6 +14,7 @@ import base64
 import bisect
 import bz2
 import codecs
+import functools
 import hashlib
 import lzma
 import mmap
@@ -48,6 +49,29 @@ _BASE64 = _both(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 broken into lines: all but the last have 16 characters or more.
 _LINE = _both(r"[A-Za-z0-9+/_-]+={0,2}")
 _WRAPPED = _both(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+(?:\r\n|\n|\r)[ \t]*+)+[A-Za-z0-9+/_-]++={0,2}")
+
+
+def _compressed(hexed: str, rest: str, before: str = "") -> tuple[re.Pattern, re.Pattern]:
+    """Compressed bytes, by how they begin, written as ``hexed`` and two digits or as plain letters
+    and digits, and then what ``rest`` allows."""
+    digits = lambda c: hexed + "".join(f"[{d}{d.upper()}]" if d.isalpha() else d for d in f"{c:02x}")
+    byte = lambda *codes: "(?:" + "|".join([re.escape(chr(c)) for c in codes if chr(c).isalnum() and c < 0x7B] + [digits(c) for c in codes]) + ")"
+    begins = [byte(0x1F) + byte(0x8B), byte(0x78) + byte(0x01, 0x5E, 0x9C, 0xDA), byte(0x42) + byte(0x5A) + byte(0x68) + byte(*range(0x31, 0x3A)), byte(0xFD) + byte(0x37) + byte(0x7A) + byte(0x58) + byte(0x5A) + byte(0x00)]
+    if before:  # a plain character that escapes leave as it is
+        begins[1] = byte(0x78) + "(?:" + byte(0x01, 0x5E, 0x9C, 0xDA) + r"|\^)"
+    return _both(f"{before}(?:{'|'.join(begins)})(?:{rest})+")
+
+
+_HEX = r"\\x[0-9A-Fa-f]{2}|\\[abfnrtv0'\"\\]"
+#: Compressed bytes in percent escapes, and in strings of \x escapes: within either quotes, or none.
+_PACKED = (
+    _compressed("%", r"%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/-]"),
+    _compressed(r"\\x", _HEX + r"|[ -&(-\[\]-~]", "(?<=')"),
+    _compressed(r"\\x", _HEX + r"|[ !#-\[\]-~]", '(?<=")'),
+    _compressed(r"\\x", _HEX + r"|[ !#-&(-\[\]-~]", "(?<!['\"])"),
+)
+_UNIT = re.compile(r"%[0-9A-Fa-f]{2}|" + _HEX + r"|[\x20-\x7e]")
+_SHORT = dict(zip("abfnrtv0'\"\\", b"\a\b\f\n\r\t\v\0'\"\\"))
 #: Bytes that are decoded or decompressed in one step, and a layer's bytes that stay in memory.
 STEP, HELD = 1 << 20, 4 << 20
 #: For a quick look at the bytes: any of these may be a secret or an encoded layer.
@@ -78,6 +102,8 @@ class Layer:
     def children(self) -> Iterator:
         yield from _replaced(self, _percents(self.text))
         yield from _replaced(self, _escapes(self.text))
+        for data, a, b in _written_bytes(self.text):
+            yield Packed(data, self.up(a, b))
         for lines in _runs(self.text):
             yield from _decoded(self, lines)
 
@@ -95,6 +121,12 @@ class Packed:
         return ((*self.span, kind) for kind in {kind for _, _, kind in scan(self.data)})
 
     def children(self) -> Iterator:
+        if _opener(self.data[:8]):
+            data = _spooled(_unpacked(self.data))
+            if data is not None:
+                yield Packed(data, self.span)
+        for data, _, _ in _written_bytes(self.data):
+            yield Packed(data, self.span)
         for make in (_percent_bytes, _escape_bytes):
             data = _spooled(make(self.data))
             if data is not None and len(data) != len(self.data):
@@ -258,8 +290,24 @@ def _opener(raw):
     return None
 
 
-def _unpacked(raw) -> Iterator[bytes]:
-    """Pieces of what compressed bytes hold, one member after another, up to the first fault."""
+def _written_bytes(text) -> Iterator[tuple]:
+    """What compressed bytes hold that are written with escapes, and the span they are written in,
+    up to their end. Escapes of one byte each; a plain character is that byte."""
+    kind = not isinstance(text, str)
+    for patterns in _PACKED:
+        for m in patterns[kind].finditer(text):
+            units = list(_UNIT.finditer(m[0].decode() if kind else m[0]))
+            raw = bytes(int(u[0][-2:], 16) if u[0][0] == "%" and len(u[0]) == 3 or len(u[0]) == 4 else _SHORT[u[0][1]] if len(u[0]) == 2 else ord(u[0]) for u in units)
+            ends: list[int] = []
+            data = _spooled(_unpacked(raw, ends))
+            # a stream that breaks off is one that other escapes go on with, or the text's end
+            if data is not None and (ends or m.end() == len(text)):
+                yield data, m.start(), m.start() + units[(ends or [len(units)])[-1] - 1].end()
+
+
+def _unpacked(raw, ends: list[int] | None = None) -> Iterator[bytes]:
+    """Pieces of what compressed bytes hold, one member after another, up to the first fault;
+    ``ends`` gets the places where members end."""
     at = 0
     try:
         while opened := _opener(raw[at : at + 8]):
@@ -277,6 +325,8 @@ def _unpacked(raw) -> Iterator[bytes]:
             if not opened.eof:
                 return
             at -= len(opened.unused_data)
+            if ends is not None:
+                ends.append(at)
             while raw[at : at + 1] == b"\0":
                 at += 1
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
@@ -317,16 +367,32 @@ def _decoded(layer: Layer, lines: np.ndarray) -> Iterator[Layer | Packed]:
         return int(lines[k, 0] + i - begins[k])
 
     for text, encoding in _texts(bytes(raw)):
-        error = "surrogateescape" if encoding == "utf-8" else "surrogatepass"
+        at = _byte_places(text, encoding)
 
-        def up(a: int, b: int, text=text, encoding=encoding, error=error) -> tuple[int, int]:
-            first = len(text[:a].encode(encoding, error))
-            end = first + len(text[a:b].encode(encoding, error))
-            return layer.up(place(first * 4 // 3), place(min(-(-end * 4 // 3), size) - 1) + 1)
+        def up(a: int, b: int, at=at) -> tuple[int, int]:
+            return layer.up(place(at(a) * 4 // 3), place(min(-(-at(b) * 4 // 3), size) - 1) + 1)
 
         yield Layer(text, up)
 
 
+def _byte_places(text: str, encoding: str) -> Callable[[int], int]:
+    """Where the characters of a decoded text begin in its bytes; worked out once, when asked."""
+    if encoding == "utf-8" and text.isascii():
+        return lambda i: i
+
+    @functools.cache
+    def places() -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if encoding == "utf-8":
+            # a byte that isn't UTF-8 is a character of its own
+            sizes = 1 + ((points >= 0x80) & ~((points >= 0xDC80) & (points <= 0xDCFF))) * (1 + (points >= 0x800).astype(np.int64) + (points >= 0x10000))
+        else:
+            sizes = 2 + 2 * (points >= 0x10000).astype(np.int64)
+        return np.concatenate(([0], np.cumsum(sizes)))
+
+    return lambda i: int(places()[i])
+
+
 def secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and the spans of all layers, by start and then kind."""
     order = lambda spans: sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -357,7 +423,7 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every whole text.
+    r"""doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every whole text.
 
     The counts and base_sha256 are of the text as it stands; spans also has what decoded layers
     hold, mapped to the text, each span once. Positions are code points, ends exclusive; spans
@@ -365,7 +431,10 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     secrets get zeros, the hash of an empty string and empty spans. A layer that was seen at
     its place before isn't opened again. Only doc_id and text are read; repeated rows are
     scanned each; an empty table gives an empty result. Base64 in lines is joined where all lines
-    but the last have 16 characters or more. What a text unpacks to has no bound: it takes disk
+    but the last have 16 characters or more. Compressed layers (gzip, zlib, bzip2, xz) are opened
+    from base64, from percent or \x escapes of their bytes, and from one another, to any depth.
+    Not opened: deflate without a header, archives, base64 of under 16 characters, compressed bytes
+    in other escapes, other encodings. What a text unpacks to has no bound: it takes disk
     of the task, for the layers that lie within each other, and memory of some MB.
     """
 

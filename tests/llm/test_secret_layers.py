@@ -8,6 +8,9 @@ import os
 import random
 import subprocess
 import sys
+import time
+import urllib.parse
+import zlib
 
 import pytest
 
@@ -81,3 +84,37 @@ def test_nested_layers_by_brute_force(seed):
     head = "före "
     spans = secrets(head + text + " !")[1]
     assert any(k == "access" and len(head) <= a < b <= len(head + text) for a, b, k in spans), names
+
+
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_compressed_in_compressed(seed):
+    """Nests of compressed layers with nothing between them, in base64 or in escapes of their bytes."""
+    rng = random.Random(seed)
+    key = "AKIA" + "".join(rng.choice("ABCD1234") for _ in range(16))
+    data = f"say {key} now, and {rng.random()}".encode()
+    for _ in range(rng.randint(1, 6)):
+        data = rng.choice(list(PACKERS.values()))(data)
+    written = {"base64": base64.b64encode(data).decode(), "percent": "".join(f"%{b:02x}" for b in data), "url": urllib.parse.quote_from_bytes(data), "escapes": "".join(f"\\x{b:02X}" for b in data), "repr": repr(data)[2:-1]}
+    quote = repr(data)[1]
+    for name, text in written.items():
+        _, spans = secrets(f"é v={quote}{text}{quote} and more")
+        assert (5, 5 + len(text), "access") in spans, name
+        # as text within base64
+        assert any(kind == "access" and a <= 2 and b >= len(base64.b64encode(text.encode()).rstrip(b"=")) - 4 for a, b, kind in secrets(base64.b64encode(f"{quote}{text}{quote}".encode()).decode())[1]), name
+
+
+def test_many_secrets_in_a_layer():
+    """Positions of many secrets in a layer cost no more each than those of few."""
+    for mark in ("", "é", "\U0001f600"):
+        text = f" {mark}".join(f"token=abcdefgh{i}" for i in range(40_000))
+        coded = base64.b64encode(text.encode()).decode()
+        began = time.perf_counter()
+        _, spans = secrets(coded)
+        assert len(spans) == 40_000 and time.perf_counter() - began < 5
+        raw = text.encode()
+        for a, b, _ in spans[:: 4_001]:
+            at = raw.index(b"token=", max(0, a * 3 // 4 - 1))
+            assert a == at * 4 // 3 and b >= (at + len(b"token=abcdefgh")) * 4 // 3
