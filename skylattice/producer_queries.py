@@ -4,13 +4,16 @@ pages and archives, classification, checks, checksums, declinations and publicat
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import io
 import uuid
 import zipfile
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions import areas
 from skylattice.functions.magnetic import MagneticModel, decimal_year, decimal_year_of
 from skylattice.functions.text import is_date, is_timestamp, sha256_tag
 from skylattice.operators import classify, contract, facility, integrity, projection, snapshot
@@ -18,7 +21,7 @@ from skylattice.plans import report, search
 from skylattice.plans import legs as leg_plans
 from skylattice.plans.derived import derived
 from skylattice.queries import ARR, DEP, LOCALS, VOR_LIST, _MATCH, _matching, _near, _one_leg, _records, _resolved, _vors, best_single, query, rounded, table
-from skylattice.schema import AIRPORTS, NAVAIDS
+from skylattice.schema import AIRPORTS, FILTERS, NAVAIDS
 from skylattice.sources import cycles, pages
 from skylattice.tables import settled, shared_dir
 
@@ -78,7 +81,7 @@ def page_records(spark, d):
     return r.select(F.substring("r._id", 3, 12).cast("long").alias("k"), "r.name", "r.type", F.col("countries")[0].alias("country"), F.col("r.geometry.coordinates")[0].alias("longitude"))
 
 
-_S12 = f"SELECT c_custkey AS k, 'search' AS filter FROM customer WHERE c_name LIKE '%00000001%' UNION ALL SELECT c_custkey, 'country' FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, 'updated' FROM customer WHERE c_custkey % 28 + 1 > 20 UNION ALL SELECT c_custkey, 'box' FROM customer WHERE {_LON} BETWEEN -10 AND 30 AND {_LAT} BETWEEN 0 AND 50 UNION ALL SELECT c_custkey, 'across' FROM customer WHERE ({_LON} >= 170 OR {_LON} <= -170) AND {_LAT} BETWEEN -20 AND 20 UNION ALL SELECT c_custkey, 'type' FROM customer WHERE (c_nationkey % 9) IN (2, 3) UNION ALL SELECT c_custkey, 'north' FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT * FROM (SELECT c_custkey, 'page' FROM customer ORDER BY c_name DESC, c_custkey LIMIT 20 OFFSET 20) x UNION ALL SELECT c_custkey, 'traffic' FROM customer WHERE c_custkey % 5 IN (1, 2) OR c_custkey % 3 IN (1, 2)"
+_S12 = f"SELECT c_custkey AS k, 'search' AS filter FROM customer WHERE c_name LIKE '%00000001%' UNION ALL SELECT c_custkey, 'country' FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, 'updated' FROM customer WHERE c_custkey % 28 + 1 > 20 UNION ALL SELECT c_custkey, 'box' FROM customer WHERE {_LON} BETWEEN -10 AND 30 AND {_LAT} BETWEEN 0 AND 50 UNION ALL SELECT c_custkey, 'across' FROM customer WHERE ({_LON} >= 170 OR {_LON} <= -170) AND {_LAT} BETWEEN -20 AND 20 UNION ALL SELECT c_custkey, 'type' FROM customer WHERE (c_nationkey % 9) IN (2, 3) UNION ALL SELECT c_custkey, 'north' FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT * FROM (SELECT c_custkey, 'page' FROM customer ORDER BY c_name DESC, c_custkey LIMIT 20 OFFSET 20) x UNION ALL SELECT c_custkey, 'ids' FROM customer WHERE c_custkey IN (7, 42, 101) UNION ALL SELECT c_custkey, 'near' FROM customer WHERE {search.geo.haversine_sql(_LAT, _LON, "45e0", "10e0")} * 1852e0 <= 2500000 UNION ALL SELECT c_custkey, 'traffic' FROM customer WHERE c_custkey % 5 IN (1, 2) OR c_custkey % 3 IN (1, 2)"
 
 
 @query(_S12)
@@ -87,7 +90,7 @@ def list_filters(spark, d):
     n, a = _typed(spark, d), _typed(spark, d, "airport")
     asked = {
         "search": (n, "navaid", {"search": "00000001", "anywhere": True}), "country": (n, "navaid", {"country": "C7"}), "updated": (n, "navaid", {"updated_after": "2024-01-20"}), "box": (n, "navaid", {"box": (-10.0, 0.0, 30.0, 50.0)}),
-        "across": (n, "navaid", {"box": (170.0, -20.0, -170.0, 20.0)}), "type": (n, "navaid", {"type": [2, 3]}), "north": (n, "navaid", {"alignedTrueNorth": True}), "page": (n, "navaid", {"sort": "name", "descending": True, "page": 2, "limit": 20}), "traffic": (a, "airport", {"trafficType": [1, 2]}),
+        "across": (n, "navaid", {"box": (170.0, -20.0, -170.0, 20.0)}), "type": (n, "navaid", {"type": [2, 3]}), "north": (n, "navaid", {"alignedTrueNorth": True}), "page": (n, "navaid", {"sort": "name", "descending": True, "page": 2, "limit": 20}), "traffic": (a, "airport", {"trafficType": [1, 2]}), "ids": (n, "navaid", {"ids": [f"id{i:012d}" for i in (7, 42, 101)]}), "near": (n, "navaid", {"within": (45.0, 10.0, 2_500_000.0)}),
     }
     out = None
     for name, (rows, entity, how) in asked.items():
@@ -96,6 +99,90 @@ def list_filters(spark, d):
     return out
 
 
+#: Values of each entity's filtered fields, by key k: n is k % m, b whether k % m is 0, a a list of
+#: several n, s a list of one text; and the values asked for.
+_ASKED = {
+    "navaid": {"type": ("n", 9, [2, 3]), "alignedTrueNorth": ("b", 4, True)},
+    "airport": {
+        "type": ("n", 10, [0, 9]), "trafficType": ("a", (5, 3), [1, 2]), "ppr": ("b", 3, True), "private": ("b", 5, False), "skydiveActivity": ("b", 7, True), "winchOnly": ("b", 2, True),
+        "servicesFuelType": ("a", (6, 4), [3]), "servicesGliderTowing": ("a", (2, 9), [8]), "servicesHandlingFacility": ("a", (7, 7), [2, 6]), "servicesPassengerFacility": ("a", (11, 3), [5]),
+    },
+    "airspace": {"type": ("n", 30, [4, 7, 29]), "icaoClass": ("n", 9, [8]), "activity": ("n", 6, [1, 5]), "onDemand": ("b", 3, True), "onRequest": ("b", 4, True), "byNotam": ("b", 5, True)},
+    "hotspot": {
+        "category": ("a", (3, 4), [2]), "type": ("n", 3, [1]), "reliability": ("n", 4, [3]), "occurrence": ("n", 5, [0, 1]), "timeOfDay": ("a", (4, 6), [3]), "favTimeOfDay": ("a", (5, 2), [4]),
+        "favWindDirection": ("a", (8, 9), [7]), "reqWindDirection": ("a", (9, 8), [0]),
+    },
+    "obstacle": {"type": ("n", 8, [6])},
+    "reporting-point": {"airport": ("s", 13, ["A1", "A12"])},
+}
+
+
+def _asked_sql() -> str:
+    def holds(kind, m, value) -> str:
+        if kind == "b":
+            return f"(c_custkey % {m} = 0) = {str(value).lower()}"
+        if kind == "s":
+            return f"concat('A', CAST(c_custkey % {m} AS VARCHAR)) IN (" + ", ".join(f"'{v}'" for v in value) + ")"
+        return " OR ".join(f"c_custkey % {x} IN ({', '.join(map(str, value))})" for x in (m if kind == "a" else (m,)))
+
+    return " UNION ALL ".join(f"SELECT '{e}' AS entity, '{name}' AS filter, count(*) FILTER (WHERE {holds(*how)}) AS n FROM customer" for e, asked in _ASKED.items() for name, how in asked.items())
+
+
+def _entities(spark, d, entity: str):
+    """Customers as records of an entity, with the fields that it is filtered by."""
+    k, groups = F.col("c_custkey"), {}
+    for name, (kind, m, _) in _ASKED[entity].items():
+        many = lambda *ms: F.array(*[(k % x).cast("int") for x in ms])
+        value = {"n": lambda: (k % m).cast("int"), "b": lambda: k % m == 0, "a": lambda: many(*m), "s": lambda: F.array(F.concat(F.lit("A"), (k % m).cast("string")))}[kind]()
+        first, _, rest = FILTERS[entity][name].partition(".")
+        groups.setdefault(first, []).append(value.alias(rest or first))
+    fields = [F.struct(*v).alias(n) if "." in "".join(p for p in FILTERS[entity].values() if p.startswith(n)) else v[0] for n, v in groups.items()]
+    return settled(pages.typed(table(spark, d, "customer").select(F.to_json(F.struct(F.format_string("id%012d", k.cast("long")).alias("_id"), *fields)).alias("record")), entity))
+
+
+@query(_asked_sql())
+def entity_filters(spark, d):
+    """Records of all six entities that each of their filters finds, counted."""
+    out = []
+    for entity, asked in _ASKED.items():
+        rows = _entities(spark, d, entity)
+        out += [pages.selected(rows, entity, **{name: value}).agg(F.count(F.lit(1)).alias("n")).select(F.lit(entity).alias("entity"), F.lit(name).alias("filter"), "n") for name, (_, _, value) in asked.items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+#: Airspaces: squares around customers' places, of 2 to 10 degrees.
+_HALF, _MID = "CAST(1 + c_custkey % 5 AS DOUBLE)", "CAST(c_custkey * 3 % 161 AS DOUBLE) - 80e0"
+#: Boxes and circles that airspaces are filtered by.
+_BOXES = {"box": (-10.5, 0.5, 30.5, 50.5), "across": (170.5, -20.5, -170.5, 20.5), "small": (-71.3, 40.1, -71.2, 40.2)}
+_CIRCLES = {"circle": (45.3, 10.2, 500_000.0), "pole": (86.1, 20.3, 300_000.0), "line": (0.4, 179.6, 400_000.0)}
+
+
+def _areas_sql() -> str:
+    corners = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    edges = " UNION ALL ".join(f"SELECT c_custkey, x + h * {a} AS x1, y + h * {b} AS y1, x + h * {p} AS x2, y + h * {q} AS y2 FROM sq" for (a, b), (p, q) in zip(corners, corners[1:] + corners[:1]))
+    parts = []
+    for name, (west, south, east, north) in _BOXES.items():
+        east = east if west <= east else east + 360
+        parts.append(f"SELECT c_custkey AS k, '{name}' AS filter FROM sq WHERE y - h <= {north} AND y + h >= {south} AND ((x - h <= {east} AND x + h >= {west}) OR (x - h + 360 <= {east} AND x + h + 360 >= {west}) OR (x - h - 360 <= {east} AND x + h - 360 >= {west}))")
+    for name, (lat, lon, metres) in _CIRCLES.items():
+        near = areas.edge_nm_sql(f"{lat}e0", f"{lon}e0", "e")
+        parts.append(f"SELECT c_custkey AS k, '{name}' AS filter FROM sq WHERE (abs(y - {lat}) <= h AND (abs(x - {lon}) <= h OR abs(x - {lon} + 360) <= h OR abs(x - {lon} - 360) <= h)) OR c_custkey IN (SELECT c_custkey FROM e WHERE {near} <= {metres / 1852!r}e0)")
+    return f"WITH sq AS (SELECT c_custkey, {_HALF} AS h, {_LON} AS x, {_MID} AS y FROM customer), e AS ({edges}) " + " UNION ALL ".join(parts)
+
+
+@query(_areas_sql())
+def airspace_filters(spark, d):
+    """Airspaces that share a point with boxes and circles, across the antimeridian too."""
+    wrap = lambda x: F.when(x >= 180, x - 360).when(x < -180, x + 360).otherwise(x)
+    h, x, y = F.expr(_HALF), F.expr(_LON), F.expr(_MID)
+    corner = lambda a, b: F.array(wrap(x + h * a), y + h * b)
+    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
+    record = F.to_json(F.struct(F.format_string("id%012d", F.col("c_custkey").cast("long")).alias("_id"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry")))
+    rows = settled(pages.typed(table(spark, d, "customer").select(record.alias("record")), "airspace"))
+    found = [pages.selected(rows, "airspace", box=box).withColumn("filter", F.lit(name)) for name, box in _BOXES.items()] + [pages.selected(rows, "airspace", within=circle).withColumn("filter", F.lit(name)) for name, circle in _CIRCLES.items()]
+    return functools.reduce(DataFrame.unionByName, found).select(F.substring("r._id", 3, 12).cast("long").alias("k"), "filter")
+
+
 @query("SELECT concat('S', CAST(s_nationkey AS VARCHAR)) AS path, CAST(s_suppkey AS VARCHAR) AS \"NAV_ID\", s_name AS \"NAV_TYPE\", replace(s_name, '#', '\"') || ',' || chr(10) || 'x' AS \"NAME\" FROM supplier")
 def archive_rows(spark, d):
     """Rows of CSV tables in ZIP archives, one archive for each nation: quotes and line ends in

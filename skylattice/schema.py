@@ -64,6 +64,9 @@ ENTITIES = {
     "reporting-point": _entity(_f("compulsory", BooleanType()), _f("geometry", POINT), _f("airports", ArrayType(StringType()))),
 }
 
+#: Entities whose geometry is an area.
+AREAS = ("airspace",)
+
 #: Filters of each entity by the parameter's name: the field that equals a value or shares one.
 FILTERS = {
     "navaid": {"type": "type", "alignedTrueNorth": "alignedTrueNorth"},

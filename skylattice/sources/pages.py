@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions import geo
-from skylattice.schema import ENTITIES, FILTERS
+from skylattice.functions import areas, geo
+from skylattice.schema import AREAS, ENTITIES, FILTERS
 
 ENVELOPE = ("items", "limit", "nextPage", "page", "totalCount", "totalPages")
 
@@ -88,9 +88,13 @@ def selected(rows: DataFrame, entity: str, search: str | None = None, anywhere:
     """Filters of the list service over typed records (column ``r``) of an entity: names that
     begin with a text (or have it ``anywhere``), whatever the case; a country; a time of change;
     a point with a radius in metres (latitude, longitude, metres); a box (west, south, east,
-    north; west > east crosses the antimeridian); ids; the entity's own FILTERS (a value or a
+    north; west > east crosses the antimeridian): points must lie within, areas share a point with
+    the circle or box, and rows without a geometry don't fit; ids; the entity's own FILTERS (a value or a
     list of them); ``fields`` to keep; sorting (ties by id) and pages."""
-    lat, lon = F.col("r.geometry.coordinates")[1], F.col("r.geometry.coordinates")[0]
+    columns, area = rows.columns, entity in AREAS
+    if area and (within is not None or box is not None):
+        rows = rows.withColumn("edges", areas.edges(F.col("r.geometry.coordinates")))
+    lat, lon = (F.lit(None), F.lit(None)) if area else (F.col("r.geometry.coordinates")[1], F.col("r.geometry.coordinates")[0])
     if search is not None:
         text, name = F.lower(F.lit(search)), F.lower("r.name")
         rows = rows.filter(name.contains(text) if anywhere else name.startswith(text))
@@ -98,12 +102,15 @@ def selected(rows: DataFrame, entity: str, search: str | None = None, anywhere:
         rows = rows.filter(F.array_contains("countries", country))
     if updated_after is not None:
         rows = rows.filter(F.col("r.updatedAt") > updated_after)
-    if within is not None:
+    if within is not None and area:
+        rows = rows.filter(areas.within_nm("edges", within[0], within[1], within[2] / 1852))
+    elif within is not None:
         rows = rows.withColumn("at", F.struct(lat.alias("lat"), lon.alias("lon"))).filter(geo.haversine_nm("at.lat", "at.lon", f"{float(within[0])!r}e0", f"{float(within[1])!r}e0") * 1852 <= within[2]).drop("at")
     if box is not None:
         west, south, east, north = box
         across = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
-        rows = rows.filter(across & lat.between(south, north))
+        rows = rows.filter(areas.meets_box(F.col("edges"), west, south, east, north) if area else across & lat.between(south, north))
+    rows = rows.select(columns)
     if ids is not None:
         rows = rows.filter(F.col("r._id").isin(*ids))
     for name, value in equal.items():

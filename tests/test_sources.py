@@ -1,6 +1,8 @@
 """Pages and cycles, publication, and the contract."""
 
 import json
+import math
+import random
 import zipfile
 
 import pytest
@@ -112,3 +114,53 @@ def test_contract(spark):
     assert contract.contract_violations(airports.unionByName(airports), navaids, metadata) == ["planner_airports contains duplicate planner-ready identity data"]
     bad = navaids.withColumn("frequency_unit", navaids["name"])
     assert contract.contract_violations(airports, bad, metadata) == ["planner_navaids contains invalid planner-ready navigation data"]
+
+
+def test_areas_by_brute_force(spark):
+    """Random polygons, some with a hole, some across the antimeridian, against dense points on
+    them: no box or circle that holds such a point may be missed, none far from all be found."""
+    rng = random.Random(5)
+    shapes = []
+    for i in range(60):
+        x, y, n = rng.uniform(-180, 180), rng.uniform(-60, 60), rng.randint(3, 8)
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        ring = [(x + 6 * math.cos(t), y + 6 * math.sin(t)) for t in turns]
+        rings = [ring, [(x + (a - x) / 3, y + (b - y) / 3) for a, b in ring]] if i % 3 == 0 else [ring]
+        shapes.append(rings)
+    wrap = lambda v: (v + 180) % 360 - 180
+    rows = [(json.dumps({"_id": str(i), "geometry": {"type": "Polygon", "coordinates": [[[wrap(a), b] for a, b in r] for r in rings]}}),) for i, rings in enumerate(shapes)]
+    typed = pages.typed(spark.createDataFrame([*rows, ('{"_id": "none"}',)], "record string"), "airspace").cache()
+
+    def inside(rings, x, y):
+        crossings = 0
+        for r in rings:
+            for (a, b), (c, e) in zip(r, r[1:] + r[:1]):
+                crossings += (b > y) != (e > y) and x < (c - a) * (y - b) / (e - b) + a
+        return crossings % 2 == 1
+
+    def dense(rings):
+        out = [(a + (c - a) * t / 60, b + (e - b) * t / 60) for r in rings for (a, b), (c, e) in zip(r, r[1:] + r[:1]) for t in range(60)]
+        xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
+        grid = [(min(xs) + (max(xs) - min(xs)) * i / 25, min(ys) + (max(ys) - min(ys)) * j / 25) for i in range(26) for j in range(26)]
+        return out + [p for p in grid if inside(rings, *p)]
+
+    points = [dense(r) for r in shapes]
+    for west, south, east, north in ((-30.0, -20.0, 40.0, 30.0), (160.0, -50.0, -150.0, 50.0), (10.0, 10.0, 11.0, 11.0), (-180.0, -90.0, 180.0, 90.0)):
+        got = {r["r"]["_id"] for r in pages.selected(typed, "airspace", box=(west, south, east, north)).collect()}
+        span = (east - west) % 360 or 360
+        near = lambda x, y, m: ((wrap(x) - west + m) % 360 <= span + 2 * m or span + 2 * m >= 360) and south - m <= y <= north + m
+        for i, own in enumerate(points):
+            assert (str(i) in got) or not any(near(x, y, 0.0) for x, y in own)
+            assert (str(i) not in got) or any(near(x, y, 0.6) for x, y in own)
+
+    def nm(a, b, c, e):
+        p, q = math.radians(b), math.radians(e)
+        h = math.sin((p - q) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(a - c) / 2) ** 2
+        return 2 * 6371000 / 1852 * math.asin(math.sqrt(min(1, h)))
+
+    for lat, lon, metres in ((0.0, 0.0, 3e6), (10.0, 179.0, 2e6), (50.0, -100.0, 1e6), (-40.0, 20.0, 2e5)):
+        got = {r["r"]["_id"] for r in pages.selected(typed, "airspace", within=(lat, lon, metres)).collect()}
+        for i, own in enumerate(points):
+            least = min(nm(x, y, lon, lat) for x, y in own) * 1852
+            assert (str(i) in got) or least > metres * 0.995 - 2000
+            assert (str(i) not in got) or least < metres * 1.005 + 60_000
