@@ -90,26 +90,46 @@ class Templates:
 
         at: places in ``bigrams`` of the bigrams numbered ``shared``; ends: past the last bigram of
         the text that each of them is in. A run begins with a shared bigram, has as many words as
-        the template or ends with the text, and is the first with most shared bigrams."""
+        the template or ends with the text; of those that can reach ``least`` the best is the first
+        of the highest Dice, by different bigrams: so repeats of a few don't hide a whole match."""
         many = self.first[at + 1] - self.first[at]
         owner = self.owners[np.repeat(self.first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
         place, end = np.repeat(shared, many), np.repeat(ends, many)
-        found = []
+        found, before = [], None
         for t in np.unique(owner).tolist():
             own = owner == t
             p, e = place[own], end[own]
             count = np.searchsorted(p, np.minimum(p + self.lengths[t] - 1, e)) - np.arange(len(p))
             good = np.flatnonzero(count >= self.needed[t] - 1e-9)
+            if not len(good):
+                continue
+            if before is None:
+                before = _before(grams)
+            # of a run from i, bigrams that stood last before i are new to it
+            shared_before = before[p]
             for text in np.unique(e[good]).tolist():
-                mine = good[e[good] == text]
-                i = int(p[mine[np.argmax(count[mine])]])
-                unit = set(grams[i : min(i + self.lengths[t] - 1, text)].tolist())
-                dice = 2 * len(self.sets[t] & unit) / (len(self.sets[t]) + len(unit))
-                if dice >= self.least:
-                    found.append((i, dice, self.names[t]))
+                best = (0.0, 0)
+                for k in good[e[good] == text].tolist():
+                    i = int(p[k])
+                    both = int(np.count_nonzero(shared_before[k : k + count[k]] < i))
+                    if both < self.needed[t] - 1e-9:
+                        continue
+                    size = int(np.count_nonzero(before[i : min(i + self.lengths[t] - 1, text)] < i))
+                    best = max(best, (2 * both / (len(self.sets[t]) + size), -i))
+                if best[0] >= self.least:
+                    found.append((-best[1], best[0], self.names[t]))
         return found
 
 
+def _before(grams: np.ndarray) -> np.ndarray:
+    """Where each bigram stood last before its place; -1 where it didn't."""
+    order = np.argsort(grams, kind="stable")
+    again = np.flatnonzero(grams[order][1:] == grams[order][:-1])
+    before = np.full(len(grams), -1, np.int64)
+    before[order[again + 1]] = order[again]
+    return before
+
+
 _BLANK = byte_table((0x20, 0x20), (0x09, 0x09), (0x0D, 0x0D))
 
 
@@ -128,8 +148,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters; two texts
     are compared by their sets of word bigrams. Units are the lines, the paragraphs (between
     lines of blanks), the whole text, and for each template the run of its number of words (or up
-    to the text's end) that begins with one of its bigrams and holds most of them, the first of
-    such. license is the template of the highest Dice coefficient
+    to the text's end) that begins with one of its bigrams and has the highest coefficient, the
+    first of such. license is the template of the highest Dice coefficient
     (rounded to 6 digits; of equal ones the first by name), licenses all that a unit reaches
     with ``least`` or more, by name and comma-joined, n_lines the lines that reach one. Where
     nothing is found, and for null and empty texts, license is null, dice 0 and licenses empty.
@@ -201,8 +221,8 @@ def oracle(templates: dict[str, str] | None = None, least: float = 0.8) -> str:
         dg AS (SELECT r, {all_grams} AS g FROM (SELECT r, {words} AS w FROM (SELECT r, text AS u FROM d) x) y),
         h AS (SELECT r, name, nb, nw, i FROM (SELECT r, unnest(g) AS b, unnest(range(1, len(g) + 1)) AS i FROM dg) x JOIN tg USING (b)),
         c AS (SELECT *, count(*) OVER (PARTITION BY r, name ORDER BY i RANGE BETWEEN CURRENT ROW AND nw - 2 FOLLOWING) AS c FROM h),
-        k AS (SELECT r, name, nb, list_distinct(g[i:i + nw - 2]) AS g FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY r, name ORDER BY c DESC, i) = 1) x JOIN dg USING (r) WHERE c >= {least / (2 - least)!r} * nb - 1e-9),
-        w AS (SELECT r, name, 2.0::DOUBLE * count(*) / (na + nb) AS dice FROM (SELECT r, name, nb, len(g) AS na, unnest(g) AS b FROM k) x JOIN (SELECT name, b FROM tg) y USING (name, b) GROUP BY r, name, na, nb HAVING 2.0::DOUBLE * count(*) / (na + nb) >= {least}),
+        k AS (SELECT r, name, nb, i, list_distinct(g[i:i + nw - 2]) AS g FROM c JOIN dg USING (r) WHERE c >= {least / (2 - least)!r} * nb - 1e-9),
+        w AS (SELECT r, name, 2.0::DOUBLE * count(*) / (na + nb) AS dice FROM (SELECT r, name, nb, i, len(g) AS na, unnest(g) AS b FROM k) x JOIN (SELECT name, b FROM tg) y USING (name, b) GROUP BY r, name, i, na, nb HAVING 2.0::DOUBLE * count(*) / (na + nb) >= {least}),
         every AS (SELECT r, name, dice FROM m UNION ALL SELECT r, name, dice FROM w),
         best AS (SELECT r, name, dice FROM every QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, name) = 1),
         allm AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM every GROUP BY r),

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import textwrap
 import zlib
 
@@ -303,3 +304,37 @@ def test_proofs_fold(spark):
         before, after = [bytes(x) for x in r["before"]], [bytes(x) for x in r["after"]]
         assert folded(r["leaf"].encode(), before, after).decode() == r["root"] and r["verified"]
         assert folded(r["leaf"].encode()[::-1], before, after).decode() != r["root"]
+
+
+def test_a_licence_behind_repeats(spark):
+    """Repeats of a few of a licence's own bigrams before it, within one line; and random texts of
+    pieces of templates, against all runs of a template's length."""
+    mit = TEMPLATES["MIT-text"]
+    loop = "the Software and to permit persons to whom "
+    rng = random.Random(9)
+    texts = [loop * 14 + "other words stand here " * 20 + mit]
+    for _ in range(25):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            own = rng.choice([mit, TEMPLATES["GPL-3.0-header"], loop * 5]).split()
+            a = rng.randint(0, len(own) // 3)
+            words += own[a : a + rng.randint(5, len(own))] + [f"w{rng.randint(0, 99)}" for _ in range(rng.randint(0, 30))]
+        texts.append(" ".join(words))
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+    grams = lambda w: list(zip(w, w[1:]))
+    names = ("MIT-text", "GPL-3.0-header")
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {n: TEMPLATES[n] for n in names}).collect()}
+    assert got[0]["licenses"] == "MIT-text" and got[0]["dice"] == 1.0
+    found = 0
+    for i, t in enumerate(texts):
+        own, best = grams(cut(t)), {}
+        for n in names:
+            template = grams(cut(TEMPLATES[n]))
+            for a in [0, *(k for k, g in enumerate(own) if g in set(template))]:
+                run = set(own[a : a + len(template)] if a else own)
+                best[n] = max(best.get(n, 0), 2 * len(run & set(template)) / (len(run) + len(set(template))))
+            first = set(own[: len(template)]) if own and own[0] in set(template) else set()
+            best[n] = max(best[n], 2 * len(first & set(template)) / (len(first) + len(set(template))))
+        assert got[i]["licenses"] == ",".join(sorted(n for n in names if best[n] >= 0.8)), i
+        found += bool(got[i]["licenses"])
+    assert found > 8
