@@ -3,6 +3,7 @@ renamed into place, says which is active. Readers resolve the pointer once."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import uuid
@@ -70,9 +71,13 @@ def fingerprint(tables: dict[str, DataFrame]) -> str:
 
 
 def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """The tables' columns: relation, place (from 1), name, type."""
-    rows = [(n, i, f.name, f.dataType.simpleString()) for n, df in sorted(tables.items()) for i, f in enumerate(df.schema, 1)]
-    return spark.createDataFrame(rows, "relation string, place int, name string, type string")
+    """The tables' columns: relation, place (from 1), name, type, and how many rows have a value."""
+    found = []
+    for n, df in sorted(tables.items()):
+        one = df.agg(*[F.count(F.col(f.name)).alias(f.name) for f in df.schema])
+        rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f.name).alias("filled")) for i, f in enumerate(df.schema, 1)])
+        found.append(one.select(F.lit(n).alias("relation"), F.inline(rows)))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def snapshot_row(spark: SparkSession, own: str, components: dict[str, dict], provenance: dict) -> DataFrame:

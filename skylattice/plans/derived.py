@@ -33,12 +33,14 @@ def _requests(code: str, steps: tuple[int, ...]) -> str:
     return " UNION ALL ".join(one.format(c=code, s=s) for s in steps)
 
 
-#: Each customer has a request between two airports of its own, in the first field of navaids.
+#: Each customer has a request between two airports, in the first field of navaids. There are codes
+#: for PLACES pairs of airports; from then on customers share them.
+PLACES = 26**4 // 2
 _CODE = "concat(chr(CAST(65 + m % 26 AS INT)), chr(CAST(65 + floor(m / 26e0) % 26 AS INT)), chr(CAST(65 + floor(m / 676e0) % 26 AS INT)), chr(CAST(65 + floor(m / 17576e0) % 26 AS INT)))"
-_ENDS = "(SELECT CAST(c_custkey AS BIGINT) * 2 + {end} AS m, CAST(c_custkey AS BIGINT) AS c, {end} AS e FROM customer) x"
+_ENDS = f"(SELECT c * 2 + {{end}} AS m, c, {{end}} AS e FROM (SELECT DISTINCT CAST(c_custkey AS BIGINT) % {PLACES} AS c FROM customer) y) x"
 _CUSTOMER_AIRPORT = "SELECT concat('c', CAST(m AS VARCHAR(9))) AS database_id, " + _CODE + " AS icao, 'Airport' AS name, -120e0 + CAST((c * 53) % 4900 AS DOUBLE) / 100e0 + e * (1e0 + CAST(c % 5 AS DOUBLE) * 8e-1) AS longitude, 27e0 + CAST((c * 37) % 1900 AS DOUBLE) / 100e0 + e * (CAST(c % 7 AS DOUBLE) - 3e0) * 6e-1 AS latitude, CAST(c % 31 AS DOUBLE) - 15e0 AS magnetic_declination_deg_east FROM " + _ENDS
 CUSTOMER_AIRPORTS = " UNION ALL ".join(_CUSTOMER_AIRPORT.format(end=e) for e in (0, 1))
-CUSTOMER_REQUESTS = f"SELECT concat('c', CAST(c AS VARCHAR(9))) AS request_id, {_CODE.replace('m', 'd')} AS departure, {_CODE.replace('m', 'a')} AS arrival FROM (SELECT CAST(c_custkey AS BIGINT) AS c, CAST(c_custkey AS BIGINT) * 2 AS d, CAST(c_custkey AS BIGINT) * 2 + 1 AS a FROM customer) x"
+CUSTOMER_REQUESTS = f"SELECT concat('c', CAST(c AS VARCHAR(9))) AS request_id, {_CODE.replace('m', 'd')} AS departure, {_CODE.replace('m', 'a')} AS arrival FROM (SELECT CAST(c_custkey AS BIGINT) AS c, CAST(c_custkey AS BIGINT) % {PLACES} * 2 AS d, CAST(c_custkey AS BIGINT) % {PLACES} * 2 + 1 AS a FROM customer) x"
 LONG_REQUESTS, LOCAL_REQUESTS = _requests("NAA", (5, 11)), _requests("NLA", tuple(range(1, 13)))
 VIEWS = {"navaids": NAVAIDS, "long_airports": LONG, "local_airports": LOCAL, "long_requests": LONG_REQUESTS, "local_requests": LOCAL_REQUESTS, "raw_navaids": RAW, "customer_airports": CUSTOMER_AIRPORTS, "customer_requests": CUSTOMER_REQUESTS}
 

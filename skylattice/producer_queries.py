@@ -20,10 +20,10 @@ from skylattice.operators import classify, contract, facility, integrity, projec
 from skylattice.plans import report, search
 from skylattice.plans import legs as leg_plans
 from skylattice.plans.derived import derived
-from skylattice.queries import ARR, DEP, LOCALS, VOR_LIST, _MATCH, _matching, _near, _one_leg, _records, _resolved, _vors, best_single, query, rounded, table
+from skylattice.queries import ARR, DEP, EDGES, LOCALS, VOR_LIST, _MATCH, _cand, _matching, _near, _one_leg, _records, _resolved, _vors, best_single, query, rounded, table
 from skylattice.schema import AIRPORTS, FILTERS, NAVAIDS
 from skylattice.sources import cycles, pages
-from skylattice.tables import settled, shared_dir
+from skylattice.tables import settled, shared_dir, written
 
 #: Items of a page, in the queries over pages.
 PAGE = 100
@@ -433,14 +433,20 @@ def navaid_contract(spark, d):
 
 
 def _columns_sql() -> str:
-    rows = [(t, i, f.name, f.dataType.simpleString()) for t, s in (("planner_airports", AIRPORTS), ("planner_navaids", NAVAIDS)) for i, f in enumerate(s, 1)]
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c}', '{k}')" for t, i, c, k in rows) + ') v(relation, place, name, type)'
+    rows = [(t, i, f.name, f.dataType.simpleString(), v) for t, s, v in (("planner_airports", AIRPORTS, "local_airports"), ("planner_navaids", NAVAIDS, "navaids")) for i, f in enumerate(s, 1)]
+    return " UNION ALL ".join(f"SELECT '{t}' AS relation, {i} AS place, '{c}' AS name, '{k}' AS type, count({c}) AS filled FROM {v}" for t, i, c, k, v in rows)
 
 
-@query(_columns_sql())
+@query(_columns_sql(), ("navaids", "local_airports"))
 def planner_catalog(spark, d):
-    """Columns of the planner's relations."""
-    return snapshot.catalog(spark, {"planner_airports": derived(spark, d, "local_airports"), "planner_navaids": derived(spark, d, "navaids")})
+    """Columns of the planner's relations as they are stored, by the contract, with the values that
+    each has."""
+    stored = {"planner_airports": (derived(spark, d, "local_airports"), AIRPORTS), "planner_navaids": (derived(spark, d, "navaids"), NAVAIDS)}
+    tables = {name: written(df.select(schema.fieldNames()), name) for name, (df, schema) in stored.items()}
+    wrong = [x for name, (_, schema) in stored.items() for x in contract.column_violations(tables[name], schema, name)]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return snapshot.catalog(spark, tables)
 
 
 @query("SELECT request_id, i + 1 AS stage, round(direct * least(f, 13e-1), 6) AS limit_nm FROM (SELECT request_id, " + search.geo.haversine_sql("a.latitude", "a.longitude", "b.latitude", "b.longitude") + " AS direct FROM local_requests q JOIN local_airports a ON a.icao = q.departure JOIN local_airports b ON b.icao = q.arrival) r, (VALUES (0, 11e-1), (1, 125e-2), (2, 15e-1)) v(i, f)", LOCALS)
@@ -450,10 +456,25 @@ def discovery_schedule(spark, d):
     return rounded(r.select("request_id", F.posexplode(search.schedule(factor=1.3)).alias("i", "limit_nm")).select("request_id", (F.col("i") + 1).alias("stage"), "limit_nm"))
 
 
-@query(f"WITH c AS (SELECT * FROM navaids) SELECT CAST(0 AS BIGINT) AS no_id, CAST(0 AS BIGINT) AS unknown_family, CAST(0 AS BIGINT) AS bad_distance, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unordered_pairs, CAST(0 AS BIGINT) AS repeated_pairs, CAST(0 AS BIGINT) AS bad_pairs FROM c LIMIT 1", LOCALS)
+def _faulty_sql() -> str:
+    c, e = "CAST(database_id AS BIGINT) % ", "CAST({} AS BIGINT) % "
+    twice = lambda where, again, of: f"(SELECT count(*) FILTER (WHERE {where}) + count(*) FILTER (WHERE {where} AND {again}) FROM {of})"
+    one = lambda where, of: f"(SELECT count(*) FROM {of} WHERE {where})"
+    a, b = e.format("a"), e.format("b")
+    return (
+        f"{_cand('local')}, {EDGES} SELECT CAST(0 AS BIGINT) AS no_id, CAST({twice(f'{c}11 = 0', f'{c}17 = 0', 'cand')} AS BIGINT) AS unknown_family, CAST({twice(f'{c}13 = 0', f'{c}17 = 0', 'cand')} AS BIGINT) AS bad_distance, {one(f'{c}17 = 0', 'cand')} AS repeated, "
+        f"{one(f'{a}19 = 0', 'edges')} AS unordered_pairs, {one(f'{b}23 = 0', 'edges')} AS repeated_pairs, CAST({twice(f'{a}7 = 0', f'{b}23 = 0', 'edges')} AS BIGINT) AS bad_pairs"
+    )
+
+
+@query(_faulty_sql(), LOCALS)
 def search_inputs(spark, d):
-    """What the search is given has no faults (faults of each kind are in the tests)."""
-    return integrity.search_faults(_near(spark, d), search.navigable_edges(_vors(spark, d)))
+    """Faults put into what a search is given, found again."""
+    k, a, b = (F.col(c).cast("long") for c in ("database_id", "a", "b"))
+    near = _near(spark, d).withColumn("family", F.when(k % 11 == 0, "X").otherwise(F.col("family"))).withColumn("dep_nm", F.when(k % 13 == 0, -1.0).otherwise(F.col("dep_nm")))
+    edges = search.navigable_edges(_vors(spark, d)).withColumn("nm", F.when(a % 7 == 0, -1.0).otherwise(F.col("nm")))
+    edges = edges.unionByName(edges.filter(b % 23 == 0)).select(F.when(a % 19 == 0, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(a % 19 == 0, F.col("a")).otherwise(F.col("b")).alias("b"), "nm").withColumnRenamed("x", "a")
+    return integrity.search_faults(near.unionByName(near.filter(k % 17 == 0)), edges)
 
 
 @query(f"""WITH res AS (SELECT request_id, a.latitude AS dlat, a.longitude AS dlon, b.latitude AS alat, b.longitude AS alon FROM customer_requests q JOIN customer_airports a ON a.icao = q.departure JOIN customer_airports b ON b.icao = q.arrival),
