@@ -59,9 +59,24 @@ def read_active(spark: SparkSession, root: str, snapshot: str | None = None) ->
     return {t: spark.read.parquet(f"{root}/{t}/snapshot_id={own}") for t in TABLES if _files(spark, f"{root}/{t}/snapshot_id={own}")[0].exists(_files(spark, f"{root}/{t}/snapshot_id={own}")[1])}
 
 
-def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
+def active_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Each table of the root, all snapshots as partitions of it, joined with the pointer: which
+    partition is read is found out when a query runs, so views over these follow the pointer."""
+    files, at, _ = _files(spark, root)
+    have = {s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()}
+    pointer = spark.read.text(f"{root}/active").select(F.col("value").alias("snapshot_id")).filter("length(snapshot_id) > 0")
+    out = {}
+    for name in (t for t in TABLES if t in have):
+        table = spark.read.parquet(f"{root}/{name}")
+        kinds = {f.name: f.dataType for f in table.schema}
+        table = table.withColumn("snapshot_id", F.col("snapshot_id").cast("string")) if kinds["snapshot_id"].typeName() != "string" else table
+        out[name] = table.join(F.broadcast(pointer), "snapshot_id")
+    return out
+
+
+def register_views(spark: SparkSession, tables: dict[str, DataFrame], prefix: str = "") -> None:
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(prefix + name)
 
 
 def fingerprint(tables: dict[str, DataFrame]) -> str:

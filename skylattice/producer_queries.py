@@ -20,7 +20,7 @@ from skylattice.operators import classify, contract, facility, integrity, projec
 from skylattice.plans import report, search
 from skylattice.plans import legs as leg_plans
 from skylattice.plans.derived import derived
-from skylattice.queries import ARR, DEP, EDGES, LOCALS, VOR_LIST, _MATCH, _cand, _matching, _near, _one_leg, _records, _resolved, _vors, best_single, query, rounded, table
+from skylattice.queries import ARR, DEP, EDGES, FAMILY_CASE, LOCALS, VOR_LIST, _MATCH, _cand, _matching, _near, _one_leg, _records, _resolved, _vors, best_single, query, rounded, table
 from skylattice.schema import AIRPORTS, FILTERS, NAVAIDS
 from skylattice.sources import cycles, pages
 from skylattice.tables import settled, shared_dir, written
@@ -361,6 +361,19 @@ def candidate_reconciliation(spark, d):
     return integrity.record_faults(raw).join(integrity.partition_faults(raw, planner, out, t["audits"].filter(k % 43 != 0)).select("missing", "repeated", "audits_differ"), F.lit(True))
 
 
+@query(_CLASSED + f" SELECT {FAMILY_CASE} AS family, count(*) AS n, CAST(2 AS BIGINT) AS snapshots FROM x WHERE reason IS NULL AND k % 2 = 0 GROUP BY ALL", ("raw_navaids",))
+def active_views(spark, d):
+    """Navaids of the active snapshot by family, through a view over a table that holds two
+    snapshots; the second, which is active, has every other record."""
+    root, good = f"{shared_dir(spark)}/views-{uuid.uuid4().hex}", _snapshot(spark, d)
+    half = F.substring("source_record_id", 3, 12).cast("long") % 2 == 0
+    snapshot.publish(spark, root, good, provenance=TIMES)
+    snapshot.publish(spark, root, {n: t.filter(half) for n, t in good.items()}, provenance=TIMES)
+    snapshot.register_views(spark, snapshot.active_tables(spark, root), "active_")
+    stored = spark.read.parquet(f"{root}/snapshots").count()
+    return spark.sql("SELECT family, count(*) AS n FROM active_planner_navaids GROUP BY family").withColumn("snapshots", F.lit(stored).cast("long"))
+
+
 def _refused_sql() -> str:
     n = lambda where: f"count(*) FILTER (WHERE {where})"
     rows = [

@@ -118,6 +118,21 @@ def test_times_and_stored_checksums(spark, tmp_path):
     assert snapshot.observed_write(tables["raw_navaids"].limit(0), f"{root}/none")["n"] == 0
 
 
+def test_views_follow_the_pointer(spark, tmp_path):
+    """A view over all snapshots reads the active one's partition only, whichever it is by then."""
+    root = f"file://{tmp_path}"
+    first = snapshot.publish(spark, root, snapshot_frames(spark, "abc", "ab", "c"), provenance=TIMES)
+    snapshot.publish(spark, root, snapshot_frames(spark, "abcd", "abcd", ""), provenance=TIMES)
+    snapshot.register_views(spark, snapshot.active_tables(spark, root), "followed_")
+    asked = spark.sql("SELECT source_record_id FROM followed_planner_navaids")
+    assert "dynamicpruning" in asked._jdf.queryExecution().toString().lower()
+    assert sorted(r[0] for r in asked.collect()) == list("abcd")
+    snapshot.activate(spark, root, first)
+    spark.catalog.refreshByPath(f"{root}/active")
+    assert sorted(r[0] for r in spark.sql("SELECT source_record_id FROM followed_planner_navaids").collect()) == list("ab")
+    assert spark.sql("SELECT count(*) FROM followed_snapshots").first()[0] == 1
+
+
 def test_fingerprint_and_migrations(spark):
     a, b = spark.range(1), spark.range(1).select(F.col("id").cast("string").alias("id"))
     assert snapshot.fingerprint({"t": a}) == snapshot.fingerprint({"t": a.limit(0)}) != snapshot.fingerprint({"t": b})
