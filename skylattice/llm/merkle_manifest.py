@@ -230,6 +230,8 @@ def merkle_manifest(docs: DataFrame, tampered: tuple[Column, Column] | None = No
         F.when(when, digest([*values[:-1], text])).alias("tampered"),
         F.xxhash64(place).alias("tie"),
     )
+    # dealing by ranges reads its rows twice: they are digests by then, not texts
+    leaves = stash(spark, leaves, "merkle-hashed")
     nodes = stash(spark, _placed(leaves, ["doc_id", "digest", "tie"]).drop("tie"), "merkle-leaves")
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean" + (", before array<binary>, after array<binary>" if proofs else "")
