@@ -81,7 +81,7 @@ def page_records(spark, d):
     return r.select(F.substring("r._id", 3, 12).cast("long").alias("k"), "r.name", "r.type", F.col("countries")[0].alias("country"), F.col("r.geometry.coordinates")[0].alias("longitude"))
 
 
-_S12 = f"SELECT c_custkey AS k, 'search' AS filter FROM customer WHERE c_name LIKE '%00000001%' UNION ALL SELECT c_custkey, 'country' FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, 'updated' FROM customer WHERE c_custkey % 28 + 1 > 20 UNION ALL SELECT c_custkey, 'box' FROM customer WHERE {_LON} BETWEEN -10 AND 30 AND {_LAT} BETWEEN 0 AND 50 UNION ALL SELECT c_custkey, 'across' FROM customer WHERE ({_LON} >= 170 OR {_LON} <= -170) AND {_LAT} BETWEEN -20 AND 20 UNION ALL SELECT c_custkey, 'type' FROM customer WHERE (c_nationkey % 9) IN (2, 3) UNION ALL SELECT c_custkey, 'north' FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT * FROM (SELECT c_custkey, 'page' FROM customer ORDER BY c_name DESC, c_custkey LIMIT 20 OFFSET 20) x UNION ALL SELECT c_custkey, 'ids' FROM customer WHERE c_custkey IN (7, 42, 101) UNION ALL SELECT c_custkey, 'near' FROM customer WHERE {search.geo.haversine_sql(_LAT, _LON, "45e0", "10e0")} * 1852e0 <= 2500000 UNION ALL SELECT c_custkey, 'traffic' FROM customer WHERE c_custkey % 5 IN (1, 2) OR c_custkey % 3 IN (1, 2)"
+_S12 = f"SELECT c_custkey AS k, 'search' AS filter FROM customer WHERE c_name LIKE '%00000001%' UNION ALL SELECT c_custkey, 'country' FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, 'updated' FROM customer WHERE c_custkey % 28 + 1 > 20 UNION ALL SELECT c_custkey, 'box' FROM customer WHERE {_LON} BETWEEN -10 AND 30 AND {_LAT} BETWEEN 0 AND 50 UNION ALL SELECT c_custkey, 'across' FROM customer WHERE ({_LON} >= 170 OR {_LON} <= -170) AND {_LAT} BETWEEN -20 AND 20 UNION ALL SELECT c_custkey, 'type' FROM customer WHERE (c_nationkey % 9) IN (2, 3) UNION ALL SELECT c_custkey, 'north' FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT * FROM (SELECT c_custkey, 'page' FROM customer ORDER BY c_name DESC, c_custkey LIMIT 20 OFFSET 20) x UNION ALL SELECT c_custkey, 'ids' FROM customer WHERE c_custkey IN (7, 42, 101) UNION ALL SELECT c_custkey, 'near' FROM customer WHERE {search.geo.haversine_sql(f"({_LAT})", f"({_LON})", "45e0", "10e0")} * 1852e0 <= 2500000 UNION ALL SELECT c_custkey, 'traffic' FROM customer WHERE c_custkey % 5 IN (1, 2) OR c_custkey % 3 IN (1, 2)"
 
 
 @query(_S12)
