@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.canonical import canonical_json
 from skylattice.functions.text import non_blank, sha256_tag
 from skylattice.schema import DEFAULT_RANGE_NM, FAMILY_BY_TYPE, REASONS
-from skylattice.tables import settled
+from skylattice.tables import settled, spread
 
 
 def _kind(value: Column) -> Column:
@@ -36,7 +36,7 @@ def identified(raw: DataFrame) -> DataFrame:
     The id is the record's _id; without one it is made of the content's checksum and an ordinal
     among records of the same content. Records that aren't JSON get no canonical form.
     """
-    canon = raw.select(canonical_json("record").alias("canonical_record")).withColumn("checksum", sha256_tag(F.col("canonical_record")))
+    canon = spread(raw).select(canonical_json("record").alias("canonical_record")).withColumn("checksum", sha256_tag(F.col("canonical_record")))
     canon = settled(canon.select("*", json_text(F.try_parse_json("canonical_record"), "$._id").alias("given"), F.spark_partition_id().alias("part")))
     # records of one content are numbered within their partition, after those of partitions before
     # it; they are the same to the byte, so any order does

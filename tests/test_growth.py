@@ -1,7 +1,11 @@
 """What keeps work and memory bounded as tables grow: copies counted, not expanded; nothing sent whole."""
 
+import pandas as pd
+
 from skylattice import queries
+from skylattice.functions import canonical
 from skylattice.plans import search
+from skylattice.tables import spread
 
 
 def _plan(df) -> str:
@@ -32,3 +36,16 @@ def test_fronts_keep_what_ties_need(spark):
     n = _navaids(spark, [("3", "B", "VOR", 1.0, 1.0, 90.0), ("2", "B", "VOR", 1.0, 1.0, 90.0), ("1", "C", "VOR", 1.0, 1.0, 40.0), ("4", "A", "VOR", 1.0, 1.0, 40.0), ("5", "A", "VOR", 2.0, 1.0, None), ("6", "D", "VOR", 2.0, 1.0, float("nan")), ("7", "E", "VOR", 2.0, 1.0, 10.0)])
     kept = {r["database_id"]: r["stands"] for r in search.fronts(n).collect()}
     assert kept == {"2": 4, "4": 0, "7": 3, "5": 0}
+
+
+def test_repeated_texts_are_parsed_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(canonical, "canonical_or_none", lambda t: seen.append(t) or (t and t.upper()))
+    assert canonical.canonical_json.func(pd.Series(["a", None, "a", "b"] * 9)).tolist() == ["A", None, "A", "B"] * 9 and len(seen) == 3
+
+
+def test_costly_rows_are_dealt_out(spark, monkeypatch):
+    one = spark.range(1000).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr("skylattice.tables.SPREAD", 10)
+    assert spread(one).rdd.getNumPartitions() == 100
