@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,36 +93,57 @@ def selected(rows: DataFrame, entity: str, search: str | None = None, anywhere:
     north; west > east crosses the antimeridian): points must lie within, areas share a point with
     the circle or box, and rows without a geometry don't fit; ids; the entity's own FILTERS (a value or a
     list of them); ``fields`` to keep; sorting (ties by id) and pages."""
-    columns, area = rows.columns, entity in AREAS
-    if area and (within is not None or box is not None):
-        rows = rows.withColumn("edges", areas.edges(F.col("r.geometry.coordinates")))
-    lat, lon = (F.lit(None), F.lit(None)) if area else (F.col("r.geometry.coordinates")[1], F.col("r.geometry.coordinates")[0])
+    columns = rows.columns
+    asked = {"search": search, "anywhere": anywhere, "country": country, "updated_after": updated_after, "within": within, "box": box, "ids": ids}
+    rows = _with_places(rows, entity)
+    rows = rows.filter(_fits(rows, entity, **asked, **equal)).select(columns)
+    if sort is not None:
+        key = F.col(f"r.{sort}")
+        rows = rows.orderBy(key.desc() if descending else key.asc(), F.col("r._id"))
+    if page is not None:
+        rows = rows.offset((page - 1) * limit).limit(limit)
+    return rows if fields is None else rows.select(*[F.col(f"r.{f}").alias(f) for f in fields])
+
+
+def matched(rows: DataFrame, entity: str, asked: dict[str, dict]) -> DataFrame:
+    """The rows that each of several filters finds, with its name (column ``filter``), in one pass:
+    asked has what ``selected`` is given for each, without sorting, fields and pages."""
+    columns, rows = rows.columns, _with_places(rows, entity)
+    names = F.array_compact(F.array(*[F.when(_fits(rows, entity, **how), F.lit(name)) for name, how in asked.items()]))
+    return rows.select(*columns, F.explode(names).alias("filter"))
+
+
+def _with_places(rows: DataFrame, entity: str) -> DataFrame:
+    """Rows with what filters of places need: edges of areas, else the point."""
+    if entity in AREAS:
+        return rows.withColumn("edges", areas.edges(F.col("r.geometry.coordinates"))) if "geometry" in rows.schema["r"].dataType.names else rows
+    return rows.withColumn("at", F.struct(F.col("r.geometry.coordinates")[1].alias("lat"), F.col("r.geometry.coordinates")[0].alias("lon"))) if "geometry" in rows.schema["r"].dataType.names else rows
+
+
+def _fits(rows: DataFrame, entity: str, search=None, anywhere=False, country=None, updated_after=None, within=None, box=None, ids=None, **equal) -> Column:
+    """Whether a row fits a filter; null counts as no."""
+    area, all_ = entity in AREAS, [F.lit(True)]
     if search is not None:
         text, name = F.lower(F.lit(search)), F.lower("r.name")
-        rows = rows.filter(name.contains(text) if anywhere else name.startswith(text))
+        all_.append(name.contains(text) if anywhere else name.startswith(text))
     if country is not None:
-        rows = rows.filter(F.array_contains("countries", country))
+        all_.append(F.array_contains("countries", country))
     if updated_after is not None:
-        rows = rows.filter(F.col("r.updatedAt") > updated_after)
-    if within is not None and area:
-        rows = rows.filter(areas.within_nm("edges", within[0], within[1], within[2] / 1852))
-    elif within is not None:
-        rows = rows.withColumn("at", F.struct(lat.alias("lat"), lon.alias("lon"))).filter(geo.haversine_nm("at.lat", "at.lon", f"{float(within[0])!r}e0", f"{float(within[1])!r}e0") * 1852 <= within[2]).drop("at")
+        all_.append(F.col("r.updatedAt") > updated_after)
+    if within is not None:
+        lat, lon, metres = within
+        all_.append(areas.within_nm("edges", lat, lon, metres / 1852) if area else geo.haversine_nm("at.lat", "at.lon", f"{float(lat)!r}e0", f"{float(lon)!r}e0") * 1852 <= metres)
     if box is not None:
         west, south, east, north = box
-        across = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
-        rows = rows.filter(areas.meets_box(F.col("edges"), west, south, east, north) if area else across & lat.between(south, north))
-    rows = rows.select(columns)
+        if area:
+            all_.append(areas.meets_box(F.col("edges"), west, south, east, north))
+        else:
+            lat, lon = F.col("at.lat"), F.col("at.lon")
+            all_.append((lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)) & lat.between(south, north))
     if ids is not None:
-        rows = rows.filter(F.col("r._id").isin(*ids))
-    for name, value in equal.items():
-        rows = rows.filter(_equals(rows, FILTERS[entity][name], value))
-    if sort is not None:
-        key = F.col(f"r.{sort}")
-        rows = rows.orderBy(key.desc() if descending else key.asc(), F.col("r._id"))
-    if page is not None:
-        rows = rows.offset((page - 1) * limit).limit(limit)
-    return rows if fields is None else rows.select(*[F.col(f"r.{f}").alias(f) for f in fields])
+        all_.append(F.col("r._id").isin(*ids))
+    all_ += [_equals(rows, FILTERS[entity][name], value) for name, value in equal.items()]
+    return functools.reduce(lambda a, b: a & b, all_)
 
 
 def _equals(rows: DataFrame, path: str, value) -> Column:

@@ -2,9 +2,10 @@
 
 import pandas as pd
 
-from skylattice import queries
+from skylattice import producer_queries, queries
 from skylattice.functions import canonical
 from skylattice.plans import search
+from skylattice.sources import pages
 from skylattice.tables import spread
 
 
@@ -49,3 +50,12 @@ def test_costly_rows_are_dealt_out(spark, monkeypatch):
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr("skylattice.tables.SPREAD", 10)
     assert spread(one).rdd.getNumPartitions() == 100
+
+
+def test_filters_in_one_pass(spark, sf_dir):
+    assert _plan(queries.QUERIES["list_filters"](spark, sf_dir)).count("Scan parquet") == 3
+    assert _plan(queries.QUERIES["airspace_filters"](spark, sf_dir)).count("Scan parquet") == 1
+    rows = producer_queries._typed(spark, sf_dir)
+    asked = {"c": {"country": "C7"}, "s": {"search": "customer#0000001", "type": [1, 2]}, "b": {"box": (170.0, -20.0, -170.0, 20.0)}, "w": {"within": (45.0, 10.0, 2_500_000.0)}}
+    got = sorted((r["filter"], r["id"]) for r in pages.matched(rows, "navaid", asked).selectExpr("filter", "r._id as id").collect())
+    assert got == sorted((name, r["id"]) for name, how in asked.items() for r in pages.selected(rows, "navaid", **how).selectExpr("r._id as id").collect()) and got
