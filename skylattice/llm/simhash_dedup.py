@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import HOT_SHARE, NOT_SPACE, TO_LOWER, arrow_groups, arrow_map, drawn, pieces, split_join, stash, text_buffer, whole, word_bounds
+from skylattice.llm.common import CHUNK_BYTES, HOT_SHARE, NOT_SPACE, TO_LOWER, arrow_groups, arrow_map, drawn, pieces, split_join, stash, text_buffer, whole, word_bounds
 
 SEED = 42
 #: Fingerprints (drawn by hash) from which costs are estimated, and pairs drawn of them.
@@ -54,13 +54,13 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.n
     at = np.flatnonzero((word + shingle <= last) | ((word == np.repeat(firsts[:-1], sizes)) & (np.repeat(sizes, sizes) < shingle)))
     to = np.minimum(at + shingle, last[at]) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[a:b], SEED) for a, b in zip(begin[at].tolist(), finish[to].tolist())], np.uint64)
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(begin[at], finish[to])), np.uint64, len(at))
     full = np.flatnonzero(sizes > 0)
     own = np.searchsorted(at, firsts[:-1][full])
     counts = np.diff(np.append(own, len(at)))
-    ones = np.add.reduceat(bits, own, axis=0, dtype=np.int64)
-    set_ = (2 * ones > counts[:, None]).astype(np.uint8)
+    # a byte of the hashes at a time: sums of bits work on copies of eight bytes each
+    ones = [np.add.reduceat(np.unpackbits((h >> np.uint64(s)).astype(np.uint8)[:, None], axis=1), own, axis=0, dtype=np.int64) for s in range(56, -8, -8)]
+    set_ = (2 * np.concatenate(ones, axis=1) > counts[:, None]).astype(np.uint8)
     out[full] = np.packbits(set_, axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
     return out
 
@@ -248,7 +248,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataF
     read. Empty tables give empty results.
     """
     spark = docs.sparkSession
-    marked = stash(spark, simhash(docs, shingle), "simhash")
+    marked = stash(spark, simhash(docs, shingle), "simhash", batch_bytes=2 * CHUNK_BYTES)
     fps = stash(spark, marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "fingerprints")
     total = fps.agg(F.sum("rows")).first()[0] or 0
     roots = connected(links(fps.select("fp"), distance))
