@@ -1,6 +1,7 @@
 """What keeps work and memory bounded as tables grow: copies counted, not expanded; nothing sent whole."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from skylattice import producer_queries, queries
 from skylattice.functions import canonical
@@ -59,3 +60,16 @@ def test_filters_in_one_pass(spark, sf_dir):
     asked = {"c": {"country": "C7"}, "s": {"search": "customer#0000001", "type": [1, 2]}, "b": {"box": (170.0, -20.0, -170.0, 20.0)}, "w": {"within": (45.0, 10.0, 2_500_000.0)}}
     got = sorted((r["filter"], r["id"]) for r in pages.matched(rows, "navaid", asked).selectExpr("filter", "r._id as id").collect())
     assert got == sorted((name, r["id"]) for name, how in asked.items() for r in pages.selected(rows, "navaid", **how).selectExpr("r._id as id").collect()) and got
+
+
+def test_navaids_of_one_place_are_met_together(spark, monkeypatch):
+    """Pairs as by comparing all: many at one place in rows of a few, ranges of several classes, an id
+    that stands twice (with ranges of two classes, which paired it with itself)."""
+    monkeypatch.setattr(search, "TOGETHER", 3)
+    rows = [(f"{i:02d}", "N", "VOR", (10.0, 10.4, 10.0, 12.0)[i % 4], (5.0, 5.0, 5.3, -179.9)[i % 4], (30.0, 8.0, 60.0, 5.0, 20.0)[i % 5]) for i in range(40)]
+    rows += [("04", "N", "VOR", 10.0, 5.0, 40.0), ("90", "N", "VOR", 12.0, 179.9, 9.0), ("91", "N", "VOR", None, 5.0, 50.0), ("92", "N", "VOR", 10.0, 5.0, None), ("93", "N", "VOR", float("nan"), 5.0, 50.0)]
+    told = spark.createDataFrame(rows, "id string, n string, f string, lat double, lon double, reach double")
+    a, b = (told.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "lat", "lon", "reach")]) for s in "ab")
+    told = a.crossJoin(b).filter("id_a < id_b").withColumn("nm", search.geo.haversine_nm("lat_a", "lon_a", "lat_b", "lon_b")).filter("nm <= reach_a + reach_b and reach_a > 0 and reach_b > 0")
+    got = sorted(map(tuple, search.navigable_edges(_navaids(spark, rows)).collect()))
+    assert got == sorted(map(tuple, told.select("id_a", "id_b", "nm").collect())) and len(got) > 300
