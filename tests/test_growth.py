@@ -73,3 +73,8 @@ def test_navaids_of_one_place_are_met_together(spark, monkeypatch):
     told = a.crossJoin(b).filter("id_a < id_b").withColumn("nm", search.geo.haversine_nm("lat_a", "lon_a", "lat_b", "lon_b")).filter("nm <= reach_a + reach_b and reach_a > 0 and reach_b > 0")
     got = sorted(map(tuple, search.navigable_edges(_navaids(spark, rows)).collect()))
     assert got == sorted(map(tuple, told.select("id_a", "id_b", "nm").collect())) and len(got) > 300
+
+
+def test_search_inputs_look_for_pairs_once(spark, sf_dir):
+    joins = [_plan(queries.QUERIES[q](spark, sf_dir)).count("SortMergeJoin [cell") for q in ("navigable_edges", "search_inputs")]
+    assert joins[0] == joins[1] > 0
