@@ -10,21 +10,50 @@ slop a proximity match.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.llm.common import LOWER_WORD, TO_LOWER, arrow_map, span_hashes, stash, text_buffer, whole, word_bounds
-from skylattice.llm.substring_dedup import pack, packed
 
 #: Words in the test windows of one block. A block's windows go to the tasks as a broadcast
 #: (some 40 MB at most); more windows are looked up block by block over a kept copy of the texts.
 BLOCK_WORDS = 2_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Text bytes of a shard; a longer text is one of its own.
+PACK_BYTES = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def packed(batches):
+    """Batches of doc_id and text as one-row batches of chunk, doc_ids, texts."""
+    ids, texts, size, kind = [], [], 0, None
+
+    def close():
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.string()))], ["chunk", "doc_ids", "texts"])
+
+    for batch in batches:
+        kind = batch.column("doc_id").type
+        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+            if size >= PACK_BYTES:
+                yield close()
+                ids, texts, size = [], [], 0
+    if ids:
+        yield close()
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """Chunks of whole texts: chunk, doc_ids, texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return arrow_map(docs.select("doc_id", whole()), packed, f"chunk string, doc_ids array<{kind}>, texts array<string>")
+
+
 def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     """Each different window (array of words) and the items that hold it."""
     words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(WORD), 0)

@@ -20,36 +20,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import NOT_SPACE, arrow_groups, arrow_map, gram_hashes, span_hashes, stash, text_buffer, whole, word_bounds
+from skylattice.llm.common import CHUNK_BYTES, NOT_SPACE, arrow_cogroups, arrow_groups, arrow_map, gram_hashes, pieces, span_hashes, stash, text_buffer, whole, word_bounds
 
 #: Text bytes of a chunk (a longer text is a chunk of its own) and of a bucket's share.
 PACK_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20
 
 
 def packed(batches):
-    """Batches of doc_id and text as one-row batches of chunk, doc_ids, texts."""
-    ids, texts, size, kind = [], [], 0, None
-
-    def close():
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.string()))], ["chunk", "doc_ids", "texts"])
-
+    """Batches of doc_id and text with each text's chunk, and the place of its first word there."""
+    chunk, size, words = uuid.uuid4().hex, 0, 0
     for batch in batches:
-        kind = batch.column("doc_id").type
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= PACK_BYTES:
-                yield close()
-                ids, texts, size = [], [], 0
-    if ids:
-        yield close()
+        for part in pieces(batch):
+            data, offsets = text_buffer(part.column("text"))
+            chunks, firsts = [], []
+            for many, n in zip(np.diff(offsets).tolist(), np.diff(word_bounds(data, offsets, NOT_SPACE)[2]).tolist()):
+                if size >= PACK_BYTES:
+                    chunk, size, words = uuid.uuid4().hex, 0, 0
+                chunks.append(chunk)
+                firsts.append(words)
+                size, words = size + many, words + n
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array(firsts, pa.int64()), part.column("doc_id"), part.column("text")], ["chunk", "first", "doc_id", "text"])
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """Chunks of whole texts: chunk, doc_ids, texts."""
+    """Chunks of whole texts, a row for each text: chunk, first, doc_id, text. The rows stay as
+    small as the documents are, so neither Spark's nor a task's copies of them are large."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", whole()), packed, f"chunk string, doc_ids array<{kind}>, texts array<string>")
+    return arrow_map(docs.select("doc_id", whole()), packed, f"chunk string, first long, doc_id {kind}, text string")
+
+
+def runs(batches):
+    """Chunks of consecutive rows: chunk, the place of the first word, texts. What one task reads of a
+    chunk comes at once; a chunk that two tasks read comes in two parts, whose places are its own."""
+
+    def joined(held):
+        rows = pa.Table.from_batches(held)
+        return rows.column("chunk")[0].as_py(), rows.column("first")[0].as_py(), rows.column("text").combine_chunks()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        chunks = batch.column("chunk").to_pylist()
+        cut = [i for i in range(len(chunks)) if i == 0 or chunks[i] != chunks[i - 1]]
+        for a, b in zip(cut, [*cut[1:], len(chunks)]):
+            if held and held[-1].column("chunk")[0].as_py() != chunks[a]:
+                yield joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield joined(held)
 
 
 class Chunk:
@@ -101,23 +119,19 @@ def same(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return group, first, sizes
 
 
-def texts_of(batch: pa.RecordBatch, row: int) -> pa.Array:
-    return batch.column("texts").slice(row, 1).flatten()
-
-
 def dealt(chunk: str, at: np.ndarray, hashes: np.ndarray, flags: np.ndarray, buckets: int, hash_type) -> pa.RecordBatch:
     """One row for each bucket: the entries it gets, as steps between places (two bytes where
     they fit), hashes as hash_type, and flags as bits."""
     bucket = ((hashes["one"] if hashes.dtype == WIDE else hashes) >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, at, hashes, flags = bucket[order], at[order], hashes[order].astype(hash_type), flags[order]
-    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(bucket)])
     to = np.append(cut[1:], len(bucket))
     steps = [np.diff(at[a:b], prepend=0) for a, b in zip(cut, to)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[cut].astype(np.int32)),
-            pa.array([chunk] * len(cut)),
+            pa.array([chunk] * len(cut), pa.string()),
             pa.array([s.astype(np.uint16 if s.max() < 1 << 16 else np.uint32).tobytes() for s in steps], pa.binary()),
             pa.array([hashes[a:b].tobytes() for a, b in zip(cut, to)], pa.binary()),
             pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cut, to)], pa.binary()),
@@ -151,21 +165,20 @@ def probes(chunks: DataFrame, block: int, buckets: int) -> DataFrame:
     ones of a chunk are sent once, with 32 bits of their hash besides the bucket."""
 
     def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                c = Chunk(texts_of(batch, row))
-                hashes, inside = c.windows(block)
-                at = np.flatnonzero(inside)
-                if not len(at):
-                    continue
-                group, first, sizes = same(hashes[at])
-                held = np.bincount(group, c.aligned(block, len(hashes))[at], len(first)) > 0
-                # in-chunk twins are found again in anchored(); others learn of them here
-                order = np.argsort(first)
-                first, held = at[first[order]], held[order]
-                yield dealt(batch.column("chunk")[row].as_py(), first, hashes[first], held, buckets, np.uint32)
-
-    return arrow_map(chunks.select("chunk", "texts"), run, DEALT)
+        for chunk, begin, texts in runs(batches):
+            c = Chunk(texts)
+            hashes, inside = c.windows(block)
+            at = np.flatnonzero(inside)
+            if not len(at):
+                continue
+            group, first, sizes = same(hashes[at])
+            held = np.bincount(group, c.aligned(block, len(hashes))[at], len(first)) > 0
+            # in-chunk twins are found again in anchored(); others learn of them here
+            order = np.argsort(first)
+            first, held = at[first[order]], held[order]
+            yield dealt(chunk, begin + first, hashes[first], held, buckets, np.uint32)
+
+    return arrow_map(chunks.select("chunk", "first", "text"), run, DEALT)
 
 
 def match_anchors(rows: pa.Table) -> pa.Table:
@@ -184,14 +197,18 @@ def match_windows(rows: pa.Table) -> pa.Table:
     return replies(chunks, owner, places, sizes[group] > 1)
 
 
-def with_replies(chunks: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Chunks with all the places found for them."""
-    return chunks.join(found.groupBy("chunk").agg(F.collect_list("places").alias("found")), "chunk", how)
+def with_replies(chunks: DataFrame, found: DataFrame, fn, schema: str) -> DataFrame:
+    """fn for each chunk: of its rows, in their order, and the places found for it."""
+
+    def run(rows: pa.Table, replied: pa.Table) -> pa.Table:
+        places = np.frombuffer(b"".join(replied.column("places").to_pylist()), np.uint32).astype(np.int64)
+        return fn(rows.sort_by("first"), places)
 
+    return arrow_cogroups(chunks, found, ["chunk"], run, schema)
 
-def places_of(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    parts = batch.column("found")[row].as_py()
-    return np.frombuffer(b"".join(parts), np.uint32).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+def texts_of(rows: pa.Table) -> pa.Array:
+    return rows.column("text").combine_chunks()
 
 
 def twins(hashes: np.ndarray, at: np.ndarray, seeds: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
@@ -204,60 +221,60 @@ def twins(hashes: np.ndarray, at: np.ndarray, seeds: np.ndarray, own: np.ndarray
     return hit[group]
 
 
-def anchored(chunks: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
+def anchored(chunks: DataFrame, hits: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
     """Windows around the hits of a chunk, equal ones once."""
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                c = Chunk(texts_of(batch, row))
-                hashes, inside = c.windows(block)
-                at = np.flatnonzero(inside)
-                if not len(at):
-                    continue
-                hit = np.zeros(len(hashes) + 1, np.int64)
-                hit[at[twins(hashes, at, places_of(batch, row), c.aligned(block, len(hashes))[at])]] = 1
-                wide, inside = c.wide(window)
-                if not len(wide):
-                    continue
-                sums = np.concatenate(([0], np.cumsum(hit)))
-                start = np.arange(len(wide))
-                at = np.flatnonzero(inside & (sums[np.minimum(start + window - block + 1, len(hit))] > sums[start]))
-                if not len(at):
-                    continue
-                first = at[np.sort(same(wide[at])[1])]
-                yield dealt(batch.column("chunk")[row].as_py(), first, wide[first], np.zeros(len(first), bool), buckets, WIDE)
-
-    return arrow_map(chunks, run, DEALT)
-
-
-def removal(chunks: DataFrame, window: int, kind: str) -> DataFrame:
+    def found(c: Chunk, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64), np.zeros(0, WIDE)
+        hashes, inside = c.windows(block)
+        at = np.flatnonzero(inside)
+        if not len(at):
+            return none
+        hit = np.zeros(len(hashes) + 1, np.int64)
+        hit[at[twins(hashes, at, places, c.aligned(block, len(hashes))[at])]] = 1
+        wide, inside = c.wide(window)
+        if not len(wide):
+            return none
+        sums = np.concatenate(([0], np.cumsum(hit)))
+        start = np.arange(len(wide))
+        at = np.flatnonzero(inside & (sums[np.minimum(start + window - block + 1, len(hit))] > sums[start]))
+        if not len(at):
+            return none
+        first = at[np.sort(same(wide[at])[1])]
+        return first, wide[first]
+
+    def run(rows: pa.Table, places: np.ndarray) -> pa.Table:
+        first, wide = found(Chunk(texts_of(rows)), places)
+        return pa.Table.from_batches([dealt(rows.column("chunk")[0].as_py(), first, wide, np.zeros(len(first), bool), buckets, WIDE)])
+
+    return with_replies(chunks.select("chunk", "first", "text"), hits, run, DEALT)
+
+
+def removal(chunks: DataFrame, repeats: DataFrame, window: int, kind: str) -> DataFrame:
     """Per document the words that no repeated window covers."""
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                c = Chunk(texts_of(batch, row))
-                wide, inside = c.wide(window)
-                covered = np.zeros(len(c.words) + 1, np.int64)
-                at = np.flatnonzero(inside)
-                if len(at):
-                    start = at[twins(wide, at, places_of(batch, row))]
-                    np.add.at(covered, start, 1)
-                    np.add.at(covered, start + window, -1)
-                keep = np.cumsum(covered)[:-1] == 0
-                kept = np.concatenate(([0], np.cumsum(keep)))[c.firsts]
-                raw, sizes = c.data.tobytes(), np.diff(c.firsts)
-                texts = []
-                for a, b in zip(c.firsts[:-1], c.firsts[1:]):
-                    own = np.flatnonzero(keep[a:b]) + a
-                    texts.append(b" ".join([raw[i:j] for i, j in zip(c.starts[own].tolist(), c.ends[own].tolist())]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids").slice(row, 1).flatten(), pa.array(sizes, pa.int64()), pa.array(sizes - np.diff(kept), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts], pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-                )
-
-    return arrow_map(chunks, run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    def run(rows: pa.Table, places: np.ndarray) -> pa.Table:
+        c = Chunk(texts_of(rows))
+        wide, inside = c.wide(window)
+        covered = np.zeros(len(c.words) + 1, np.int64)
+        at = np.flatnonzero(inside)
+        if len(at):
+            start = at[twins(wide, at, places)]
+            np.add.at(covered, start, 1)
+            np.add.at(covered, start + window, -1)
+        keep = np.cumsum(covered)[:-1] == 0
+        kept = np.concatenate(([0], np.cumsum(keep)))[c.firsts]
+        raw, sizes = c.data.tobytes(), np.diff(c.firsts)
+        texts = []
+        for a, b in zip(c.firsts[:-1], c.firsts[1:]):
+            own = np.flatnonzero(keep[a:b]) + a
+            texts.append(b" ".join([raw[i:j] for i, j in zip(c.starts[own].tolist(), c.ends[own].tolist())]))
+        return pa.table(
+            [rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sizes - np.diff(kept), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t.decode() for t in texts], pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+        )
+
+    return with_replies(chunks, repeats, run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -274,10 +291,10 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     if window % 2 == 0 or window < 3:
         raise ValueError("window must be odd and at least 3")
     spark, block, kind = docs.sparkSession, (window + 1) // 2, docs.schema["doc_id"].dataType.simpleString()
-    chunks = stash(spark, pack(docs), "chunks")
-    size = chunks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()[0] or 0
+    chunks = stash(spark, pack(docs), "chunks", batch_bytes=2 * CHUNK_BYTES)
+    size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-size // BUCKET_BYTES))
     dealt_out = lambda rows: rows.repartition(buckets, "bucket")  # noqa: E731 (partitions follow the input)
-    hits = stash(spark, arrow_groups(dealt_out(probes(chunks, block, buckets)), "bucket", match_anchors, REPLY), "anchors")
-    repeats = stash(spark, arrow_groups(dealt_out(anchored(with_replies(chunks, hits, "left"), block, window, buckets)), "bucket", match_windows, REPLY), "windows")
-    return removal(with_replies(chunks, repeats, "left"), window, kind)
+    hits = stash(spark, arrow_groups(dealt_out(probes(chunks, block, buckets)), "bucket", match_anchors, REPLY), "anchors", batch_bytes=2 * CHUNK_BYTES)
+    repeats = stash(spark, arrow_groups(dealt_out(anchored(chunks, hits, block, window, buckets)), "bucket", match_windows, REPLY), "windows", batch_bytes=2 * CHUNK_BYTES)
+    return removal(chunks, repeats, window, kind)

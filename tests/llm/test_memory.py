@@ -32,3 +32,31 @@ def test_batches_of_a_stash(spark):
     texts = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 1000) as text")
     told = lambda **how: common.stash(spark, common.arrow_map(texts, sizes, "bytes long"), "sizes", **how).agg({"bytes": "max"}).first()[0]
     assert told() > 1_500_000 and told(batch_bytes=100_000) < 200_000 and spark.conf.get(common.BATCH_SETTING) == before
+
+
+def test_chunks_of_small_rows(spark, monkeypatch):
+    """op5's chunks are written a text a row; read in two parts of one chunk, the same words go."""
+    from skylattice.llm import substring_dedup as op5
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 7) * 1000 + j}" for j in range(40 + i))) for i in range(60)] + [(60, None), (61, "")], "doc_id long, text string").coalesce(1)
+    chunks = common.stash(spark, op5.pack(docs), "chunks")
+    assert chunks.count() == 62 and chunks.select("chunk").distinct().count() == 1
+    told = lambda: {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in op5.substring_dedup(docs).collect()}
+    whole = told()
+    assert sum(r[1] for r in whole.values()) > 1000 and len(whole) == 62
+    before = spark.conf.get(common.BATCH_SETTING)
+    monkeypatch.setattr(op5, "runs", lambda batches, f=op5.runs: (x for b in batches for half in (b.slice(0, b.num_rows // 2), b.slice(b.num_rows // 2)) for x in f([half])))
+    assert told() == whole and spark.conf.get(common.BATCH_SETTING) == before
+
+
+def test_packed_texts(monkeypatch):
+    """A chunk ends with the text that fills it; places count the words of a chunk."""
+    import pyarrow as pa
+
+    from skylattice.llm import substring_dedup as op5
+
+    monkeypatch.setattr(op5, "PACK_BYTES", 8)
+    batch = pa.record_batch({"doc_id": pa.array([1, 2, 3, 4, 5]), "text": pa.array(["a b", "", "c d e f", "g", "h"])})
+    rows = pa.Table.from_batches(list(op5.packed([batch.slice(0, 2), batch.slice(2)]))).to_pylist()
+    assert [r["first"] for r in rows] == [0, 2, 2, 0, 1] and [r["doc_id"] for r in rows] == [1, 2, 3, 4, 5]
+    assert len({r["chunk"] for r in rows[:3]}) == len({r["chunk"] for r in rows[3:]}) == 1 and rows[0]["chunk"] != rows[3]["chunk"]
