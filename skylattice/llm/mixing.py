@@ -59,6 +59,7 @@ class Topics:
                 break
             centroids = np.vstack([centroids, x[rng.choice(n, p=gap / gap.sum())]])
         self.centroids = centroids.astype(np.float32)
+        del x
         for _ in range(15 if n else 0):
             self.moved(self.sums(counts))
 
@@ -72,9 +73,12 @@ class Topics:
     def sums(self, counts: np.ndarray) -> np.ndarray:
         """Sums of the vectors of each centroid's texts in units of 1 / FIXED, which add up to the
         same in any order."""
-        x = self.vectors(counts)
-        own, fixed = (x @ self.centroids.T).argmax(axis=1), np.rint(x * FIXED).astype(np.int64)
-        return np.stack([fixed[own == j].sum(axis=0) for j in range(len(self.centroids))])
+        sums = np.zeros(self.centroids.shape, np.int64)
+        for a in range(0, len(counts), ROWS):
+            x = self.vectors(counts[a : a + ROWS])
+            own, fixed = (x @ self.centroids.T).argmax(axis=1), np.rint(x * FIXED).astype(np.int64)
+            sums += np.stack([fixed[own == j].sum(axis=0) for j in range(len(self.centroids))])
+        return sums
 
     def moved(self, sums: np.ndarray) -> None:
         """Centroids put at these sums; one without texts stays."""
@@ -225,7 +229,9 @@ def calibrated(cells: DataFrame, budget: float) -> DataFrame:
             if high - low <= TOLERANCE:
                 break
             grid = [low + (high - low) * i / SCALES for i in range(SCALES + 1)]
-            kept = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.least(F.lit(1.0), rate * math.exp(c))), F.lit(0.0)) for c in grid]).first()
+            # scales as rows: as many sums in one row are much code, compiled anew in each pass
+            tried = cells.select("tokens", rate.alias("rate"), F.posexplode(F.lit(np.array([math.exp(c) for c in grid]))).alias("i", "scale"))
+            kept = dict(tried.groupBy("i").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("rate") * F.col("scale")))).collect())
             i = next((i for i in range(SCALES, -1, -1) if kept[i] <= budget), 0)
             low, high = grid[i], grid[min(i + 1, SCALES)]
         scale = math.exp(low)

@@ -131,16 +131,11 @@ def plan(sample: np.ndarray, total: int, distance: int) -> list[tuple[list[int],
 def probes(fps: DataFrame, groups: list[tuple[list[int], int]]) -> DataFrame:
     """part, key and fp: each fingerprint under every key that its thresholds reach."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    parts = []
-    for i, (g, t) in enumerate(groups):
-        mask = sum(1 << b for b in g)
-        flips = [sum(1 << b for b in bits) for k in range(t + 1) for bits in combinations(g, k)]
-        flip = F.explode(F.array(*[F.lit(signed(x)) for x in flips]))
-        parts.append(fps.select("fp", flip.alias("flip")).select(F.lit(i).alias("part"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(signed(mask))).alias("key"), "fp"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    keys = [(i, signed(sum(1 << b for b in bits)), signed(sum(1 << b for b in g))) for i, (g, t) in enumerate(groups) for k in range(t + 1) for bits in combinations(g, k)]
+    part, flip, mask = (np.array(x, kind) for x, kind in zip(zip(*keys), (np.int32, np.int64, np.int64)))
+    # all keys by one scan: a branch for each group would make the driver plan as many
+    asked = fps.select("fp", F.posexplode(F.lit(flip)).alias("i", "flip"))
+    return asked.select(F.get(F.lit(part), F.col("i")).alias("part"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.get(F.lit(mask), F.col("i"))).alias("key"), "fp")
 
 
 def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, int]]:
@@ -228,7 +223,8 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = stash(spark, edges, "links")
     before = mark(edges)
     while before[0]:
-        edges = stash(spark, star(star(edges, True), False), "links")
+        # the first turn is written too: the second reads it three times, and would plan it as often
+        edges = stash(spark, star(stash(spark, star(edges, True), "links"), False), "links")
         now = mark(edges)
         if now == before:
             break

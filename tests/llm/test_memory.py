@@ -60,3 +60,32 @@ def test_packed_texts(monkeypatch):
     rows = pa.Table.from_batches(list(op5.packed([batch.slice(0, 2), batch.slice(2)]))).to_pylist()
     assert [r["first"] for r in rows] == [0, 2, 2, 0, 1] and [r["doc_id"] for r in rows] == [1, 2, 3, 4, 5]
     assert len({r["chunk"] for r in rows[:3]}) == len({r["chunk"] for r in rows[3:]}) == 1 and rows[0]["chunk"] != rows[3]["chunk"]
+
+
+def test_keys_of_fingerprints_in_one_scan(spark):
+    """The driver plans one branch for all keys, and they are those of each group."""
+    from itertools import combinations
+
+    fps = spark.createDataFrame([(x,) for x in (0, -1, 12345, -(1 << 63))], "fp long")
+    groups = [(list(range(0, 30)), 1), (list(range(30, 64)), 0), (list(range(50, 64)), 2)]
+    asked = simhash_dedup.probes(fps, groups)
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    want = sorted((i, ((x[0] & (1 << 64) - 1) ^ sum(1 << b for b in bits)) & sum(1 << b for b in g), x[0]) for x in fps.collect() for i, (g, t) in enumerate(groups) for k in range(t + 1) for bits in combinations(g, k))
+    assert sorted((r["part"], r["key"] & (1 << 64) - 1, r["fp"]) for r in asked.collect()) == want
+
+
+def test_sums_of_topics():
+    """Vectors of the driver's texts are made some at a time; the sums are the same."""
+    from skylattice.llm import mixing
+
+    counts = np.random.default_rng(3).poisson(0.02, (2000, mixing.DIMENSIONS)).astype(np.float32)
+    topics = mixing.Topics(counts[:300], np.ones(mixing.DIMENSIONS))
+    tracemalloc.start()
+    try:
+        sums = topics.sums(counts)
+        assert tracemalloc.get_traced_memory()[1] < 2 * counts.nbytes
+    finally:
+        tracemalloc.stop()
+    x = topics.vectors(counts)
+    own, fixed = (x @ topics.centroids.T).argmax(axis=1), np.rint(x * mixing.FIXED).astype(np.int64)
+    assert (sums == np.stack([fixed[own == j].sum(axis=0) for j in range(len(topics.centroids))])).all()
