@@ -1,5 +1,6 @@
 """What keeps work and memory bounded as tables grow: copies counted, not expanded; nothing sent whole."""
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -78,3 +79,15 @@ def test_navaids_of_one_place_are_met_together(spark, monkeypatch):
 def test_search_inputs_look_for_pairs_once(spark, sf_dir):
     joins = [_plan(queries.QUERIES[q](spark, sf_dir)).count("SortMergeJoin [cell") for q in ("navigable_edges", "search_inputs")]
     assert joins[0] == joins[1] > 0
+
+
+def test_two_navaids_of_one_place(spark, tmp_path, sf_dir):
+    """A route over two navaids of one place counts: orders whose places repeat, against SQL."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT k * 7 + i * 180000 AS o_orderkey FROM range(200) t(k), range(3) c(i)) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"COPY (FROM '{sf_dir}/nation.parquet') TO '{tmp_path}/nation.parquet'")
+    for t in ("orders", "nation"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    told = sorted(con.sql(queries.ORACLES["two_navaid_route"]).fetchall())
+    got = {r["request_id"]: r["total_nm"] for r in queries.two_navaid_route(spark, str(tmp_path)).collect()}
+    assert got.keys() == {k for k, _ in told} and all(abs(got[k] - t) < 2e-6 for k, t in told) and told
