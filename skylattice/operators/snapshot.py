@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skylattice.operators.integrity import COMPONENTS, LEFT_OUT, audit_counts, candidate_faults, checksum_parts, row_text, snapshot_checksum, told_checksum
 from skylattice.schema import VERSION, fields
+from skylattice.tables import together
 
 TABLES = ("raw_navaids", "planner_navaids", "exclusions", "audits", "planner_airports", "metadata", "snapshots")
 #: Steps of a publication, in order; the pointer is swapped in "activate".
@@ -128,7 +129,7 @@ def publish(
     own, before, boundary, provenance = snapshot or str(uuid.uuid4()), active_id(spark, root), BOUNDARIES[0], provenance or {}
     try:
         at(boundary)
-        seen = {name: observed_write(df, f"{root}/{name}/snapshot_id={own}") for name, df in tables.items()}
+        seen = dict(zip(tables, together(*[functools.partial(observed_write, df, f"{root}/{name}/snapshot_id={own}") for name, df in tables.items()])))
         boundary = "describe"
         at(boundary)
         snapshot_row(spark, own, {k: seen[k] for k in COMPONENTS if k in seen}, provenance).write.parquet(f"{root}/snapshots/snapshot_id={own}")

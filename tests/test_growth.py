@@ -1,5 +1,8 @@
 """What keeps work and memory bounded as tables grow: copies counted, not expanded; nothing sent whole."""
 
+import json
+import threading
+
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from skylattice import producer_queries, queries
 from skylattice.functions import canonical
 from skylattice.plans import search
 from skylattice.sources import pages
-from skylattice.tables import spread
+from skylattice.tables import spread, together
 
 
 def _plan(df) -> str:
@@ -91,3 +94,22 @@ def test_two_navaids_of_one_place(spark, tmp_path, sf_dir):
     told = sorted(con.sql(queries.ORACLES["two_navaid_route"]).fetchall())
     got = {r["request_id"]: r["total_nm"] for r in queries.two_navaid_route(spark, str(tmp_path)).collect()}
     assert got.keys() == {k for k, _ in told} and all(abs(got[k] - t) < 2e-6 for k, t in told) and told
+
+
+def test_json_writes_most_texts(monkeypatch):
+    """The canonical text as canonical_text gives it, which plain texts don't need."""
+    values = ['{"b": [1.50, -0.0, 1e400, 100.0], "a": "x"}', '{"b":[1.50,-0.0,100.0,-39.879999999999995],"A":{"_":-0,"a":null}}', "9007199254740992.0", "9007199254740993", "1e21", "1e-7", "0.000001", '{"a":1,"a":2}', '{"\\u00e9":1}', '{"é":1,"z":"\\t"}', "[NaN]", "[" * 300 + "]" * 300, "x", "", None]
+    slow = []
+    for t in values:
+        try:
+            slow.append(t if t is None else canonical.canonical_text(json.loads(t, object_pairs_hook=canonical._unique, parse_constant=canonical._refuse)))
+        except ValueError:
+            slow.append(None)
+    assert [canonical.canonical_or_none(t) for t in values] == slow
+    monkeypatch.setattr(canonical, "canonical_text", None)
+    assert canonical.canonical_or_none(values[1]) == '{"A":{"_":0,"a":null},"b":[1.5,0,100,-39.879999999999995]}'
+
+
+def test_jobs_run_side_by_side():
+    barrier = threading.Barrier(3, timeout=10)
+    assert sorted(together(*[barrier.wait] * 3)) == [0, 1, 2]
