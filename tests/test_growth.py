@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice import producer_queries, queries
 from skylattice.functions import canonical
+from skylattice.operators import integrity
 from skylattice.plans import search
 from skylattice.sources import pages
 from skylattice.tables import spread, together
@@ -113,3 +114,21 @@ def test_json_writes_most_texts(monkeypatch):
 def test_jobs_run_side_by_side():
     barrier = threading.Barrier(3, timeout=10)
     assert sorted(together(*[barrier.wait] * 3)) == [0, 1, 2]
+
+
+def test_faults_of_pairs_without_a_shuffle(spark):
+    """Rows of many pairs give the counts that the pairs one by one give, and aren't dealt out by pair."""
+    rows = [[("1", "2", 1.0), ("1", "2", -1.0), ("2", "1", 3.0), ("2", "1", 3.0), ("2", "1", None)], [("3", "4", float("nan")), ("5", None, float("inf")), (None, "5", 0.0), (None, "5", 0.0)], [], [("6", "7", 0.0)], [("11", "2", 1.0), ("1", "12", 1.0)]]
+    blocks = spark.createDataFrame([(r,) for r in rows], "pairs array<struct<a: string, b: string, nm: double>>")
+    near = spark.createDataFrame([("q", "1", "VOR", 1.0, 1.0, 1.0)], "request_id string, database_id string, family string, dep_nm double, arr_nm double, published_range_nm double")
+    counts = integrity.search_faults(near, blocks)
+    assert counts.first() == integrity.search_faults(near, blocks.select(F.inline("pairs"))).first() and counts.first()["repeated_pairs"] == 3
+    assert "hashpartitioning(a" not in _plan(counts)
+
+
+def test_rows_of_pairs_have_all_pairs(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(search, "TOGETHER", 3)
+    n = _navaids(spark, [(f"{i:02d}", "N", "VOR", (10.0, 10.4, 12.0)[i % 3], 5.0, (30.0, 8.0, 60.0)[i % 4 % 3]) for i in range(40)])
+    got = sorted(map(tuple, search.edge_blocks(n).select(F.inline("pairs")).collect()))
+    assert got == sorted(map(tuple, search.navigable_edges(n).collect())) and got
+    assert "hashpartitioning(a" not in _plan(queries.QUERIES["search_inputs"](spark, sf_dir))
